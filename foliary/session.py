@@ -90,6 +90,29 @@ def lookup_join(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_key_join(
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: str, rows_per_task: int
+) -> DataFrame:
+    """Inner join in which only keys with many left rows are salted.
+
+    A key with more than `rows_per_task` left rows is cut into as many pieces as it needs, and
+    only its right rows are repeated. There are at most rows / rows_per_task such keys, so the
+    frame that lists them stays small.
+    """
+    pieces = F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int")
+    hot = left.groupBy(*on).agg(pieces.alias("_pieces")).filter("_pieces > 1")
+    if hot.isEmpty():
+        return left.join(right, on)
+    cuts = F.coalesce("_pieces", F.lit(1))
+    salted = left.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread_by), cuts).cast("int")
+    )
+    repeated = right.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), cuts - 1))
+    )
+    return salted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_salt"]).drop("_salt")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the files a frame reads, from Spark's own plan statistics."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -61,6 +61,7 @@ class Settings:
     slot_rows: int = 1_000_000
     broadcast_rows: int = 500_000
     salts: int = 32
+    rows_per_task: int = 1_000_000
     target_partition_bytes: int = 1 << 30
 
 
