@@ -9,7 +9,7 @@ from foliary.functions.objects import content_hash, job_payload
 from foliary.functions.text import tokens
 from foliary.operators.analyze import each_word
 from foliary.schemas import CORPUS_COLUMNS, REGISTRY
-from foliary.session import new_path
+from foliary.session import new_path, spread
 from foliary.plans.search import Index, open_index, write_index
 from foliary.settings import Settings
 
@@ -276,7 +276,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct words of all documents."""
-    docs = table(spark, sf_dir, "documents").select(tokens(F.col("text")).alias("words"))
+    docs = spread(table(spark, sf_dir, "documents").select("text"))
+    docs = docs.select(tokens(F.col("text")).alias("words"))
     return each_word(docs, "words").select("word").distinct()
 
 

@@ -12,10 +12,9 @@ from foliary.catalog import fixtures as fx
 from foliary.functions import objects as ob
 from foliary.functions import text as tx
 from foliary.operators import affix, analyze, corpus, extract, reconcile, registry
-from foliary.operators import search as ranking
 from foliary.plans import ingest as jobs
 from foliary.plans import search as plans
-from foliary.session import configure, new_path
+from foliary.session import configure, new_path, spread
 from foliary.sources import listing, messages
 from foliary.sources.tables import current, publish
 from foliary.schemas import CORPUS, REGISTRY
@@ -306,13 +305,13 @@ def list_by_status(spark, sf):
 
 @query
 def tokenize(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.array_join(tx.tokens(F.col("text")), " ").alias("words"))
 
 
 @query
 def stopword_filter(spark, sf):
-    words = analyze.word_rows(fx.corpus(spark, sf), "sha256", "content")
+    words = analyze.word_rows(spread(fx.corpus(spark, sf)), "sha256", "content")
     kept = analyze.stopword_filter(words, fx.SETTINGS)
     return kept.groupBy("sha256").agg(
         F.count(F.lit(1)).alias("kept_words"),
@@ -383,8 +382,7 @@ def fuzzy_terms(spark, sf):
 
 @query
 def bm25_scores(spark, sf):
-    index = fx.index(spark, sf)
-    scores = ranking.field_scores(_weighted(spark, sf), index.postings, fx.SETTINGS)
+    scores = plans.scoring(_weighted(spark, sf), fx.index(spark, sf), fx.SETTINGS)
     return scores.withColumn("score", F.round("score", 6))
 
 

@@ -71,7 +71,9 @@ def write_index(
     ).sortWithinPartitions("shard", "sha256").write.partitionBy("shard").parquet(f"{path}/corpus")
     written = spark.read.parquet(f"{path}/corpus")
 
-    posts = postings(written, lemmas, settings, positions=False)
+    # Hashes as 32 bytes rather than 64 digits: half the bytes to shuffle, sort and store.
+    packed = written.withColumn("sha256", F.unhex("sha256"))
+    posts = postings(packed, lemmas, settings, positions=False)
     posts = posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     cut = F.pmod(F.xxhash64("sha256"), F.lit(cuts))
     posts.repartition("field", "bucket", cut).sortWithinPartitions(
@@ -104,9 +106,26 @@ def weighted_terms(queries: DataFrame, index: Index, settings: Settings = DEFAUL
     return materialize(weighted, "weighted-terms")
 
 
+def _readable(rows: DataFrame) -> DataFrame:
+    """Packed hashes as hexadecimal digits; both sort alike."""
+    return rows.withColumn("sha256", F.lower(F.hex("sha256")))
+
+
+def scoring(weighted: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, sha256, field, score) of every matching document and field."""
+    return _readable(field_scores(weighted, index.postings, settings))
+
+
 def ranking(weighted: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
     """(query_id, sha256, score) of every matching document."""
-    return best_fields(field_scores(weighted, index.postings, settings), settings)
+    return _readable(best_fields(field_scores(weighted, index.postings, settings), settings))
+
+
+def _page(
+    weighted: DataFrame, index: Index, offset: int, size: int, settings: Settings
+) -> DataFrame:
+    ranked = best_fields(field_scores(weighted, index.postings, settings), settings)
+    return _readable(result_page(ranked, offset, size))
 
 
 def search(
@@ -118,8 +137,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, sha256, score) of one page of every query (query_id, q)."""
     check_page(offset, size, settings)
-    weighted = weighted_terms(queries, index, settings)
-    return result_page(ranking(weighted, index, settings), offset, size)
+    return _page(weighted_terms(queries, index, settings), index, offset, size, settings)
 
 
 def search_totals(
@@ -144,9 +162,7 @@ def search_hits(
     """One row per hit: rank, filename, score, highlights and where the object is."""
     check_page(offset, size, settings)
     weighted = weighted_terms(queries, index, settings)
-    page = materialize(
-        result_page(ranking(weighted, index, settings), offset, size), "page"
-    )
+    page = materialize(_page(weighted, index, offset, size, settings), "page")
     found = hit_documents(page, index)
     marked = highlights(
         found.select("query_id", "sha256", "content"), weighted, index.lemmas, settings

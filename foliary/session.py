@@ -63,6 +63,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work a task per core when the input has fewer splits than that.
+
+    A large input has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def rows_within(df: DataFrame, limit: int) -> bool:
     """Whether the frame has at most `limit` rows; counts no further than that."""
     return df.select(F.lit(1).alias("one")).limit(limit + 1).count() <= limit
