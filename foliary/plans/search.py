@@ -118,13 +118,13 @@ def scoring(weighted: DataFrame, index: Index, settings: Settings = DEFAULTS) ->
 
 def ranking(weighted: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
     """(query_id, sha256, score) of every matching document."""
-    return _readable(best_fields(field_scores(weighted, index.postings, settings), settings))
+    return _readable(best_fields(weighted, index.postings, settings))
 
 
 def _page(
     weighted: DataFrame, index: Index, offset: int, size: int, settings: Settings
 ) -> DataFrame:
-    ranked = best_fields(field_scores(weighted, index.postings, settings), settings)
+    ranked = best_fields(weighted, index.postings, settings)
     return _readable(result_page(ranked, offset, size))
 
 
