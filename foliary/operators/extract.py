@@ -29,7 +29,7 @@ MARKUP_STEPS = (
 )
 # Named character entities; the ampersand comes last.
 ENTITIES = (
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&copy;", "©"),
     ("&middot;", "·"),
     ("&lt;", "<"),
