@@ -684,7 +684,7 @@ LEFT JOIN (SELECT query_id, sha256, count(*) AS fragments FROM marked GROUP BY A
         f"SELECT page_id, {lit(k)} AS name, {v} AS value FROM pages" for k, v in values.items()
     ) + ") WHERE value <> ''"
     after = _seen_parts("job_updates")
-    for name in ("ingest_jobs", "stream_ingest_jobs"):
+    for name in ("ingest_jobs", "stream_ingest"):
         sql[name] = with_parts(registry_row("ingested"), after)
     sql["ingest_corpus"] = with_parts(
         f"""

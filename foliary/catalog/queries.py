@@ -14,11 +14,11 @@ from foliary.functions import text as tx
 from foliary.operators import affix, analyze, corpus, extract, reconcile, registry
 from foliary.plans import ingest as jobs
 from foliary.plans import search as plans
+from foliary.schemas import CORPUS, REGISTRY
 from foliary.session import configure, new_path, spread
 from foliary.sources import listing, messages
-from foliary.sources.tables import current, publish
-from foliary.schemas import CORPUS, REGISTRY
-from foliary.streaming.jobs import Store, append_sidecars, ingest_batch, stream_ingest
+from foliary.sources.tables import append_sidecars, current, publish
+from foliary.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -516,8 +516,8 @@ def ingest_corpus(spark, sf):
 # Streams.
 
 
-def _store(spark, sf) -> Store:
-    store = Store(new_path(spark, "store"))
+def _store(spark, sf) -> streams.Store:
+    store = streams.Store(new_path(spark, "store"))
     publish(fx.registry(spark, sf), store.registry)
     publish(_indexed_before(spark, sf), store.corpus)
     verdict = F.lit(None).cast("boolean").alias("needs_ocr")
@@ -526,7 +526,7 @@ def _store(spark, sf) -> Store:
 
 
 @query
-def stream_ingest_jobs(spark, sf):
+def stream_ingest(spark, sf):
     """The jobs as a file stream; the registry after the stream has run dry."""
     store = _store(spark, sf)
     feed = new_path(spark, "feed")
@@ -534,7 +534,7 @@ def stream_ingest_jobs(spark, sf):
         "payload", (F.col("event_id") + 1).alias("seq")
     ).write.parquet(feed)
     payloads = spark.readStream.schema("payload string, seq long").parquet(feed)
-    stream_ingest(
+    streams.stream_ingest(
         payloads,
         lambda session: fx.objects(session, sf).drop("sha256"),
         store,
@@ -554,7 +554,7 @@ def replay_idempotent(spark, sf):
     payloads = fx.job_payloads(spark, sf).select("payload", (F.col("event_id") + 1).alias("seq"))
     found = fx.objects(spark, sf).drop("sha256")
     for _ in range(2):
-        ingest_batch(payloads, found, store, fx.AS_OF, "v2", fx.extractor, fx.SETTINGS)
+        streams.ingest_batch(payloads, found, store, fx.AS_OF, "v2", fx.extractor, fx.SETTINGS)
     before = current(spark, store.corpus, CORPUS).select("sha256", F.lit(1).alias("searchable"))
     after = current(spark, store.registry, REGISTRY).join(before, "sha256", "left")
     return after.select(

@@ -99,21 +99,18 @@ def _last_states(
     )
 
 
-def apply_seen(
+def seen_states(
     registry: DataFrame,
     updates: DataFrame,
     slot_rows: int = DEFAULTS.slot_rows,
     slotted: bool | None = None,
 ) -> DataFrame:
-    """Upsert sightings into the registry, in sequence order.
+    """Where every hash the updates touch ends up; read by `surviving` and `retired`."""
+    return _last_states(_touched(registry, updates).filter("_touched"), updates, slot_rows, slotted)
 
-    The result equals applying the updates one by one: a hash keeps its status and error when
-    it is seen again, a place that now holds another hash drops the old row, and a worker
-    keeps a recorded filename while an upload replaces it. Rows no update touches pass
-    through without a shuffle of their own when the updates are few.
-    """
-    marked = _touched(registry, updates)
-    states = _last_states(marked.filter("_touched"), updates, slot_rows, slotted)
+
+def surviving(states: DataFrame) -> DataFrame:
+    """The registry rows of touched hashes."""
     named = F.coalesce(F.col("upload")["seq"] >= F.col("start")["seq"], F.lit(False))
     rows = states.filter(F.col("last")["_taken"].isNull()).select(
         "sha256",
@@ -124,19 +121,11 @@ def apply_seen(
         *[F.col("last")[c].alias(c) for c in ("content_type", "size_bytes", "etag", "seen_at")],
         *[F.col("start")[c].alias(c) for c in _KEPT],
     )
-    columns = REGISTRY.fieldNames()
-    return marked.filter(~F.col("_touched")).select(*columns).unionByName(rows.select(*columns))
+    return rows.select(*REGISTRY.fieldNames())
 
 
-def retired_rows(
-    registry: DataFrame,
-    updates: DataFrame,
-    slot_rows: int = DEFAULTS.slot_rows,
-    slotted: bool | None = None,
-) -> DataFrame:
-    """Hashes that end without a row, because another hash was seen at their last place."""
-    marked = _touched(registry, updates)
-    states = _last_states(marked.filter("_touched"), updates, slot_rows, slotted)
+def retired(states: DataFrame) -> DataFrame:
+    """Touched hashes that end without a row, and the hash seen at their last place."""
     last = F.col("last")
     return states.filter(last["_taken"].isNotNull()).select(
         "sha256",
@@ -146,6 +135,34 @@ def retired_rows(
     )
 
 
+def apply_seen(
+    registry: DataFrame,
+    updates: DataFrame,
+    slot_rows: int = DEFAULTS.slot_rows,
+    slotted: bool | None = None,
+) -> DataFrame:
+    """Upsert sightings into the registry, in sequence order.
+
+    The result equals applying the updates one by one: a hash keeps its status and error when
+    it is seen again, a place that now holds another hash drops the old row, and a worker
+    keeps a recorded filename while an upload replaces it. Rows no update touches pass
+    through without a shuffle of their own when the updates are few.
+    """
+    states = seen_states(registry, updates, slot_rows, slotted)
+    untouched = _touched(registry, updates).filter(~F.col("_touched"))
+    return untouched.select(*REGISTRY.fieldNames()).unionByName(surviving(states))
+
+
+def retired_rows(
+    registry: DataFrame,
+    updates: DataFrame,
+    slot_rows: int = DEFAULTS.slot_rows,
+    slotted: bool | None = None,
+) -> DataFrame:
+    """Hashes that lose their row to the updates, or got none."""
+    return retired(seen_states(registry, updates, slot_rows, slotted))
+
+
 def apply_outcomes(registry: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Apply status changes, in sequence order, to the rows of the registry.
 

@@ -17,20 +17,34 @@ from foliary.operators.extract import (
     outcome_class,
     outcome_message,
 )
-from foliary.operators.registry import PLACE, apply_outcomes, apply_seen
-from foliary.schemas import CORPUS_COLUMNS
+from foliary.operators.registry import (
+    PLACE,
+    apply_outcomes,
+    apply_seen,
+    retired,
+    seen_states,
+    surviving,
+)
+from foliary.schemas import CORPUS_COLUMNS, REGISTRY
 from foliary.session import lookup_join, materialize, rows_within
 from foliary.settings import DEFAULTS, Settings
 
 
 @dataclass(frozen=True)
 class IngestResult:
-    """Frames a batch produces; the caller decides where they are written."""
+    """What a batch changes, and the tables after it.
 
-    registry: DataFrame
+    A running store writes the changes only; `registry` and `corpus` are whole tables and cost
+    a whole rewrite.
+    """
+
+    registry_rows: DataFrame
+    retired: DataFrame
     new_sidecars: DataFrame
-    corpus: DataFrame
+    corpus_rows: DataFrame
     missing: DataFrame
+    registry: DataFrame
+    corpus: DataFrame
 
 
 def sightings(
@@ -83,10 +97,8 @@ def ingest(
     """
     stamp = F.lit(as_of).cast("timestamp")
     events = materialize(sightings(jobs, objects, as_of, settings), "sightings")
-    seen = apply_seen(registry, events, settings.slot_rows)
-    batch = materialize(
-        seen.join(events.select("sha256").distinct(), "sha256", "left_semi"), "batch"
-    )
+    states = materialize(seen_states(registry, events, settings.slot_rows), "states")
+    batch = surviving(states)
 
     wanted = cache_misses(batch, sidecars).select("sha256", *PLACE)
     if rows_within(wanted, settings.broadcast_rows):
@@ -169,9 +181,14 @@ def ingest(
         .withColumn("seq", F.lit(1))
         .select("seq", *CORPUS_COLUMNS)
     )
+    changed = apply_outcomes(batch, outcomes)
+    untouched = registry.join(states.select("sha256"), "sha256", "left_anti")
     return IngestResult(
-        registry=apply_outcomes(seen, outcomes),
+        registry_rows=changed,
+        retired=retired(states),
         new_sidecars=new_sidecars,
+        corpus_rows=writes.select(*CORPUS_COLUMNS),
+        registry=untouched.select(*REGISTRY.fieldNames()).unionByName(changed),
         corpus=corpus_upsert(corpus, writes),
         missing=jobs.select(*PLACE).distinct().join(objects.select(*PLACE), PLACE, "left_anti"),
     )

@@ -60,7 +60,7 @@ def write_index(
     total = input_bytes(corpus)
     target = settings.target_partition_bytes
     buckets = layout(total, target, 8, 1024)
-    cuts = layout(total, target * buckets, 1, 100_000)
+    cuts = layout(4 * total, target * buckets, 1, 100_000)
     digits = len(f"{layout(total, target, 2, 65_536) - 1:x}")
 
     if lemmas is not None:

@@ -15,7 +15,7 @@ from foliary.plans.ingest import ingest
 from foliary.schemas import CORPUS, REGISTRY
 from foliary.settings import DEFAULTS, Settings
 from foliary.sources.messages import decode_jobs
-from foliary.sources.tables import append_sidecars, current, publish, read_sidecars
+from foliary.sources.tables import append_sidecars, current, read_sidecars, write_changes
 
 
 @dataclass(frozen=True)
@@ -46,9 +46,9 @@ def ingest_batch(
     extractor: Callable[[DataFrame], DataFrame] = builtin_extractor,
     settings: Settings = DEFAULTS,
 ) -> None:
-    """Run one batch of payloads against the store's tables and publish the results.
+    """Run one batch of payloads against the store's tables and write what it changes.
 
-    Stored texts are added first and the registry is switched last, so a batch that is lost
+    Stored texts are added first and the registry changes last, so a batch that is lost
     half-way and run again finds its texts and ends in the same state. `payloads` may carry
     its own order as `seq`.
     """
@@ -68,8 +68,8 @@ def ingest_batch(
         settings,
     )
     append_sidecars(result.new_sidecars, store.sidecars)
-    publish(result.corpus, store.corpus)
-    publish(result.registry, store.registry)
+    write_changes(result.corpus_rows, store.corpus)
+    write_changes(result.registry_rows, store.registry, result.retired)
 
 
 def stream_ingest(

@@ -9,7 +9,15 @@ from foliary.plans.ingest import ingest
 from foliary.schemas import CORPUS, REGISTRY
 from foliary.session import new_path
 from foliary.sources.listing import list_directory, read_objects
-from foliary.sources.tables import append_sidecars, current, publish, read_sidecars, versions
+from foliary.sources.tables import (
+    append_sidecars,
+    compact,
+    current,
+    publish,
+    read_sidecars,
+    versions,
+    write_changes,
+)
 from foliary.streaming.jobs import Store, ingest_batch, stream_ingest
 from tests import model
 
@@ -152,3 +160,20 @@ def test_versions(spark, tmp_path):
     assert versions(spark, path) == [1, 2]
     assert first.count() == 3
     assert current(spark, path, first.schema).count() == 2
+
+
+def test_changes(spark, tmp_path):
+    path, schema = str(tmp_path / "table"), "sha256 string, n long"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    table = rows(("a", 1), ("b", 1), ("c", 1))
+    read = lambda: {tuple(r) for r in current(spark, path, table.schema).collect()}
+    publish(table, path)
+    write_changes(rows(("a", 2), ("d", 2)), path, rows(("b", 0)))
+    assert read() == {("a", 2), ("c", 1), ("d", 2)}
+    write_changes(rows(("b", 3), ("d", 3)), path)
+    expected = {("a", 2), ("b", 3), ("c", 1), ("d", 3)}
+    assert read() == expected
+    compact(spark, path, table.schema)
+    assert versions(spark, path) == [1, 4] and read() == expected
+    write_changes(rows(("e", 5)), path, rows(("a", 0)))
+    assert read() == {("b", 3), ("c", 1), ("d", 3), ("e", 5)}
