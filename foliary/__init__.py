@@ -7,7 +7,14 @@ from foliary.operators.highlight import highlights
 from foliary.operators.reconcile import index_audit, reconcile, sweep_summary
 from foliary.operators.registry import apply_outcomes, apply_seen, retired_rows
 from foliary.plans.ingest import batch_ingest, ingest
-from foliary.plans.search import open_index, search, search_hits, search_totals, write_index
+from foliary.plans.search import (
+    extend_index,
+    open_index,
+    search,
+    search_hits,
+    search_totals,
+    write_index,
+)
 from foliary.settings import Settings
 from foliary.streaming.jobs import Store, ingest_batch, stream_ingest, stream_sweeps
 
@@ -19,6 +26,7 @@ __all__ = [
     "apply_seen",
     "batch_ingest",
     "builtin_extractor",
+    "extend_index",
     "highlights",
     "index_audit",
     "ingest",

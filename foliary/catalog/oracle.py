@@ -654,7 +654,7 @@ FROM (SELECT *, concat(pos, ':', term) AS e FROM field_words) GROUP BY sha256, f
     )
     sql["best_fields"] = _search("SELECT query_id, sha256, round(score, 6) AS score FROM ranked")
     sql["search_total"] = _search("SELECT query_id, count(*) AS total FROM ranked GROUP BY query_id")
-    sql["search_page"] = _search(PAGE.format(20))
+    sql["search_page"] = sql["search_extended"] = _search(PAGE.format(20))
     sql["search_second_page"] = _search(PAGE.format(25) + " AND rank > 20")
     sql["search_exact"] = _search(PAGE.format(20), fuzzy=False)
     sql["search_many"] = _search(PAGE.format(10), "many_queries")

@@ -15,7 +15,7 @@ from foliary.operators import affix, analyze, corpus, extract, reconcile, regist
 from foliary.plans import ingest as jobs
 from foliary.plans import search as plans
 from foliary.schemas import CORPUS, REGISTRY
-from foliary.session import configure, new_path, spread
+from foliary.session import configure, materialize, new_path, spread
 from foliary.sources import listing, messages
 from foliary.sources.tables import append_sidecars, current, publish
 from foliary.streaming import jobs as streams
@@ -247,9 +247,8 @@ def index_audit(spark, sf):
 
 @query
 def expand_dictionary(spark, sf):
-    return affix.expand_dictionary(
-        fx.stems(spark, sf), fx.affixes(spark), fx.FORBIDDEN_FLAG, fx.SETTINGS
-    )
+    stems = materialize(fx.stems(spark, sf), "stems")
+    return affix.expand_dictionary(stems, fx.affixes(spark), fx.FORBIDDEN_FLAG, fx.SETTINGS)
 
 
 # Registry state.
@@ -431,6 +430,17 @@ def search_many(spark, sf):
     return _page(plans.search(queries, fx.index(spark, sf), size=10, settings=fx.SETTINGS))
 
 
+@query
+def search_extended(spark, sf):
+    """The first page over an index that was written in two parts."""
+    docs = fx.corpus(spark, sf)
+    path = new_path(spark, "index")
+    first = docs.filter("size_bytes % 2 = 0")
+    plans.write_index(first, path, fx.lemmas(spark, sf), fx.SETTINGS)
+    whole = plans.extend_index(docs, path, fx.SETTINGS)
+    return _page(plans.search(fx.search_queries(spark), whole, settings=fx.SETTINGS))
+
+
 @query
 def highlights(spark, sf):
     hits = plans.search_hits(

@@ -173,7 +173,7 @@ def term_stats(posts: DataFrame) -> DataFrame:
 
 
 def field_stats(terms: DataFrame) -> DataFrame:
-    """(field, docs, avg_length) from the vocabulary: a handful of rows."""
+    """(field, docs, avg_length) from the vocabulary or sums of it: a handful of rows."""
     return terms.groupBy("field").agg(
         F.sum("opens").alias("docs"),
         (F.sum("total_tf") / F.sum("opens")).alias("avg_length"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from foliary.operators.search import (
 from foliary.schemas import CORPUS_COLUMNS
 from foliary.session import input_bytes, layout, materialize
 from foliary.settings import DEFAULTS, Settings
+from foliary.sources.tables import numbers
 
 
 @dataclass(frozen=True)
@@ -30,13 +32,10 @@ class Index:
     corpus: DataFrame
     postings: DataFrame
     vocabulary: DataFrame
+    fields: DataFrame
     digits: int
     lemmas: DataFrame | None = None
 
-    @property
-    def fields(self) -> DataFrame:
-        return field_stats(self.vocabulary)
-
 
 def _shard(digits: int) -> Column:
     """The corpus folder of a hash; the letter keeps all-digit names text."""
@@ -60,42 +59,90 @@ def write_index(
     total = input_bytes(corpus)
     target = settings.target_partition_bytes
     buckets = layout(total, target, 8, 1024)
-    cuts = layout(4 * total, target * buckets, 1, 100_000)
     digits = len(f"{layout(total, target, 2, 65_536) - 1:x}")
-
     if lemmas is not None:
         lemmas.select("surface", "lemma").write.parquet(f"{path}/lemmas")
-        lemmas = spark.read.parquet(f"{path}/lemmas")
+    widths = spark.createDataFrame(
+        [(buckets, digits, lemmas is not None)], "buckets int, digits int, lemmas boolean"
+    )
+    widths.write.parquet(f"{path}/layout")
+    _write_segment(corpus, path, settings)
+    return open_index(spark, path)
+
+
+def extend_index(corpus: DataFrame, path: str, settings: Settings = DEFAULTS) -> Index:
+    """Add corpus rows to an index; hashes it has already are skipped.
+
+    Equal hashes are equal texts, so nothing written before changes: the new documents become
+    a segment of their own, and a search reads all segments. Rebuild with `write_index` when
+    they have become many, or to take over new names of known hashes.
+    """
+    spark = corpus.sparkSession
+    known = open_index(spark, path).corpus.select("sha256")
+    new = materialize(corpus.join(known, "sha256", "left_anti"), "new-documents")
+    if not new.isEmpty():
+        _write_segment(new, path, settings)
+    return open_index(spark, path)
+
+
+def _write_segment(corpus: DataFrame, path: str, settings: Settings) -> None:
+    """Analyse documents into the next segment; it counts once its last table is written."""
+    spark = corpus.sparkSession
+    buckets, digits, lemmas = _layout(spark, path)
+    done = numbers(spark, path, "segment-", "fields/_SUCCESS")
+    folder = f"{path}/segment-{(done[-1] if done else 0) + 1:06d}"
+    target = settings.target_partition_bytes
+    cuts = layout(4 * input_bytes(corpus), target * buckets, 1, 100_000)
+
     corpus.select(*CORPUS_COLUMNS, _shard(digits).alias("shard")).repartition(
         "shard"
-    ).sortWithinPartitions("shard", "sha256").write.partitionBy("shard").parquet(f"{path}/corpus")
-    written = spark.read.parquet(f"{path}/corpus")
+    ).sortWithinPartitions("shard", "sha256").write.mode("overwrite").partitionBy(
+        "shard"
+    ).parquet(f"{folder}/corpus")
 
     # Hashes as 32 bytes rather than 64 digits: half the bytes to shuffle, sort and store.
-    packed = written.withColumn("sha256", F.unhex("sha256"))
+    packed = spark.read.parquet(f"{folder}/corpus").withColumn("sha256", F.unhex("sha256"))
     posts = postings(packed, lemmas, settings, positions=False)
     posts = posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     cut = F.pmod(F.xxhash64("sha256"), F.lit(cuts))
     posts.repartition("field", "bucket", cut).sortWithinPartitions(
         "field", "bucket", "term"
-    ).write.partitionBy("field", "bucket").parquet(f"{path}/postings")
+    ).write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{folder}/postings")
+
+    vocabulary = term_stats(spark.read.parquet(f"{folder}/postings"))
+    vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    sums = spark.read.parquet(f"{folder}/vocabulary").groupBy("field")
+    sums.agg(F.sum("opens").alias("opens"), F.sum("total_tf").alias("total_tf")).write.mode(
+        "overwrite"
+    ).parquet(f"{folder}/fields")
 
-    term_stats(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/vocabulary")
-    spark.createDataFrame([(digits, lemmas is not None)], "digits int, lemmas boolean").write.parquet(
-        f"{path}/layout"
-    )
-    return open_index(spark, path)
+
+def _layout(spark: SparkSession, path: str) -> tuple[int, int, DataFrame | None]:
+    buckets, digits, has_lemmas = spark.read.parquet(f"{path}/layout").first()
+    return buckets, digits, spark.read.parquet(f"{path}/lemmas") if has_lemmas else None
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """The index written below `path`."""
-    digits, has_lemmas = spark.read.parquet(f"{path}/layout").first()
+    """The index written below `path`, with all its complete segments."""
+    _, digits, lemmas = _layout(spark, path)
+    found = numbers(spark, path, "segment-", "fields/_SUCCESS")
+
+    def table(name: str) -> DataFrame:
+        parts = [spark.read.parquet(f"{path}/segment-{n:06d}/{name}") for n in found]
+        return reduce(DataFrame.unionByName, parts)
+
+    vocabulary = table("vocabulary")
+    if len(found) > 1:
+        vocabulary = vocabulary.groupBy("field", "bucket", "term").agg(
+            *[F.sum(c).alias(c) for c in ("doc_freq", "total_tf", "opens")]
+        )
     return Index(
-        corpus=spark.read.parquet(f"{path}/corpus"),
-        postings=spark.read.parquet(f"{path}/postings"),
-        vocabulary=spark.read.parquet(f"{path}/vocabulary"),
+        corpus=table("corpus"),
+        postings=table("postings"),
+        vocabulary=vocabulary,
+        fields=field_stats(table("fields")),
         digits=digits,
-        lemmas=spark.read.parquet(f"{path}/lemmas") if has_lemmas else None,
+        lemmas=lemmas,
     )
 
 
@@ -149,7 +196,9 @@ def search_totals(
 
 def hit_documents(page: DataFrame, index: Index) -> DataFrame:
     """The corpus rows of a written result page; only the folders of its hashes are read."""
-    return index.corpus.join(page.withColumn("shard", _shard(index.digits)), ["shard", "sha256"])
+    # Ranks start at one; saying so lets the page prune the corpus folders at run time.
+    hits = page.withColumn("shard", _shard(index.digits)).filter("rank > 0")
+    return index.corpus.join(hits, ["shard", "sha256"])
 
 
 def search_hits(

@@ -13,7 +13,9 @@ def _folder(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+def numbers(
+    spark: SparkSession, path: str, prefix: str, written_last: str = "_SUCCESS"
+) -> list[int]:
     """Numbers of the completely written folders of that prefix, ascending."""
     files, folder = _folder(spark, path)
     if not files.exists(folder):
@@ -22,7 +24,7 @@ def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
     for status in files.listStatus(folder):
         name = status.getPath().getName()
         number = name.removeprefix(prefix)
-        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), written_last)
         if name != number and number.isdigit() and files.exists(marker):
             done.append(int(number))
     return sorted(done)
@@ -30,11 +32,11 @@ def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions of a whole table."""
-    return _numbers(spark, path, "v")
+    return numbers(spark, path, "v")
 
 
 def _next(spark: SparkSession, path: str) -> int:
-    return max([0, *versions(spark, path), *_numbers(spark, f"{path}/changes", "batch=")]) + 1
+    return max([0, *versions(spark, path), *numbers(spark, f"{path}/changes", "batch=")]) + 1
 
 
 def publish(df: DataFrame, path: str) -> DataFrame:
@@ -74,7 +76,7 @@ def current(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     base = spark.createDataFrame([], schema)
     if done:
         base = spark.read.schema(schema).parquet(f"{path}/v{newest:08d}")
-    pending = [n for n in _numbers(spark, f"{path}/changes", "batch=") if n > newest]
+    pending = [n for n in numbers(spark, f"{path}/changes", "batch=") if n > newest]
     if not pending:
         return base
     columns = StructType([StructField(f.name, f.dataType) for f in schema.fields])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliary.operators import search as ops
 from foliary.operators.analyze import analyze, postings
 from foliary.plans.search import (
+    extend_index,
     open_index,
     search,
     search_hits,
@@ -190,6 +191,20 @@ def test_best_expansions_are_kept(spark):
     assert got == ["abcdef", "abcdeg", "abcdeh"]
 
 
+def test_index_in_parts_equals_whole(spark, index):
+    path = new_path(spark, "test-index")
+    texts = documents(spark, TEXTS)
+    write_index(texts.filter("filename LIKE '%.txt'"), path, index.lemmas, SETTINGS)
+    extend_index(texts.filter("filename <> 'smlouva.pdf'"), path, SETTINGS)
+    whole = extend_index(texts, path, SETTINGS)
+    assert whole.corpus.count() == len(TEXTS)
+    again = extend_index(texts, path, SETTINGS)
+    assert again.postings.count() == index.postings.count()
+    assert sorted(again.fields.collect()) == sorted(index.fields.collect())
+    queries = ask(spark, "smluova beta", "zaruca", "dila cislo")
+    assert sorted(search(queries, again).collect()) == sorted(search(queries, index).collect())
+
+
 def plan_of(df) -> str:
     text = io.StringIO()
     with redirect_stdout(text):
