@@ -246,9 +246,9 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.when(F.col("n_chars") < 100, F.array(step(1, "needs_ocr"))).when(
         F.col("doc_id") % 7 != 0, F.array(step(1, "indexed"))
     )
-    none = F.filter(F.array(step(0, "extracted")), lambda _: F.lit(False))
+    extracted = F.array(step(0, "extracted"))
     steps = F.when(failed, F.array(step(1, "error"))).otherwise(
-        F.concat(F.array(step(0, "extracted")), F.coalesce(last, none))
+        F.coalesce(F.concat(extracted, last), extracted)
     )
     return docs.select("sha256", "doc_id", F.explode(steps).alias("s")).select(
         "s.seq",

@@ -29,10 +29,7 @@ SALTED = replace(SETTINGS, broadcast_rows=0, salts=3, rows_per_task=1)
 
 
 def documents(spark, texts):
-    rows = [
-        (F.sha2(F.lit(text), 256), name, text) for name, text in texts.items()
-    ]
-    df = spark.createDataFrame([(name, text) for _, name, text in rows], "filename string, content string")
+    df = spark.createDataFrame(list(texts.items()), "filename string, content string")
     df = df.withColumn("sha256", F.sha2("content", 256)).withColumns(
         {
             "s3_bucket": F.lit("documents"),
@@ -112,7 +109,7 @@ def test_name_hit_has_no_fragments(spark, index):
 
 def test_fragments_are_short_few_and_in_order(spark, index):
     hit = search_hits(ask(spark, "alpha beta"), index, settings=EXACT).first()
-    assert hit.highlights[:2] == ["<em>alpha</em> <em>beta</em>.", "<em>alpha</em> gamma!"] or hit.highlights[0] == "<em>alpha</em> <em>beta</em>."
+    assert hit.highlights[0] == "<em>alpha</em> <em>beta</em>."
     assert len(hit.highlights) == 3
     assert all(len(h.replace("<em>", "").replace("</em>", "")) <= 201 for h in hit.highlights)
 
