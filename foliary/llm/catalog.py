@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliary.llm import bpe
-from foliary.llm.common import table
+from foliary.llm import (
+    bpe,
+    decontaminate,
+    jaccard,
+    language_model,
+    main_text,
+    neighbours,
+    secrets,
+    shards,
+    toxicity,
+)
+from foliary.llm.common import fold, table
 from foliary.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +39,46 @@ def query(function: Query) -> Query:
 def op2_byte_bpe(spark, sf):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digest(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op3_nearest_vectors(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return neighbours.search(vectors, "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op4_secret_scan(spark, sf):
+    return secrets.report(table(spark, sf, "documents"), owner="source", repository="doc_id")
+
+
+@query
+def op5_main_text(spark, sf):
+    return main_text.report(table(spark, sf, "pages"))
+
+
+@query
+def op6_toxicity(spark, sf):
+    held_out = fold("doc_id", 5) == 0
+    return toxicity.report(table(spark, sf, "documents"), table(spark, sf, "labels"), held_out)
+
+
+@query
+def op7_benchmark_windows(spark, sf):
+    return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op8_jaccard_join(spark, sf):
+    return jaccard.report(table(spark, sf, "documents"))
+
+
+@query
+def op9_language_model(spark, sf):
+    part = language_model.split(fold("doc_id", 7), test=2, kept=3)
+    return language_model.score(table(spark, sf, "documents"), part)
+
+
+@query
+def op10_shards(spark, sf):
+    return shards.shard_documents(table(spark, sf, "documents"), [1.0] * 8, added=1.0)
