@@ -32,8 +32,8 @@ from foliary.session import materialize
 
 BITS = 20
 TRAIN_ROWS = 10_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.1
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 #: Words that a worker remembers.
 KNOWN = 400_000
 #: Signs at the edges of a word that do not belong to it.
