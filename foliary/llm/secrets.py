@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -135,9 +135,12 @@ def report(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     found = scan(docs, owner, repository)
     names = F.array(*[F.lit(k) for k in KINDS])
 
-    def count(test) -> Column:
+    def count(test: Callable[[Column], Column]) -> Column:
         return F.size(F.filter("findings", test)).cast("long")
 
+    def of_kind(number: int) -> Callable[[Column], Column]:
+        return lambda x: x["kind"] == number
+
     def spelled(spans: Column) -> Column:
         one = F.transform(
             spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))
@@ -147,7 +150,7 @@ def report(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     base = F.filter("findings", lambda x: x["kind"] < KINDS.index("bare"))
     return found.select(
         "doc_id",
-        *[count(lambda x, i=i: x["kind"] == i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
+        *[count(of_kind(i)).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
         F.sha2(spelled(base), 256).alias("base_sha256"),
         spelled(F.col("findings")).alias("spans"),
         count(lambda x: x["live"]).alias("n_live"),
