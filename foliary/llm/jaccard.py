@@ -103,25 +103,28 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The class and size of every document; at the end, the task's group counts."""
     known, counts = Hashes(), np.zeros(1 << GROUP_BITS, np.int64)
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("groups", pa.list_(pa.int64()))]
-    )
+        [
+            ("doc_id", pa.int64()), ("text_key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()),
+            ("point", pa.binary()), ("groups", pa.list_(pa.int64())),
+        ]
+    )
 
-    def rows(ids, keys, classes, sizes, groups):
-        return pa.RecordBatch.from_arrays(
-            [ids, keys, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), groups], schema=schema
-        )
+    def rows(ids, keys, classes, sizes, points, groups):
+        own = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())]
+        return pa.RecordBatch.from_arrays([ids, keys, *own, groups], schema=schema)
 
-    for batch in batches:
-        classes, sizes = [], []
+    for batch in pieces(batches):
+        classes, sizes, points = [], [], []
         for text in batch.column("text").to_pylist():
             found = shingles(text, known)
             counts += np.bincount((found >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=len(counts))
             classes.append(class_of(found) if len(found) else None)
             sizes.append(len(found))
+            points.append(point(found))
         none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
-        yield rows(batch.column("doc_id"), batch.column("text_key"), classes, sizes, none)
+        yield rows(batch.column("doc_id"), batch.column("text_key"), classes, sizes, points, none)
     one = pa.nulls(1, pa.int64())
-    yield rows(one, one, [None], [-1], pa.array([counts.tolist()], pa.list_(pa.int64())))
+    yield rows(one, one, [None], [-1], [None], pa.array([counts.tolist()], pa.list_(pa.int64())))
 
 
 def _leading(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:
@@ -177,42 +180,55 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set and point of the documents that stand for a class."""
+    """The sets of the documents that stand for a class."""
     known = Hashes()
     for batch in pieces(batches):
-        names, sizes, sets, points = [], [], [], []
+        names, sets = [], []
         for name, text in zip(batch.column("class").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found = shingles(text, known)
             if len(found) and class_of(found) == name:
                 names.append(name)
-                sizes.append(len(found))
                 sets.append(found.tobytes())
-                points.append(point(found).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(points, pa.binary())],
-            names=["class", "n", "shingles", "point"],
+            [pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["class", "shingles"]
         )
 
 
-def point(found: np.ndarray) -> np.ndarray:
-    """The set's shingles counted in groups."""
-    return np.bincount((found % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
+def point(found: np.ndarray) -> bytes:
+    """The set's shingles counted in groups, a byte for each; `coordinates` adds what a byte can't hold."""
+    counts = np.bincount((found % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def coordinates(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Points as rows; the last coordinate is the part of the size that the bytes do not hold.
+
+    Summed minima of two such rows are never less than the overlap.
+    """
+    held = np.frombuffer(b"".join(points), np.uint8).reshape(-1, DIMENSIONS).astype(np.int32)
+    return np.concatenate([held, (sizes - held.sum(axis=1)).astype(np.int32)[:, None]], axis=1)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose points allow an overlap that is large enough."""
+    for batch in batches:
+        n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        a = coordinates(batch.column("point_a").to_pylist(), n_a)
+        b = coordinates(batch.column("point_b").to_pylist(), n_b)
+        good = np.minimum(a, b).sum(axis=1) >= needed(n_a, n_b)
+        yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets are similar; the points' bound spares most other sets a look."""
+    """The pairs whose sets are similar."""
     for batch in pieces(batches):
         keep = []
-        cols = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "point_a", "point_b", "shingles_a", "shingles_b")]
-        for n_a, n_b, p_a, p_b, s_a, s_b in zip(*cols, strict=True):
-            need = -((-PERCENT * (n_a + n_b)) // (100 + PERCENT))
-            bound = np.minimum(np.frombuffer(p_a, np.int32), np.frombuffer(p_b, np.int32)).sum()
-            if bound < need:
-                keep.append(False)
-                continue
-            both = np.concatenate([np.frombuffer(s_a, np.uint64), np.frombuffer(s_b, np.uint64)])
+        for a, b in zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist(), strict=True):
+            both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
+            size = len(both)
             both.sort(kind="stable")
-            keep.append(bool((both[1:] == both[:-1]).sum() >= need))
+            overlap = int((both[1:] == both[:-1]).sum())
+            keep.append(100 * overlap >= PERCENT * (size - overlap))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -276,7 +292,7 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def joined() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
         names, sizes, roots, side = (rows.column(c).to_numpy() for c in ("class", "n", "root", "side"))
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+        points = coordinates(rows.column("point").to_pylist(), sizes)
         left, right = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
         for i, j in tree_join(points, sizes, roots, left, left if (side == 2).all() else right):
             a, b = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
@@ -295,16 +311,25 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from joined()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar."""
-    a = sets.select(*[F.col(c).alias(f"{c}_a") for c in sets.columns]).withColumnRenamed("class_a", "a")
-    b = sets.select(*[F.col(c).alias(f"{c}_b") for c in sets.columns]).withColumnRenamed("class_b", "b")
-    sized = pairs.join(a.select("a", "n_a"), "a").join(b.select("b", "n_b"), "b")
-    close = sized.filter(
-        (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
-    )
-    both = close.drop("n_a", "n_b").join(a, "a").join(b, "b")
-    return both.mapInArrow(_verify, "a long, b long")
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are similar, of those whose points allow it."""
+
+    def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.select(F.col("class").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    placed = pairs.join(side(classes, "a", "n", "point"), "a").join(side(classes, "b", "n", "point"), "b")
+    sized = placed.filter("n_a * 100 >= n_b * {0} AND n_b * 100 >= n_a * {0}".format(PERCENT))
+    close = materialize(sized.mapInArrow(_bounded, "a long, b long"), "close")
+
+    wanted = close.select(F.col("a").alias("class")).unionByName(close.select(F.col("b").alias("class")))
+    stands = materialize(classes.join(wanted.distinct(), "class").select("class", "doc_id"), "stands")
+    stands = _checked(stands)
+    chosen = texts.join(stands, texts["doc_id"].eqNullSafe(stands["doc_id"])).select("class", "text")
+    sets = materialize(chosen.mapInArrow(_sets, "class long, shingles binary"), "sets")
+    if not sets.groupBy("class").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["class"])
+    both = close.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
+    return materialize(both.mapInArrow(_verify, "a long, b long"), "links")
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -320,12 +345,12 @@ def _profiled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         text_of("text").cast("binary").alias("text"),
     )
     profile = texts.mapInArrow(
-        _profile, "doc_id long, text_key long, class long, n long, groups array<long>"
+        _profile, "doc_id long, text_key long, class long, n long, point binary, groups array<long>"
     )
     return texts, materialize(profile, "profile")
 
 
-def _united(texts: DataFrame, profile: DataFrame) -> DataFrame:
+def _united(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, root) for the classes that are linked with another one."""
     spark = texts.sparkSession
     counts = np.zeros(1 << GROUP_BITS, np.int64)
@@ -346,17 +371,8 @@ def _united(texts: DataFrame, profile: DataFrame) -> DataFrame:
     lists = lists.groupBy("size", "members", "first").agg(F.min("token").alias("token"))
     blocks = materialize(shared.join(lists.select("token", "size", "first"), "token"), "blocks")
 
-    wanted = blocks.select("class").distinct()
-    stands = profile.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    stands = materialize(stands.join(wanted, "class"), "stands").withColumnRenamed("doc_id", "_id")
-    chosen = texts.join(_checked(stands), F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = chosen.select("class", "text").mapInArrow(
-        _sets, "class long, n long, shingles binary, point binary"
-    )
-    sets = materialize(sets.dropDuplicates(["class"]), "sets")
-
     stars = blocks.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
-    links = materialize(_linked(stars.distinct(), sets), "links")
+    links = _linked(stars.distinct(), classes, texts)
     roots = materialize(components(links), "roots")
 
     placed = blocks.join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -374,13 +390,13 @@ def _united(texts: DataFrame, profile: DataFrame) -> DataFrame:
         .join(open_blocks, "token")
         .withColumn("own", own)
         .withColumn("other", other)
-        .join(sets.select("class", "n", "point"), "class")
+        .join(classes.select("class", "n", "point"), "class")
     )
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     block = F.concat_ws(":", "token", F.least("own", "other"), F.greatest("own", "other"))
     cut = cut.select(block.alias("block"), side.cast("int").alias("side"), "class", "n", "root", "point")
     pairs = cut.repartition("block").sortWithinPartitions("block").mapInArrow(_join_blocks, "a long, b long")
-    more = _linked(materialize(pairs.distinct(), "pairs"), sets)
+    more = _linked(materialize(pairs.distinct(), "pairs"), classes, texts)
     known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(known.unionByName(more)).withColumnRenamed("node", "class")
 
@@ -391,11 +407,14 @@ def groups(docs: DataFrame) -> DataFrame:
     `root` names a component and is null for documents without a set.
     """
     texts, profile = _profiled(docs)
-    roots = _united(texts, profile)
     rows = profile.filter("n >= 0").select("doc_id", "text_key", "class", "n")
-    classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    classes = profile.filter("class IS NOT NULL").groupBy("class").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")
+    )
     classes = materialize(classes, "classes")
+    roots = _united(texts, profile, classes)
+    classes = classes.select("class", F.col("doc_id").alias("least")).join(roots, "class", "left")
+    classes = materialize(classes.withColumn("root", F.coalesce("root", "class")), "roots")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.select("class", "root").join(least, "root")
     return rows.join(named, "class", "left").select(
@@ -422,10 +441,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     winners = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"))
     winners = winners.select("first.doc_id", "first.text_key")
     empty = found.filter("root IS NULL").select("doc_id", "text_key").distinct()
-    stays = materialize(winners.unionByName(empty), "stays")
-    stays = stays.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    kept = docs.join(_checked(stays), same, "left_semi")
+    stays = _checked(materialize(winners.unionByName(empty), "stays"))
+    same = docs["doc_id"].eqNullSafe(stays["doc_id"])
+    kept = docs.join(stays, same & (F.xxhash64(docs["text"]) == stays["text_key"]), "left_semi")
     repeated = found.filter("root IS NOT NULL").groupBy("doc_id", "text_key").count().filter("count > 1")
     if repeated.isEmpty():
         return kept
