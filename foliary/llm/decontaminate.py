@@ -14,6 +14,8 @@ empty benchmark leaves all documents clean. Only the columns named here are read
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,72 +34,53 @@ SMALL_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column) -> Column:
-    """The words of a text, A-Z in lower case."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.filter(F.split(lowered, BETWEEN), lambda w: w != "")
+def words(lowered: Column) -> Column:
+    """The words of a text whose A-Z are in lower case."""
+    parts = F.split(lowered, BETWEEN)
+    first = (F.get(parts, F.lit(0)) == "").cast("int")
+    last = ((F.get(parts, F.size(parts) - 1) == "") & (F.size(parts) > 1)).cast("int")
+    return F.slice(parts, first + 1, F.size(parts) - first - last)
 
 
-def _steps(size: Column) -> Column:
-    """The numbers below `size`; none if it is not positive."""
-    return F.when(size > 0, F.sequence(F.lit(0), size.cast("int") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
+def _hashes(text: Column) -> Column:
+    """Hashes of the words. All letters count as lower case here: what is equal stays equal, and
+    what should differ is told apart when hits are compared word by word."""
+    return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def grams(hashes: Column, length: int) -> Column:
-    """A hash of every run of `length` word hashes."""
-    return F.transform(
-        _steps(F.size(hashes) - length + 1),
-        lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(length)]),
-    )
+def _windows(df: DataFrame, length: int, *keep: str) -> DataFrame:
+    """A row for every `length` neighbours in the column `hashes`: their place `at`, and `gram`."""
+    count = F.greatest(F.size("hashes") - length + 1, F.lit(0))
+    zipped = F.arrays_zip(*[F.slice("hashes", i + 1, count) for i in range(length)])
+    return df.select(*keep, F.posexplode(zipped).alias("at", "gram"))
 
 
-def kept(gram_hashes: Column) -> Column:
-    """The smallest hash of every run."""
-    return F.array_distinct(
-        F.transform(
-            _steps(F.size(gram_hashes) - RUN + 1),
-            lambda i: F.least(*[F.get(gram_hashes, i + j) for j in range(RUN)]),
-        )
-    )
-
-
-def _profile(docs: DataFrame, short: list[int]) -> DataFrame:
-    """Per document its key, its words' count and the hashes that may meet an item."""
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_of("text").alias("text"))
-    found = found.select("doc_id", "text_key", words(F.col("text")).alias("words"))
-    found = found.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    parts = [kept(F.col("grams"))] + [grams(F.col("hashes"), n) for n in short]
-    return found.withColumn("grams", grams(F.col("hashes"), K)).select(
-        "doc_id",
-        "text_key",
-        F.size("words").cast("long").alias("n_words"),
-        F.array_distinct(F.concat(*parts)).alias("prints"),
-    )
+def _prints(df: DataFrame, short: Iterable[int], *keep: str) -> DataFrame:
+    """(keep, print, at): the smallest k-gram hash of every window and where it stands, and the
+    hashes of all runs of the lengths in `short`."""
+    long = _windows(df, GUARANTEE, *keep)
+    grams = [F.xxhash64(*[F.col("gram")[str(i + j)] for j in range(K)]).alias(f"gram{i}") for i in range(RUN)]
+    long = long.select(*keep, "at", *grams)
+    least = F.least(*[F.col(f"gram{i}") for i in range(RUN)])
+    long = long.select(*keep, "at", *[f"gram{i}" for i in range(RUN)], least.alias("print"))
+    shift = F.lit(RUN - 1)
+    for i in reversed(range(RUN - 1)):
+        shift = F.when(F.col(f"gram{i}") == F.col("print"), i).otherwise(shift)
+    found = long.select(*keep, "print", (F.col("at") + shift).alias("at"))
+    for n in short:
+        runs = _windows(df, n, *keep)
+        whole = F.xxhash64(F.lit(n), *[F.col("gram")[str(j)] for j in range(n)])
+        found = found.unionByName(runs.select(*keep, whole.alias("print"), "at"))
+    return found
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """Items with their words and the hashes by which they are found."""
+    """Items with their words, A-Z in lower case, and the hashes that stand for these."""
+    text = text_of("text")
     found = benchmark.filter("item_id IS NOT NULL").select(
-        "item_id", words(text_of("text")).alias("item_words")
-    )
-    found = found.filter(F.size("item_words") > 0).distinct()
-    found = found.withColumn("hashes", F.transform("item_words", lambda w: F.xxhash64(w)))
-    long_prints = kept(grams(F.col("hashes"), K))
-    whole = F.when(F.lit(False), F.lit(0).cast("long"))
-    for n in range(1, GUARANTEE):
-        whole = whole.when(
-            F.size("hashes") == n, F.xxhash64(*[F.get("hashes", F.lit(j)) for j in range(n)])
-        )
-    is_long = F.size("item_words") >= GUARANTEE
-    return found.withColumn("grams", grams(F.col("hashes"), K)).select(
-        "item_id",
-        "item_words",
-        "grams",
-        F.when(is_long, long_prints).otherwise(F.array(whole)).alias("prints"),
+        "item_id", words(F.translate(text, _UPPER, _LOWER)).alias("item_words"), _hashes(text).alias("hashes")
     )
+    return found.filter(F.size("item_words") > 0).distinct()
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -123,62 +106,29 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialize(_items(benchmark), "items")
     lengths = items.select(F.size("item_words").alias("n")).filter(F.col("n") < GUARANTEE)
     short = sorted(r["n"] for r in lengths.distinct().collect())  # fewer than GUARANTEE numbers
-    profile = materialize(_profile(docs, short), "prints")
-
-    prints = items.select("item_id", "item_words", F.explode("prints").alias("print"))
-    met = (
-        profile.select("doc_id", "text_key", F.explode("prints").alias("print"))
-        .join(_checked(prints.select("item_id", "print")), "print")
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_set("item_id").alias("near"))
-    )
-    met = materialize(met, "met")
-
-    same = (F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))) & (
-        F.xxhash64("d.text") == F.col("m.text_key")
-    )
-    texts = (
-        docs.select("doc_id", "text")
-        .alias("d")
-        .join(_checked(met).alias("m"), same)
-        .select("d.doc_id", "m.text_key", "m.near", words(text_of("d.text")).alias("words"))
-        .dropDuplicates(["doc_id", "text_key"])
-    )
-    pairs = texts.select("doc_id", "text_key", "words", F.explode("near").alias("item_id")).join(
-        _checked(items), "item_id"
-    )
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    pairs = pairs.withColumn("text_grams", grams(hashes, K))
-    # Where a kept hash of the item stands in it, and where in the text: the diagonals.
-    places = F.filter(
-        F.transform("grams", lambda g, j: F.struct(g.alias("gram"), j.alias("at"))),
-        lambda s: F.array_contains(F.col("prints"), s["gram"]),
-    )
-    text_places = F.filter(
-        F.transform("text_grams", lambda g, i: F.struct(g.alias("gram"), i.alias("at"))),
-        lambda s: F.array_contains(F.col("prints"), s["gram"]),
-    )
-    pairs = pairs.withColumn("places", places).withColumn("text_places", text_places)
-    shifts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "text_places",
-                lambda t: F.transform(
-                    F.filter("places", lambda p: p["gram"] == t["gram"]),
-                    lambda p: t["at"] - p["at"],
-                ),
-            )
-        )
-    )
-    every = F.sequence(F.lit(0), F.greatest(F.size("words") - F.size("item_words"), F.lit(0)))
-    pairs = pairs.withColumn(
-        "shifts", F.when(F.size("item_words") >= GUARANTEE, shifts).otherwise(every)
-    )
-    starts = F.array_distinct(
-        F.flatten(
-            F.transform("shifts", lambda s: _equal_starts(F.col("words"), F.col("item_words"), s))
-        )
-    )
+    item_prints = _prints(items, [], "item_id")
+    for n in short:
+        own = items.filter(F.size("item_words") == n)
+        item_prints = item_prints.unionByName(_prints(own, [n], "item_id"))
+    item_prints = materialize(item_prints.distinct(), "prints").select(
+        "item_id", "print", F.col("at").alias("item_at")
+    )
+
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_of("text").alias("text"))
+    hashed = keyed.select("doc_id", "text_key", _hashes(F.col("text")).alias("hashes"))
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    met = _prints(hashed, short, "doc_id", "text_key").join(_checked(item_prints), "print")
+    met = materialize(met.select("doc_id", "text_key", "item_id", shift).distinct(), "met")
+    near = met.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "shift")).alias("near"))
+    near = _checked(materialize(near, "near"))
+
+    same = keyed["doc_id"].eqNullSafe(near["doc_id"]) & (keyed["text_key"] == near["text_key"])
+    lowered = words(F.translate(keyed["text"], _UPPER, _LOWER))
+    texts = keyed.join(near, same).select(near["doc_id"], near["text_key"], "near", lowered.alias("words"))
+    texts = texts.dropDuplicates(["doc_id", "text_key"])
+    pairs = texts.select("doc_id", "text_key", "words", F.explode("near").alias("found"))
+    pairs = pairs.select("doc_id", "text_key", "words", "found.*").join(_checked(items.drop("hashes")), "item_id")
+    starts = _equal_starts(F.col("words"), F.col("item_words"), F.col("shift"))
     length = F.least(F.size("item_words"), F.lit(GUARANTEE))
     hit = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + length - 1))))
     hits = (
@@ -192,13 +142,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
     )
     hits = _checked(materialize(hits, "hits"))
-    on = profile["doc_id"].eqNullSafe(hits["doc_id"]) & (profile["text_key"] == hits["text_key"])
-    return profile.join(hits, on, "left").select(
-        profile["doc_id"],
-        profile["text_key"],
-        "n_words",
+    same = keyed["doc_id"].eqNullSafe(hits["doc_id"]) & (keyed["text_key"] == hits["text_key"])
+    return keyed.join(hits, same, "left").select(
+        keyed["doc_id"],
+        keyed["text_key"],
+        F.size(words(F.lower(keyed["text"]))).cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+        F.coalesce("items", F.array()).alias("items"),
     )
 
 
@@ -217,7 +167,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of an item occurs."""
-    dirty = occurrences(docs, benchmark).filter("n_hit > 0")
-    dirty = dirty.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    return docs.join(_checked(dirty), same, "left_anti")
+    dirty = occurrences(docs, benchmark).filter("n_hit > 0").select("doc_id", "text_key")
+    dirty = _checked(materialize(dirty.distinct(), "dirty"))
+    same = docs["doc_id"].eqNullSafe(dirty["doc_id"])
+    return docs.join(dirty, same & (F.xxhash64(docs["text"]) == dirty["text_key"]), "left_anti")
