@@ -13,6 +13,7 @@ from foliary.llm import (
     decontaminate,
     jaccard,
     language_model,
+    line_dedup,
     main_text,
     neighbours,
     secrets,
@@ -35,6 +36,11 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_line_dedup(spark, sf):
+    return line_dedup.report(table(spark, sf, "documents"))
+
+
 @query
 def op2_byte_bpe(spark, sf):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -166,6 +166,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, learns: Column) -> DataFrame:
     """The documents that the classifier does not reject."""
     bad = score(docs, labels, learns).filter("score >= 0.5")
     bad = materialize(bad.select("doc_id", "text_key").distinct(), "rejected")
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_key"])
     return docs.join(bad, same, "left_anti")
