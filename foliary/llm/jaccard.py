@@ -42,7 +42,7 @@ PERCENT = 75
 #: Groups of the corpus-wide count, as a power of two.
 GROUP_BITS = 14
 #: Coordinates of a point, points of a leaf, points of a block that one task joins.
-DIMENSIONS = 64
+DIMENSIONS = 512
 LEAF = 16
 BLOCK = 4096
 #: Words and classes that a worker remembers; rows up to which a side is broadcast.
@@ -195,18 +195,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def point(found: np.ndarray) -> bytes:
-    """The set's shingles counted in groups, a byte for each; `coordinates` adds what a byte can't hold."""
+    """The set's shingles counted in groups, four bits for each; `coordinates` adds what these can't hold."""
     counts = np.bincount((found % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    held = np.minimum(counts, 15).astype(np.uint8)
+    return (held[0::2] | (held[1::2] << 4)).tobytes()
 
 
 def coordinates(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Points as rows; the last coordinate is the part of the size that the bytes do not hold.
+    """Points as rows; the last coordinate is the part of the size that the four bits do not hold.
 
     Summed minima of two such rows are never less than the overlap.
     """
-    held = np.frombuffer(b"".join(points), np.uint8).reshape(-1, DIMENSIONS).astype(np.int32)
-    return np.concatenate([held, (sizes - held.sum(axis=1)).astype(np.int32)[:, None]], axis=1)
+    packed = np.frombuffer(b"".join(points), np.uint8).reshape(-1, DIMENSIONS // 2)
+    held = np.empty((len(packed), DIMENSIONS + 1), np.int32)
+    held[:, 0:-1:2], held[:, 1:-1:2] = packed & 15, packed >> 4
+    held[:, -1] = sizes - held[:, :-1].sum(axis=1)
+    return held
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
