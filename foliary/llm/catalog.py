@@ -21,11 +21,13 @@ from foliary.llm import (
     toxicity,
 )
 from foliary.llm.common import fold, table
+from foliary.llm.oracle import SQL
 from foliary.session import configure
 
+__all__ = ["QUERIES", "SQL"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 
 
 def query(function: Query) -> Query:
