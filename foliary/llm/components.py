@@ -1,8 +1,8 @@
 """Connected components of a large graph, as joins and aggregations.
 
 Every round points each node's larger neighbours at its smallest one (large star), then does the
-same among the smaller ones (small star). The rounds end when nothing changes. A node's edges are
-summed up before they are shuffled, and nodes with many edges are cut for the joins.
+same among the smaller ones (small star). The rounds end when nothing changes. A node's smallest
+neighbour is found before the shuffle, and adaptive execution cuts the edges of a node with many.
 """
 
 from __future__ import annotations
@@ -10,17 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.session import hot_key_join, materialize
-
-#: Edges of one node that a task takes.
-EDGES_PER_TASK = 200_000
+from foliary.session import materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One star step over directed edges (node, other)."""
     lowest = edges.groupBy("node").agg(F.min("other").alias("low"))
     lowest = lowest.withColumn("low", F.least("low", "node"))
-    joined = hot_key_join(edges, lowest, ["node"], "other", EDGES_PER_TASK)
+    joined = edges.join(lowest, "node")
     if not small:
         return joined.filter("other > node").select(F.col("other").alias("node"), F.col("low").alias("other"))
     down = joined.filter("other <> low").select(F.col("other").alias("node"), F.col("low").alias("other"))

@@ -8,7 +8,7 @@ are joined without any pair. What follows works on classes:
    first n - ceil(t n) + 1 shingles in any common order; in this one, passages that many
    documents repeat come last and bring few classes together.
 2. The classes with a common leading shingle are a block; blocks with the same members are one.
-   Every member is checked against its block's first member, and linked classes are united.
+   Every member is checked against the one that meets most others; linked classes are united.
 3. Blocks that are united need nothing more. In the others, every class is a point: its shingles
    counted in `DIMENSIONS` groups. An R-tree holds the points; the sum of the smaller coordinates
    of two boxes bounds the overlap below them, so most pairs are never looked at. What
@@ -41,8 +41,9 @@ WORDS = 5
 PERCENT = 75
 #: Groups of the corpus-wide count, as a power of two.
 GROUP_BITS = 14
-#: Coordinates of a point, points of a leaf, points of a block that one task joins.
-DIMENSIONS = 512
+#: Coordinates of a point, and of the folded points in a tree (a divisor of the former); points of
+#: a leaf, points of a block that one task joins.
+DIMENSIONS, FOLDED = 2048, 512
 LEAF = 16
 BLOCK = 4096
 #: Words and classes that a worker remembers; rows up to which a side is broadcast.
@@ -195,22 +196,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def point(found: np.ndarray) -> bytes:
-    """The set's shingles counted in groups, four bits for each; `coordinates` adds what these can't hold."""
+    """The set's shingles counted in groups, two bits for each; `coordinates` adds what these can't hold."""
     counts = np.bincount((found % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
-    held = np.minimum(counts, 15).astype(np.uint8)
-    return (held[0::2] | (held[1::2] << 4)).tobytes()
+    held = np.minimum(counts, 3).astype(np.uint8).reshape(4, -1)
+    return (held[0] | held[1] << 2 | held[2] << 4 | held[3] << 6).tobytes()
 
 
 def coordinates(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Points as rows; the last coordinate is the part of the size that the four bits do not hold.
+    """Points as rows; the last coordinate is the part of the size that the two bits do not hold.
 
     Summed minima of two such rows are never less than the overlap.
     """
-    packed = np.frombuffer(b"".join(points), np.uint8).reshape(-1, DIMENSIONS // 2)
-    held = np.empty((len(packed), DIMENSIONS + 1), np.int32)
-    held[:, 0:-1:2], held[:, 1:-1:2] = packed & 15, packed >> 4
-    held[:, -1] = sizes - held[:, :-1].sum(axis=1)
-    return held
+    packed = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
+    held = np.concatenate([packed >> shift & 3 for shift in (0, 2, 4, 6)], axis=1).astype(np.int32)
+    return np.concatenate([held, (sizes - held.sum(axis=1)).astype(np.int32)[:, None]], axis=1)
+
+
+def folded(points: np.ndarray) -> np.ndarray:
+    """Fewer coordinates, each the sum of several: a weaker bound that is quicker to compare."""
+    parts = points[:, :-1].reshape(len(points), -1, FOLDED).sum(axis=1)
+    return np.concatenate([parts, points[:, -1:]], axis=1)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +302,11 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
         names, sizes, roots, side = (rows.column(c).to_numpy() for c in ("class", "n", "root", "side"))
         points = coordinates(rows.column("point").to_pylist(), sizes)
+        small = folded(points)
         left, right = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
-        for i, j in tree_join(points, sizes, roots, left, left if (side == 2).all() else right):
+        for i, j in tree_join(small, sizes, roots, left, left if (side == 2).all() else right):
+            good = np.minimum(points[i], points[j]).sum(axis=1) >= needed(sizes[i], sizes[j])
+            i, j = i[good], j[good]
             a, b = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -369,11 +377,15 @@ def _united(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> DataFra
     )
     shared = materialize(shared, "shared")
     members = F.bit_xor(F.xxhash64("class")).alias("members")
-    lists = shared.groupBy("token").agg(
-        F.count(F.lit(1)).alias("size"), members, F.min("class").alias("first")
-    )
-    lists = lists.groupBy("size", "members", "first").agg(F.min("token").alias("token"))
-    blocks = materialize(shared.join(lists.select("token", "size", "first"), "token"), "blocks")
+    lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"), members, F.min("class").alias("low"))
+    lists = lists.groupBy("size", "members", "low").agg(F.min("token").alias("token"))
+    blocks = materialize(shared.join(lists.select("token", "size"), "token"), "members")
+    # The member that meets most others stands in the middle of its block: of an original and its
+    # edited copies, the original.
+    met = blocks.groupBy("class").agg(F.sum("size").alias("met"))
+    middle = F.max(F.struct("met", "class"))["class"].alias("first")
+    firsts = blocks.join(met, "class").groupBy("token").agg(middle)
+    blocks = materialize(blocks.join(firsts, "token"), "blocks")
 
     stars = blocks.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
     links = _linked(stars.distinct(), classes, texts)
