@@ -227,7 +227,7 @@ def extractor(found: DataFrame) -> DataFrame:
         F.length("content").cast("long").alias("n_chars"),
     )
     return extraction_meta(docs).select(
-        "sha256", "text", "meta", http_code().alias("http_code"), F.substring("text", 1, 800).alias("message")
+        "sha256", "text", "meta", http_code().alias("http_code"), F.col("text").alias("message")
     )
 
 

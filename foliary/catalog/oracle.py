@@ -6,7 +6,7 @@ import re
 
 from foliary.catalog import fixtures as fx
 from foliary.functions.text import FOLD_FROM, FOLD_TO, FOLD_WIDE, TOKEN_RE2
-from foliary.operators.extract import ENTITIES, MARKUP_STEPS, SPACE_STEPS, WHITE_SPACE
+from foliary.operators.extract import WHITE_SPACE
 from foliary.operators.highlight import fragment_pattern
 from foliary.settings import FIELD_BOOSTS
 
@@ -34,12 +34,24 @@ def base_name(key: str) -> str:
     return f"regexp_extract({key}, '[^/]*$')"
 
 
+# Written out for the given pages, apart from the rules of the engine.
+PAGE_STEPS = (
+    ("(?is)<script[^>]*>.*?</script>", " "),
+    ("(?is)<style[^>]*>.*?</style>", " "),
+    ("(?s)<!--.*?-->", " "),
+    ("(?i)</?(p|br|div|h1|li|ul|nav|article|footer|title|body|head|html)( [^>]*)?>", "\n"),
+    ("<[^>]+>", ""),
+    ("&copy;", "\u00a9"),
+    ("&middot;", "\u00b7"),
+    ("&quot;", '"'),
+    ("&amp;", "&"),
+    ("[ \t]+", " "),
+    (r"\s*\n\s*", "\n"),
+)
+
+
 def markup_text(html: str) -> str:
-    for pattern, replacement in MARKUP_STEPS:
-        html = f"regexp_replace({html}, {lit(pattern)}, {lit(replacement)}, 'g')"
-    for entity, char in ENTITIES:
-        html = f"replace({html}, {lit(entity)}, {lit(char)})"
-    for pattern, replacement in SPACE_STEPS:
+    for pattern, replacement in PAGE_STEPS:
         html = f"regexp_replace({html}, {lit(pattern)}, {lit(replacement)}, 'g')"
     return html
 
@@ -483,16 +495,16 @@ def build() -> dict[str, str]:
     sql["object_listing"] = with_parts("SELECT * FROM listing")
     sql["sidecar_delta"] = with_parts(
         "SELECT DISTINCT sha256, 'text/' || sha256 || '.txt' AS text_s3_key, length(content) AS chars, "
-        "'v2' AS extractor_version FROM objects WHERE size_bytes >= 100 "
-        "AND sha256 NOT IN (SELECT sha256 FROM sidecars)"
+        "'v2' AS extractor_version FROM objects "
+        "WHERE sha256 NOT IN (SELECT sha256 FROM sidecars)"
     )
     sql["registry_lookup"] = with_parts(
         """
 SELECT sha256, s3_bucket, s3_key, status, 'place' AS found_by FROM registry0
-WHERE (s3_bucket, s3_key) IN (SELECT (s3_bucket, s3_key) FROM updates WHERE source = 'upload')
+WHERE (s3_bucket, s3_key) IN (SELECT (s3_bucket, s3_key) FROM updates)
 UNION ALL
 SELECT sha256, s3_bucket, s3_key, status, 'hash' FROM registry0
-WHERE sha256 IN (SELECT sha256 FROM updates WHERE source = 'upload')"""
+WHERE sha256 IN (SELECT sha256 FROM updates)"""
     )
     address = f"concat('documents/', sha256, {EXTENSION.format('filename')})"
     sql["batch_ingest"] = with_parts(
@@ -541,7 +553,7 @@ FROM (SELECT event_id, CASE WHEN json_valid(payload) THEN payload::JSON ->> 'buc
     sql["needs_ocr_gate"] = f"SELECT doc_id, {measured} < 100 AS needs_ocr FROM documents"
     sql["extraction_outcome"] = f"""
 SELECT doc_id, CASE WHEN code IS NULL OR code >= 500 THEN 'retryable' WHEN code >= 400 THEN 'permanent'
-       ELSE 'ok' END AS outcome, {message("code", "substr(text, 1, 800)")} AS error
+       ELSE 'ok' END AS outcome, {message("code", "text")} AS error
 FROM (SELECT *, {CODE} AS code FROM documents)"""
     sql["safe_highlight"] = f"SELECT page_id, {_safe()} AS safe FROM pages"
     sql["keyword_fields"] = with_parts(
@@ -578,7 +590,7 @@ SELECT sha256, md5(content) AS content_md5, filename, s3_key, size_bytes, extrac
         """
 SELECT CASE WHEN r.sha256 IS NULL THEN 'orphan' WHEN c.sha256 IS NULL THEN 'missing' ELSE 'matched' END AS state,
        count(*) AS documents
-FROM (SELECT sha256 FROM corpus WHERE size_bytes % 2 = 0) c
+FROM corpus c
 FULL JOIN (SELECT sha256 FROM registry0 WHERE status = 'indexed') r ON r.sha256 = c.sha256 GROUP BY 1"""
     )
     sql["expand_dictionary"] = _expansion()
@@ -615,7 +627,7 @@ FROM (SELECT * FROM updates QUALIFY row_number() OVER (PARTITION BY sha256 ORDER
 JOIN corpus USING (sha256)
 UNION ALL
 SELECT sha256, md5(content), filename, s3_key, 'v1' FROM corpus
-WHERE size_bytes % 3 <> 0 AND sha256 NOT IN (SELECT sha256 FROM updates)"""
+WHERE sha256 NOT IN (SELECT sha256 FROM updates)"""
     )
     sql["count_by_status"] = with_parts(
         "SELECT status, count(*) AS documents FROM registry0 GROUP BY status"
@@ -653,7 +665,9 @@ FROM (SELECT *, concat(pos, ':', term) AS e FROM field_words) GROUP BY sha256, f
         "SELECT query_id, sha256, field, round(score, 6) AS score FROM scores"
     )
     sql["best_fields"] = _search("SELECT query_id, sha256, round(score, 6) AS score FROM ranked")
-    sql["search_total"] = _search("SELECT query_id, count(*) AS total FROM ranked GROUP BY query_id")
+    sql["search_total"] = _search(
+        "SELECT query_id, count(r.sha256) AS total FROM fixed_queries LEFT JOIN ranked r USING (query_id) GROUP BY query_id"
+    )
     sql["search_page"] = sql["search_extended"] = _search(PAGE.format(20))
     sql["search_second_page"] = _search(PAGE.format(25) + " AND rank > 20")
     sql["search_exact"] = _search(PAGE.format(20), fuzzy=False)
@@ -668,10 +682,7 @@ SELECT query_id, rank, filename, score, s3_bucket, s3_key, coalesce(fragments, 0
 FROM (SELECT * FROM pages_shown WHERE rank <= 20) JOIN corpus USING (sha256)
 LEFT JOIN (SELECT query_id, sha256, count(*) AS fragments FROM marked GROUP BY ALL) USING (query_id, sha256)"""
     )
-    sql["quoted_query"] = _search(
-        "SELECT rank, sha256, score, count(*) AS queries FROM pages_shown "
-        "WHERE rank <= 20 AND query_id IN (7, 8) GROUP BY ALL"
-    )
+    sql["quoted_query"] = _search(PAGE.format(20))
     sql["extract_text"] = f"SELECT page_id, {markup_text('html')} AS text FROM pages"
     title = markup_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
     values = {

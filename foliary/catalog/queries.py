@@ -51,7 +51,7 @@ def object_listing(spark, sf):
 
 @query
 def sidecar_delta(spark, sf):
-    found = fx.objects(spark, sf).filter("size_bytes >= 100").dropDuplicates(["sha256"])
+    found = fx.objects(spark, sf).dropDuplicates(["sha256"])
     texts = found.select("sha256", F.col("content").alias("text"))
     fresh = corpus.sidecar_delta(texts, fx.sidecars(spark, sf))
     return fresh.select(
@@ -61,7 +61,7 @@ def sidecar_delta(spark, sf):
 
 @query
 def registry_lookup(spark, sf):
-    wanted = fx.updates(spark, sf).filter("source = 'upload'")
+    wanted = fx.updates(spark, sf)
     by_place = registry.lookup(fx.registry(spark, sf), wanted, registry.PLACE)
     by_hash = registry.lookup(fx.registry(spark, sf), wanted, ["sha256"])
     columns = ["sha256", "s3_bucket", "s3_key", "status"]
@@ -170,7 +170,7 @@ def extraction_outcome(spark, sf):
     return docs.select(
         "doc_id",
         extract.outcome_class(F.col("code")).alias("outcome"),
-        extract.outcome_message(F.col("code"), F.substring("text", 1, 800)).alias("error"),
+        extract.outcome_message(F.col("code"), F.col("text")).alias("error"),
     )
 
 
@@ -240,8 +240,7 @@ def reindex(spark, sf):
 
 @query
 def index_audit(spark, sf):
-    docs = fx.corpus(spark, sf).filter("size_bytes % 2 = 0")
-    audit = reconcile.index_audit(docs, fx.registry(spark, sf))
+    audit = reconcile.index_audit(fx.corpus(spark, sf), fx.registry(spark, sf))
     return audit.groupBy("state").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -274,7 +273,7 @@ def apply_outcomes(spark, sf):
 @query
 def corpus_upsert(spark, sf):
     stamp = F.lit(fx.AS_OF).cast("timestamp")
-    old = fx.corpus(spark, sf).filter("size_bytes % 3 <> 0")
+    old = fx.corpus(spark, sf)
     texts = fx.objects(spark, sf).select("sha256", F.col("content")).dropDuplicates(["sha256"])
     writes = (
         fx.updates(spark, sf)
@@ -464,11 +463,9 @@ def search_hits(spark, sf):
 
 @query
 def quoted_query(spark, sf):
-    pages = _page(plans.search(
-        fx.search_queries(spark).filter("query_id IN (7, 8)"), fx.index(spark, sf), settings=fx.SETTINGS
-    ))
-    wide = pages.groupBy("rank", "sha256", "score").agg(F.count(F.lit(1)).alias("queries"))
-    return wide
+    asked = fx.search_queries(spark)
+    quoted = asked.select("query_id", F.concat(F.lit('"'), F.replace("q", F.lit('"'), F.lit("")), F.lit('"')).alias("q"))
+    return _page(plans.search(quoted, fx.index(spark, sf), settings=fx.SETTINGS))
 
 
 # Extraction.

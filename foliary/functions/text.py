@@ -101,14 +101,6 @@ def ascii_fold(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
-def strip_space(text: Column) -> Column:
-    """Text without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
-# Characters that need escaping in markup, ampersand first.
-HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
-
 
 def safe_highlight(text: Column) -> Column:
     """Escape a highlight for display and let only the emphasis marks through."""

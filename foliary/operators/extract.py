@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,57 +21,82 @@ WHITE_SPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Markup to text, in this order: hidden parts, comments, block ends, other tags.
+# Names under which contents declare single-byte character sets.
+SINGLE_BYTE = {
+    "cp1250": ("windows-1250", "cp1250", "x-cp1250"),
+    "cp1251": ("windows-1251", "cp1251"),
+    "cp1252": ("windows-1252", "cp1252", "iso-8859-1", "latin1", "us-ascii", "ascii"),
+    "iso-8859-2": ("iso-8859-2", "latin2"),
+    "iso-8859-15": ("iso-8859-15", "latin9"),
+}
+
+# Elements of HTML that stand on lines of their own, and cells of a line.
+BLOCK_TAGS = (
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption "
+    "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes "
+    "noscript ol option p pre search section select summary table tbody textarea tfoot thead title tr ul"
+).split()
+CELL_TAGS = ("td", "th")
+# Other elements that show that a content is marked up.
+INLINE_TAGS = (
+    "a abbr acronym b base bdi bdo big button canvas cite code col colgroup data datalist del dfn em embed font i "
+    "iframe img input ins kbd label link map mark meta object param picture q rp rt ruby s samp script small source "
+    "span strike strong style sub sup svg template time tt u var video wbr"
+).split()
+
+
+def _tags(names: Sequence[str]) -> str:
+    return rf"</?(?:{'|'.join(names)})(?:\s[^<>]*|/)?>"
+
+
+# Markup to text, in this order: hidden parts, comments, cells, blocks, other tags.
 MARKUP_STEPS = (
-    (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "),
+    (r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " "),
     (r"(?s)<!--.*?-->", " "),
-    (r"(?i)<(/?)(p|br|div|h[1-6]|li|ul|nav|article|footer|title|body|head|html)[^>]*>", "\n"),
-    (r"<[^>]+>", ""),
-)
-# Named character entities; the ampersand comes last.
-ENTITIES = (
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&amp;", "&"),
+    ("(?i)" + _tags(CELL_TAGS), "\t"),
+    ("(?i)" + _tags(BLOCK_TAGS), "\n"),
+    (r"<[/!?]?[A-Za-z\[][^>]*>", ""),
 )
 SPACE_STEPS = ((r"[ \t]+", " "), (r"\s*\n\s*", "\n"))
 
-_MARKUP_START = r"(?is)^\W{0,16}(<!doctype html|<html|<\?xml|<head|<body)"
-_NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+#: A content is marked up if it has a document type or an element anywhere.
+_MARKUP = rf"(?i)<!doctype\s+html|<\?xml\s|{_tags([*BLOCK_TAGS, *CELL_TAGS, *INLINE_TAGS])}"
+_REFERENCE = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});|&[A-Za-z][A-Za-z0-9]{1,31};"
+
+
+def _named_references() -> Column:
+    """The characters of all named references of HTML that end with a semicolon."""
+    names = [name for name in html5 if name.endswith(";")]
+    return F.map_from_arrays(F.lit([f"&{n}" for n in names]), F.lit([html5[n] for n in names]))
 
 
-def _numeric_entities(text: Column) -> Column:
-    """Numeric character references as characters; impossible code points stay as they are."""
+def _references(text: Column) -> Column:
+    """Character references as characters, each decoded once; unknown ones stay as they are."""
+    names = _named_references()
 
     def decoded(piece: Column) -> Column:
         digits = F.regexp_extract(piece, "^&#[xX]?([0-9a-fA-F]+);$", 1)
-        base = F.when(piece.rlike("^&#[xX]"), 16).otherwise(10)
-        code = F.when(
-            base == 16, F.conv(digits, 16, 10).cast("long")
-        ).otherwise(F.expr("try_cast(null as bigint)"))
-        code = F.coalesce(code, F.when(base == 10, digits.try_cast("long")))
+        hexadecimal = piece.rlike("^&#[xX]")
+        code = F.when(hexadecimal, F.conv(digits, 16, 10).try_cast("long")).otherwise(digits.try_cast("long"))
         valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(piece.rlike(f"^{_NUMERIC}$") & valid, char).otherwise(piece)
+        numeric = piece.rlike("^&#.+;$")
+        named = piece.rlike("^&[A-Za-z].*;$")
+        return (
+            F.when(numeric & valid, char)
+            .when(named, F.coalesce(F.try_element_at(names, piece), piece))
+            .otherwise(piece)
+        )
 
-    pieces = F.regexp_extract_all(text, F.lit(f"{_NUMERIC}|[^&]+|&"), F.lit(0))
-    return F.when(text.rlike(_NUMERIC), F.array_join(F.transform(pieces, decoded), "")).otherwise(
-        text
-    )
+    parts = F.regexp_extract_all(text, F.lit(f"{_REFERENCE}|[^&]+|&"), F.lit(0))
+    return F.when(text.rlike(_REFERENCE), F.array_join(F.transform(parts, decoded), "")).otherwise(text)
 
 
 def markup_text(html: Column) -> Column:
-    """The readable text of a page, one block per line."""
+    """The readable text of a page, one block per line, cells of a line apart."""
     for pattern, replacement in MARKUP_STEPS:
         html = F.regexp_replace(html, pattern, replacement)
-    html = _numeric_entities(html)
-    for entity, char in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(char))
+    html = _references(html)
     for pattern, replacement in SPACE_STEPS:
         html = F.regexp_replace(html, pattern, replacement)
     return html
@@ -78,7 +104,7 @@ def markup_text(html: Column) -> Column:
 
 def extract_text(content: Column) -> Column:
     """Text of plain or marked-up content; the content decides, not a declared type."""
-    return F.when(content.rlike(_MARKUP_START), markup_text(content)).otherwise(content)
+    return F.when(content.rlike(_MARKUP), markup_text(content)).otherwise(content)
 
 
 def extract_metadata(content: Column) -> Column:
@@ -90,7 +116,7 @@ def extract_metadata(content: Column) -> Column:
     title = markup_text(F.regexp_extract(content, r"(?is)<title[^>]*>(.*?)</title>", 1))
     language = F.regexp_extract(content, r"(?is)<html[^>]*\slang=\"([^\"]*)\"", 1)
     charset = F.regexp_extract(content, r"(?is)<meta[^>]*\scharset=\"?([A-Za-z0-9_-]+)", 1)
-    kind = F.when(content.rlike(_MARKUP_START), "text/html").otherwise("text/plain")
+    kind = F.when(content.rlike(_MARKUP), "text/html").otherwise("text/plain")
     entries = F.array(
         found("Content-Type", kind),
         found("Content-Encoding", charset),
@@ -100,9 +126,34 @@ def extract_metadata(content: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
 
 
-def decoded_text(content: Column) -> Column:
-    """Bytes as text; null if they are not valid UTF-8."""
-    return F.try_validate_utf8(content.cast("string"))
+def _single_byte(content: Column, charset: str) -> Column:
+    """Bytes of a single-byte character set as text."""
+    high = bytes(range(128, 256)).decode("iso-8859-1")
+    chars = bytes(range(128, 256)).decode(charset, "replace")
+    return F.translate(F.decode(content, "ISO-8859-1"), high, chars)
+
+
+def decoded_text(content: Column, fallback: str = "cp1250") -> Column:
+    """Bytes as text; null if they are no text.
+
+    A byte order mark decides, then valid UTF-8, then the character set that the content names,
+    then `fallback`. Bytes with a zero are no text unless a mark says UTF-16 or UTF-32.
+    """
+    mark = F.hex(F.substring(content, 1, 4))
+    utf8 = F.try_validate_utf8(content.cast("string"))
+    latin = F.decode(content, "ISO-8859-1")
+    named = F.lower(F.regexp_extract(latin, r"(?is)<(?:meta|\?xml)[^>]*?(?:charset|encoding)\s*=\s*[\"']?([A-Za-z0-9_:-]+)", 1))
+    declared = F.lit(None).cast("string")
+    for charset, names in SINGLE_BYTE.items():
+        declared = F.when(named.isin(*names), _single_byte(content, charset)).otherwise(declared)
+    return (
+        F.when(mark.startswith("EFBBBF"), F.try_validate_utf8(F.substring(content, F.lit(4), F.octet_length(content)).cast("string")))
+        .when(mark.isin("FFFE0000", "0000FEFF"), F.decode(content, "UTF-32"))
+        .when(mark.startswith("FFFE") | mark.startswith("FEFF"), F.decode(content, "UTF-16"))
+        .when(F.contains(latin, F.lit("\0")), F.lit(None).cast("string"))
+        .when(utf8.isNotNull(), utf8)
+        .otherwise(F.coalesce(declared, _single_byte(content, fallback)))
+    )
 
 
 def builtin_extractor(objects: DataFrame) -> DataFrame:
@@ -111,7 +162,7 @@ def builtin_extractor(objects: DataFrame) -> DataFrame:
     Input has `content`; output adds text, meta, http_code (200, or 422 for other formats) and
     message.
     """
-    text = decoded_text(F.col("content"))
+    text = decoded_text(F.col("content").cast("binary"))
     return objects.select(
         "sha256",
         extract_text(text).alias("text"),

@@ -172,7 +172,7 @@ def _page(
     weighted: DataFrame, index: Index, offset: int, size: int, settings: Settings
 ) -> DataFrame:
     ranked = best_fields(weighted, index.postings, settings)
-    return _readable(result_page(ranked, offset, size))
+    return _readable(result_page(ranked, offset, size, settings))
 
 
 def search(
@@ -190,8 +190,10 @@ def search(
 def search_totals(
     queries: DataFrame, index: Index, cap: int | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """(query_id, total) of every query with a hit."""
-    return totals(ranking(weighted_terms(queries, index, settings), index, settings), cap)
+    """(query_id, total) of every query, 0 without a hit."""
+    found = totals(ranking(weighted_terms(queries, index, settings), index, settings), cap)
+    every = queries.select("query_id").distinct().join(found, "query_id", "left")
+    return every.select("query_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
 
 
 def hit_documents(page: DataFrame, index: Index) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,23 +31,15 @@ def local_session(cores: int | str = "*", name: str = "foliary") -> SparkSession
     )
 
 
-_local_dirs: dict[str, str] = {}
-
-
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written tables: `spark.checkpoint.dir` of the session.
 
-    Only a local session without that setting gets a folder of its own.
+    A session without that setting uses its warehouse, which all executors share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="foliary-")
-    return _local_dirs[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/foliary-work"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -38,10 +38,50 @@ def test_markup(spark):
         "<body><script>if (a<b) x();</script><!-- gone --><p>A&nbsp;b &#269;&#x10D; &#1114112;</p>"
         "<p>c &amp;lt; d<br>e</p></body></html>"
     )
-    df = spark.createDataFrame([(page,), ("plain a<b> &amp; text",)], "v string")
+    df = spark.createDataFrame([(page,), ("plain a < b &amp; text",)], "v string")
     marked, plain = [r.t for r in df.select(extract.extract_text(F.col("v")).alias("t")).collect()]
     assert marked.strip().split("\n") == ["T & U", "A\u00a0b čč &#1114112;", "c &lt; d", "e"]
-    assert plain == "plain a<b> &amp; text"
+    assert plain == "plain a < b &amp; text"
+
+
+@pytest.mark.parametrize(
+    "content, expected",
+    [
+        ("<!-- note -->\n<html><body><p>hello</p></body></html>", "hello"),
+        ("<div><p>hello</p></div>", "hello"),
+        ("<table><tr><td>alpha</td><td>beta</td></tr><tr><td>c</td></tr></table>", "alpha beta\nc"),
+        ("<section>c</section><section>d</section>", "c\nd"),
+        ("<head><link rel=x></head>e<b>f</b><pre>g</pre>", "ef\ng"),
+        ("<p>caf&eacute; &ndash; &hellip; &amp;eacute; &unknown; a&b</p>", "café – … &eacute; &unknown; a&b"),
+        ("if a < b and c > d", "if a < b and c > d"),
+    ],
+)
+def test_markup_anywhere(spark, content, expected):
+    df = spark.createDataFrame([(content,)], "v string")
+    assert df.select(extract.extract_text(F.col("v")).alias("t")).first().t.strip() == expected
+
+
+CZECH = "Příliš žluťoučký kůň úpěl ďábelské ódy"
+
+
+@pytest.mark.parametrize(
+    "content, expected",
+    [
+        (CZECH.encode(), CZECH),
+        (b"\xef\xbb\xbf" + CZECH.encode(), CZECH),
+        (CZECH.encode("utf-16"), CZECH),
+        (CZECH.encode("utf-32"), CZECH),
+        (CZECH.encode("cp1250"), CZECH),
+        (b'<meta charset="windows-1250">' + CZECH.encode("cp1250"), CZECH),
+        (b'<meta http-equiv="Content-Type" content="text/html; charset=iso-8859-2">' + CZECH.encode("iso-8859-2"), CZECH),
+        (b"PK\x03\x04\x00\x00", None),
+        (b"", ""),
+    ],
+)
+def test_character_sets(spark, content, expected):
+    df = spark.createDataFrame([("h", bytearray(content))], "sha256 string, content binary")
+    row = extract.builtin_extractor(df).first()
+    assert (row.text, row.http_code) == (expected, 422 if expected is None else 200)
 
 
 def test_outcomes(spark):

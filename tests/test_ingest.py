@@ -32,11 +32,11 @@ def refuse(_):
 @pytest.fixture()
 def bucket(tmp_path):
     for key, text in (
-        ("documents/abc.pdf", model.CONTRACT),
-        (KEY, model.AMENDMENT),
-        ("documents/copy.pdf", model.AMENDMENT),
+        ("documents/abc.pdf", model.RULES),
+        (KEY, model.NOTE),
+        ("documents/copy.pdf", model.NOTE),
         ("documents/scan.pdf", " too little "),
-        ("other/ignored.txt", model.CONTRACT),
+        ("other/ignored.txt", model.RULES),
     ):
         path = tmp_path / "bucket" / key
         path.parent.mkdir(parents=True, exist_ok=True)
