@@ -8,11 +8,14 @@ from foliary.operators.reconcile import index_audit, reconcile, sweep_summary
 from foliary.operators.registry import apply_outcomes, apply_seen, retired_rows
 from foliary.plans.ingest import batch_ingest, ingest
 from foliary.plans.search import (
+    current_index,
     extend_index,
     open_index,
+    rebuild_index,
     search,
     search_hits,
     search_totals,
+    upsert_index,
     write_index,
 )
 from foliary.settings import Settings
@@ -26,6 +29,7 @@ __all__ = [
     "apply_seen",
     "batch_ingest",
     "builtin_extractor",
+    "current_index",
     "extend_index",
     "highlights",
     "index_audit",
@@ -35,6 +39,7 @@ __all__ = [
     "postings",
     "python_extractor",
     "rebuild",
+    "rebuild_index",
     "reconcile",
     "retired_rows",
     "search",
@@ -43,5 +48,6 @@ __all__ = [
     "stream_ingest",
     "stream_sweeps",
     "sweep_summary",
+    "upsert_index",
     "write_index",
 ]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliary.operators.analyze import field_stats, postings, term_stats
 from foliary.operators.highlight import highlights
@@ -20,9 +23,9 @@ from foliary.operators.search import (
     weigh_terms,
 )
 from foliary.schemas import CORPUS_COLUMNS
-from foliary.session import input_bytes, layout, materialize
+from foliary.session import layout, materialize, rows_within, text_bytes
 from foliary.settings import DEFAULTS, Settings
-from foliary.sources.tables import numbers
+from foliary.sources.tables import current, numbers, publish
 
 
 @dataclass(frozen=True)
@@ -56,60 +59,83 @@ def write_index(
     reads few folders. Both widths follow the size of the input.
     """
     spark = corpus.sparkSession
-    total = input_bytes(corpus)
+    if numbers(spark, path, "segment-", "fields/_SUCCESS"):
+        raise ValueError(f"{path} holds an index; extend it, or rebuild it elsewhere")
+    total = text_bytes(corpus, "content")
     target = settings.target_partition_bytes
-    buckets = layout(total, target, 8, 1024)
-    digits = len(f"{layout(total, target, 2, 65_536) - 1:x}")
+    buckets = layout(total, target, 8)
+    digits = len(f"{layout(total, target, 2) - 1:x}")
     if lemmas is not None:
-        lemmas.select("surface", "lemma").write.parquet(f"{path}/lemmas")
+        lemmas.select("surface", "lemma").write.mode("overwrite").parquet(f"{path}/lemmas")
     widths = spark.createDataFrame(
         [(buckets, digits, lemmas is not None)], "buckets int, digits int, lemmas boolean"
     )
-    widths.write.parquet(f"{path}/layout")
-    _write_segment(corpus, path, settings)
+    widths.write.mode("overwrite").parquet(f"{path}/layout")
+    _write_segment(corpus, path, settings, total)
     return open_index(spark, path)
 
 
 def extend_index(corpus: DataFrame, path: str, settings: Settings = DEFAULTS) -> Index:
-    """Add corpus rows to an index; hashes it has already are skipped.
+    """Upsert corpus rows, one per hash, into an index.
 
-    Equal hashes are equal texts, so nothing written before changes: the new documents become
-    a segment of their own, and a search reads all segments. Rebuild with `write_index` when
-    they have become many, or to take over new names of known hashes.
+    What is written never changes: new documents, and known ones under a new name or place,
+    become a segment of their own that hides the earlier rows of its hashes. Rows that are in
+    the index as they are cost nothing. Rebuild the index when segments have become many.
     """
     spark = corpus.sparkSession
-    known = open_index(spark, path).corpus.select("sha256")
-    new = materialize(corpus.join(known, "sha256", "left_anti"), "new-documents")
+    known = open_index(spark, path).corpus.select(*CORPUS_COLUMNS)
+    shown = ["filename", "s3_bucket", "s3_key"]
+    recorded = known.select("sha256", F.struct(*shown).alias("_shown"))
+    rows = corpus.select(*CORPUS_COLUMNS).join(recorded, "sha256", "left")
+    new = rows.filter(F.col("_shown").isNull() | ~F.struct(*shown).eqNullSafe(F.col("_shown")))
+    new = materialize(new, "new-documents")
     if not new.isEmpty():
-        _write_segment(new, path, settings)
+        moved = new.filter("_shown IS NOT NULL").select("sha256")
+        old = materialize(known.join(moved, "sha256", "left_semi"), "old-documents")
+        _write_segment(new, path, settings, text_bytes(new, "content"), old)
     return open_index(spark, path)
 
 
-def _write_segment(corpus: DataFrame, path: str, settings: Settings) -> None:
-    """Analyse documents into the next segment; it counts once its last table is written."""
+def _posts(corpus: DataFrame, buckets: int, lemmas: DataFrame | None, settings: Settings) -> DataFrame:
+    """Postings with their bucket; hashes as 32 bytes rather than 64 digits, half the bytes."""
+    packed = corpus.withColumn("sha256", F.unhex("sha256"))
+    posts = postings(packed, lemmas, settings, positions=False)
+    return posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+
+
+def _write_segment(
+    corpus: DataFrame, path: str, settings: Settings, total: int, old: DataFrame | None = None
+) -> None:
+    """Analyse documents into the next segment; it counts once its last table is written.
+
+    `old` are the rows of earlier segments that it hides; their counts are taken off.
+    """
     spark = corpus.sparkSession
     buckets, digits, lemmas = _layout(spark, path)
     done = numbers(spark, path, "segment-", "fields/_SUCCESS")
     folder = f"{path}/segment-{(done[-1] if done else 0) + 1:06d}"
     target = settings.target_partition_bytes
-    cuts = layout(4 * input_bytes(corpus), target * buckets, 1, 100_000)
+    cuts = layout(4 * total, target * buckets)
+    tasks = max(layout(total, target), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     corpus.select(*CORPUS_COLUMNS, _shard(digits).alias("shard")).repartition(
-        "shard"
+        tasks, "shard"
     ).sortWithinPartitions("shard", "sha256").write.mode("overwrite").partitionBy(
         "shard"
     ).parquet(f"{folder}/corpus")
 
-    # Hashes as 32 bytes rather than 64 digits: half the bytes to shuffle, sort and store.
-    packed = spark.read.parquet(f"{folder}/corpus").withColumn("sha256", F.unhex("sha256"))
-    posts = postings(packed, lemmas, settings, positions=False)
-    posts = posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    posts = _posts(spark.read.parquet(f"{folder}/corpus"), buckets, lemmas, settings)
     cut = F.pmod(F.xxhash64("sha256"), F.lit(cuts))
-    posts.repartition("field", "bucket", cut).sortWithinPartitions(
+    posts.repartition(tasks, "field", "bucket", cut).sortWithinPartitions(
         "field", "bucket", "term"
     ).write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{folder}/postings")
 
     vocabulary = term_stats(spark.read.parquet(f"{folder}/postings"))
+    if old is not None and not old.isEmpty():
+        gone = term_stats(_posts(old, buckets, lemmas, settings))
+        less = [(-F.col(c)).alias(c) if c in _COUNTS else F.col(c) for c in vocabulary.columns]
+        vocabulary = _summed(vocabulary.unionByName(gone.select(*less)))
+        old.select(F.unhex("sha256").alias("sha256")).write.mode("overwrite").parquet(f"{folder}/hidden")
     vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary")
     sums = spark.read.parquet(f"{folder}/vocabulary").groupBy("field")
     sums.agg(F.sum("opens").alias("opens"), F.sum("total_tf").alias("total_tf")).write.mode(
@@ -117,6 +143,13 @@ def _write_segment(corpus: DataFrame, path: str, settings: Settings) -> None:
     ).parquet(f"{folder}/fields")
 
 
+_COUNTS = ("doc_freq", "total_tf", "opens")
+
+
+def _summed(vocabulary: DataFrame) -> DataFrame:
+    return vocabulary.groupBy("field", "bucket", "term").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
 def _layout(spark: SparkSession, path: str) -> tuple[int, int, DataFrame | None]:
     buckets, digits, has_lemmas = spark.read.parquet(f"{path}/layout").first()
     return buckets, digits, spark.read.parquet(f"{path}/lemmas") if has_lemmas else None
@@ -126,19 +159,33 @@ def open_index(spark: SparkSession, path: str) -> Index:
     """The index written below `path`, with all its complete segments."""
     _, digits, lemmas = _layout(spark, path)
     found = numbers(spark, path, "segment-", "fields/_SUCCESS")
+    hiding = [n for n in numbers(spark, path, "segment-", "hidden/_SUCCESS") if n in found]
+
+    def read(name: str, n: int) -> DataFrame:
+        return spark.read.parquet(f"{path}/segment-{n:06d}/{name}")
 
     def table(name: str) -> DataFrame:
-        parts = [spark.read.parquet(f"{path}/segment-{n:06d}/{name}") for n in found]
-        return reduce(DataFrame.unionByName, parts)
+        return reduce(DataFrame.unionByName, [read(name, n) for n in found])
+
+    def rows(name: str, key: Callable[[Column], Column]) -> DataFrame:
+        """A table of all segments without the rows that a later segment hides."""
+        if not hiding:
+            return table(name)
+        parts = [read("hidden", n).select(F.col("sha256").alias("_hidden"), F.lit(n).alias("_by")) for n in hiding]
+        hidden = reduce(DataFrame.unionByName, parts).groupBy("_hidden").agg(F.max("_by").alias("_by"))
+        hidden = hidden.withColumn("_hidden", key(F.col("_hidden")))
+        if rows_within(hidden, DEFAULTS.broadcast_rows):
+            hidden = F.broadcast(hidden)
+        every = reduce(DataFrame.unionByName, [read(name, n).withColumn("_segment", F.lit(n)) for n in found])
+        gone = (F.col("sha256") == F.col("_hidden")) & (F.col("_segment") < F.col("_by"))
+        return every.join(hidden, gone, "left_anti").drop("_segment")
 
     vocabulary = table("vocabulary")
     if len(found) > 1:
-        vocabulary = vocabulary.groupBy("field", "bucket", "term").agg(
-            *[F.sum(c).alias(c) for c in ("doc_freq", "total_tf", "opens")]
-        )
+        vocabulary = _summed(vocabulary).filter("doc_freq > 0")
     return Index(
-        corpus=table("corpus"),
-        postings=table("postings"),
+        corpus=rows("corpus", lambda h: F.lower(F.hex(h))),
+        postings=rows("postings", lambda h: h),
         vocabulary=vocabulary,
         fields=field_stats(table("fields")),
         digits=digits,
@@ -146,6 +193,37 @@ def open_index(spark: SparkSession, path: str) -> Index:
     )
 
 
+def upsert_index(
+    corpus: DataFrame, path: str, lemmas: DataFrame | None = None, settings: Settings = DEFAULTS
+) -> Index:
+    """Extend the index below `path`, or write its first segment."""
+    if numbers(corpus.sparkSession, path, "segment-", "fields/_SUCCESS"):
+        return extend_index(corpus, path, settings)
+    return write_index(corpus, path, lemmas, settings)
+
+
+def rebuild_index(
+    corpus: DataFrame, root: str, lemmas: DataFrame | None = None, settings: Settings = DEFAULTS
+) -> Index:
+    """Write an index of its own below `root`, then let `current_index` open that one.
+
+    Searches go on in the old one until the new one is whole; a run that dies leaves it current.
+    """
+    spark = corpus.sparkSession
+    path = f"{root}/index-{uuid.uuid4().hex[:12]}"
+    index = write_index(corpus, path, lemmas, settings)
+    publish(spark.createDataFrame([(path,)], "path string"), f"{root}/pointer")
+    return index
+
+
+def current_index(spark: SparkSession, root: str) -> Index:
+    """The index that `rebuild_index` wrote last below `root`."""
+    pointer = current(spark, f"{root}/pointer", StructType([StructField("path", StringType())])).first()
+    if pointer is None:
+        raise ValueError(f"no index below {root}")
+    return open_index(spark, pointer["path"])
+
+
 def weighted_terms(queries: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
     """The weighted vocabulary terms of every query, written once: they are query-sized."""
     terms = materialize(query_terms(queries, index.lemmas, settings), "query-terms")

@@ -113,11 +113,11 @@ def hot_key_join(
     return salted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_salt"]).drop("_salt")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the files a frame reads, from Spark's own plan statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of all texts of a column, counted."""
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def layout(total_bytes: int, target_bytes: int, low: int, high: int) -> int:
+def layout(total_bytes: int, target_bytes: int, low: int = 1) -> int:
     """How many directories of about `target_bytes` a table of that size needs."""
-    return max(low, min(high, math.ceil(total_bytes / target_bytes)))
+    return max(low, math.ceil(total_bytes / target_bytes))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from foliary.operators.extract import builtin_extractor
 from foliary.operators.reconcile import reconcile
 from foliary.plans.ingest import ingest
+from foliary.plans.search import upsert_index
 from foliary.schemas import CORPUS, REGISTRY
 from foliary.settings import DEFAULTS, Settings
 from foliary.sources.messages import decode_jobs
@@ -45,12 +46,15 @@ def ingest_batch(
     version: str,
     extractor: Callable[[DataFrame], DataFrame] = builtin_extractor,
     settings: Settings = DEFAULTS,
+    index: str | None = None,
+    lemmas: DataFrame | None = None,
 ) -> None:
     """Run one batch of payloads against the store's tables and write what it changes.
 
     Stored texts are added first and the registry changes last, so a batch that is lost
     half-way and run again finds its texts and ends in the same state. `payloads` may carry
-    its own order as `seq`.
+    its own order as `seq`. With the path of an `index`, what the batch makes searchable is
+    upserted there as well (`lemmas` is its dictionary when the batch is the first).
     """
     spark = payloads.sparkSession
     good = decode_jobs(payloads).filter("reason IS NULL")
@@ -69,6 +73,8 @@ def ingest_batch(
     )
     append_sidecars(result.new_sidecars, store.sidecars)
     write_changes(result.corpus_rows, store.corpus)
+    if index is not None and not result.corpus_rows.isEmpty():
+        upsert_index(result.corpus_rows, index, lemmas, settings)
     write_changes(result.registry_rows, store.registry, result.retired)
 
 
@@ -82,6 +88,7 @@ def stream_ingest(
     settings: Settings = DEFAULTS,
     as_of=None,
     trigger: dict | None = None,
+    index: str | None = None,
 ) -> StreamingQuery:
     """Ingest a stream of payloads; every micro-batch is one ingest batch.
 
@@ -92,7 +99,7 @@ def stream_ingest(
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         now = as_of or spark.range(1).select(F.current_timestamp()).first()[0]
-        ingest_batch(batch, objects(spark), store, now, version, extractor, settings)
+        ingest_batch(batch, objects(spark), store, now, version, extractor, settings, index)
 
     return (
         payloads.writeStream.foreachBatch(run)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from foliary.operators import search as ops
 from foliary.operators.analyze import analyze, postings
 from foliary.plans.search import (
+    current_index,
     extend_index,
     open_index,
+    rebuild_index,
     search,
     search_hits,
     search_totals,
@@ -204,6 +206,35 @@ def test_index_in_parts_equals_whole(spark, index):
     assert sorted(search(queries, again).collect()) == sorted(search(queries, index).collect())
 
 
+def test_renamed_document_equals_a_fresh_index(spark, index):
+    texts, path = documents(spark, TEXTS), new_path(spark, "test-index")
+    write_index(texts, path, index.lemmas, SETTINGS)
+    moved = texts.filter("filename = 'rules.pdf'").withColumns(
+        {"filename": F.lit("loans.pdf"), "s3_key": F.lit("documents/loans.pdf")}
+    )
+    after = extend_index(moved, path, SETTINGS)
+    assert extend_index(moved, path, SETTINGS).postings.count() == after.postings.count()
+    other = texts.filter("filename <> 'rules.pdf'").unionByName(moved)
+    fresh = rebuild_index(other, new_path(spark, "test-root"), index.lemmas, SETTINGS)
+    assert after.corpus.count() == len(TEXTS)
+    columns = ["field", "term", "doc_freq", "total_tf"]
+    assert sorted(after.vocabulary.select(columns).collect()) == sorted(fresh.vocabulary.select(columns).collect())
+    assert sorted(after.fields.collect()) == sorted(fresh.fields.collect())
+    queries = ask(spark, "knihu beta", "rules", "loans")
+    assert sorted(search(queries, after).collect()) == sorted(search(queries, fresh).collect())
+    assert found(spark, after, "knihu", EXACT)[0] == "loans.pdf" and found(spark, after, "rules", EXACT) == []
+
+
+def test_rebuild_switches_when_it_is_whole(spark, index):
+    root, texts = new_path(spark, "test-root"), documents(spark, TEXTS)
+    with pytest.raises(ValueError):
+        current_index(spark, root)
+    rebuild_index(texts.limit(1), root, index.lemmas, SETTINGS)
+    assert current_index(spark, root).corpus.count() == 1
+    rebuild_index(texts, root, index.lemmas, SETTINGS)
+    assert current_index(spark, root).corpus.count() == len(TEXTS)
+
+
 def plan_of(df) -> str:
     text = io.StringIO()
     with redirect_stdout(text):
