@@ -20,6 +20,9 @@ long lines are handled whole; an empty table gives an empty result. Other column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,63 +74,71 @@ def probe_prints(line: Column, length: Column) -> Column:
     return _all_prints(line, length, segments)
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def within_edits(one: Column, two: Column) -> Column:
-    """Whether two lines of almost the same length are at most EDITS edits apart.
+    """Whether two lines are at most EDITS edits apart.
 
-    Bit k of the numbers is row column - EDITS + k of the table of distances: `up` and `down` say
-    where a cell is one more or one less than the cell above it. All rows of a column change at
-    once, by a few operations on whole numbers.
+    The table of distances is walked in a band of diagonals, a column for each character of `two`.
+    Bit k of the numbers is row column - EDITS + k: `up` and `down` say where a cell is one more or
+    one less than the cell above it, and all rows of a column change at once by a few operations
+    on whole numbers. `score` follows the lowest diagonal, then the last row; a pair whose score
+    shows that no cell of the band can be small enough is walked no further.
     """
     width, mask = 2 * EDITS + 1, (1 << (2 * EDITS + 1)) - 1
     a, b = F.split(one, ""), F.split(two, "")
+    a, b = (F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(y) for x, y in ((one, a), (two, b)))
+    # Row by row beside the band; an empty string stands for what lies outside the line.
+    padding = F.array_repeat(F.lit(""), EDITS)
+    padded = F.concat(padding, a, padding, padding)
+    numbers = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
+    columns = F.arrays_zip(b, *[F.slice(padded, k + 1, F.size(b)) for k in range(width)], numbers)
+    number = str(width + 1)
 
     def flip(x: Column) -> Column:
         return F.bitwise_not(x).bitwiseAND(F.lit(mask))
 
-    def step(state: Column, column: Column) -> Column:
-        sign = F.get(b, column - 1)
-        equal = F.lit(0)
-        for k in range(width):
-            same = F.coalesce(F.get(a, column - 1 - EDITS + k) == sign, F.lit(False))
-            equal = equal + F.when(same, F.lit(1 << k)).otherwise(F.lit(0))
-        up, down = state["up"], state["down"]
-        diagonal = (
-            (equal.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(equal).bitwiseOR(down).bitwiseAND(F.lit(mask))
-        )
-        return F.struct(up.alias("up"), down.alias("down"), diagonal.alias("same"), state["score"].alias("score"))
+    def equal(signs: Column) -> Column:
+        bits = [F.when(signs["0"] == signs[str(k + 1)], F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)]
+        return reduce(Column.__add__, bits)
 
-    def turn(state: Column, column: Column) -> Column:
-        up, down, same = state["up"], state["down"], state["same"]
+    def turned(state: Column, column: Column, same: Column) -> Column:
+        up, down = state["up"], state["down"]
         right_up = down.bitwiseOR(flip(same.bitwiseOR(up)))
         right_down = same.bitwiseAND(up)
-        row = F.size(a) - column + EDITS  # the bit of the last row, once it is inside the band
+        row = state["rows"] - column[number] + EDITS  # the bit of the last row, once it is in the band
         below = F.lit(1) - F.shiftright(same, 2 * EDITS)
-        bit = F.pow(F.lit(2), row).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1), row)
         across = (right_up.bitwiseAND(bit) != 0).cast("int") - (right_down.bitwiseAND(bit) != 0).cast("int")
-        score = state["score"] + F.when(row >= 2 * EDITS, below).otherwise(across)
         shifted = F.shiftright(same, 1)
         return F.struct(
             right_down.bitwiseOR(flip(shifted.bitwiseOR(right_up))).alias("up"),
             shifted.bitwiseAND(right_up).alias("down"),
-            F.lit(0).alias("same"),
-            score.alias("score"),
+            (state["score"] + F.when(row >= 2 * EDITS, below).otherwise(across)).alias("score"),
+            state["rows"].alias("rows"),
         )
 
+    def diagonal(state: Column, same: Column) -> Column:
+        up = state["up"]
+        carried = (same.bitwiseAND(up) + up).bitwiseXOR(up)
+        return carried.bitwiseOR(same).bitwiseOR(state["down"]).bitwiseAND(F.lit(mask))
+
+    def step(state: Column, column: Column) -> Column:
+        cells = _named(equal(column), lambda e: diagonal(state, e))
+        after = _named(cells, lambda d: turned(state, column, d))
+        return F.when(state["score"] > 3 * EDITS, state).otherwise(after)
+
     start = F.struct(
         F.lit(mask & ~((1 << EDITS) - 1)).alias("up"),
         F.lit(0).alias("down"),
-        F.lit(0).alias("same"),
-        F.lit(EDITS).alias("score"),
-    )
-    steps = F.flatten(
-        F.transform(F.sequence(F.lit(1), F.size(b)), lambda j: F.array(j, -j))
-    )
-    last = F.aggregate(
-        steps,
-        start,
-        lambda state, j: F.when(j > 0, step(state, j)).otherwise(turn(state, -j)),
+        F.least(F.size(a), F.lit(EDITS)).alias("score"),
+        F.size(a).alias("rows"),
     )
-    return last["score"] <= EDITS
+    near = F.abs(F.length(one) - F.length(two)) <= EDITS
+    return near & (F.aggregate(columns, start, step)["score"] <= EDITS)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -194,7 +205,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     known = materialize(known.select(*[F.col(f"t.{c}") for c in LINE], "line", "first"), "texts").dropDuplicates(LINE)
     sides = [known.select(*[F.col(c).alias(f"{n}_{c}") for c in known.columns]) for n in ("one", "two")]
     close = pairs.join(sides[0], [f"one_{c}" for c in LINE]).join(sides[1], [f"two_{c}" for c in LINE])
-    close = close.filter(within_edits(F.col("one_line"), F.col("two_line")))
+    # The distance is work for many tasks, however few bytes the pairs are.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    close = close.repartition(tasks).filter(within_edits(F.col("one_line"), F.col("two_line")))
     later = F.col("two_first") > F.col("one_first")
     near = close.select(
         *[F.when(later, F.col(f"two_{c}")).otherwise(F.col(f"one_{c}")).alias(c) for c in LINE]
