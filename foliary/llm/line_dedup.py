@@ -34,6 +34,9 @@ MIN_CHARS = 24
 SMALL_ROWS = 500_000
 ROWS_PER_TASK = 50_000
 
+#: Letters whose counts two lines with a common print must nearly share.
+COUNTED = "etaonirshdlu"
+
 SEGMENTS = EDITS + 1
 LINE = ["line_a", "line_b"]
 
@@ -141,6 +144,26 @@ def within_edits(one: Column, two: Column) -> Column:
     return near & (F.aggregate(columns, start, step)["score"] <= EDITS)
 
 
+def sketch(line: Column, length: Column) -> Column:
+    """Counts of letters, five bits for each, and above them three bits of the length."""
+    counts = [(length - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long") % 32 for c in COUNTED]
+    parts = [F.shiftleft(n, 5 * i) for i, n in enumerate(counts)] + [F.shiftleft(length.cast("long") % 8, 60)]
+    return reduce(Column.bitwiseOR, parts)
+
+
+def sketches_allow(one: Column, two: Column) -> Column:
+    """Whether the counts of two lines can be at most EDITS edits apart: an edit changes two by one.
+
+    Counts are known modulo 32, so they are compared around the circle.
+    """
+    apart = []
+    for i in range(len(COUNTED)):
+        parts = [F.shiftright(x, 5 * i).bitwiseAND(F.lit(31)) for x in (one, two)]
+        between = F.abs(parts[0] - parts[1])
+        apart.append(F.least(between, F.lit(32) - between))
+    return reduce(Column.__add__, apart) <= 2 * EDITS
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for every line that can be dropped: its place, its two hashes and its text."""
     texts = docs.filter("text IS NOT NULL").select(
@@ -157,30 +180,36 @@ def _distinct(lines: DataFrame) -> DataFrame:
     return (
         lines.select(
             "doc_id", "text_key", "line_no", "length", *LINE,
+            sketch(line, length).alias("sketch"),
             index_prints(line, length).alias("index"), probe_prints(line, length).alias("probes"),
         )
         .groupBy(*LINE)
         .agg(
             first, F.count(F.lit(1)).alias("times"), F.first("length").alias("length"),
+            F.first("sketch").alias("sketch"),
             F.first("index").alias("index"), F.first("probes").alias("probes"),
         )
     )
 
 
 def _pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs of distinct lines with a common segment: two hashes of each."""
+    """Pairs of distinct lines with a common segment and similar letters: two hashes of each."""
     long_enough = distinct.filter(F.col("length") >= MIN_CHARS)
-    index = long_enough.select(*[F.col(c).alias(f"one_{c}") for c in LINE], F.explode("index").alias("print"))
-    probes = long_enough.select(*[F.col(c).alias(f"two_{c}") for c in LINE], F.explode("probes").alias("print"))
-    met = index.join(probes, "print").filter(
-        (F.col("one_line_a") != F.col("two_line_a")) | (F.col("one_line_b") != F.col("two_line_b"))
+
+    def side(name: str, prints: str) -> DataFrame:
+        own = [F.col(c).alias(f"{name}_{c}") for c in (*LINE, "sketch")]
+        return long_enough.select(*own, F.explode(prints).alias(f"{name}_print"))
+
+    one, two = side("one", "index"), side("two", "probes")
+    # Two lines of the same length probe each other; one of the two ways is enough.
+    same_length = F.shiftright("one_sketch", 60) == F.shiftright("two_sketch", 60)
+    ordered = F.struct(*[F.col(f"one_{c}").alias(c) for c in LINE]) < F.struct(*[F.col(f"two_{c}").alias(c) for c in LINE])
+    met = (
+        (F.col("one_print") == F.col("two_print"))
+        & (~same_length | ordered)
+        & sketches_allow(F.col("one_sketch"), F.col("two_sketch"))
     )
-    # The two of a pair of the same length probe each other; one of them is enough.
-    sides = [F.struct(*[F.col(f"{n}_{c}").alias(c) for c in LINE]) for n in ("one", "two")]
-    low, high = F.least(*sides), F.greatest(*sides)
-    return met.select(
-        *[low[c].alias(f"one_{c}") for c in LINE], *[high[c].alias(f"two_{c}") for c in LINE]
-    ).distinct()
+    return one.join(two, met).select(*[f"one_{c}" for c in LINE], *[f"two_{c}" for c in LINE]).distinct()
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -202,7 +231,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     known = texts.alias("t").join(
         firsts.alias("f"), [F.col(f"t.{c}") == F.col(f"f.{c}") for c in LINE] + same
     )
-    known = materialize(known.select(*[F.col(f"t.{c}") for c in LINE], "line", "first"), "texts").dropDuplicates(LINE)
+    known = known.select(*[F.col(f"t.{c}") for c in LINE], "line", "first")
+    known = materialize(known, "texts").dropDuplicates(LINE)
     sides = [known.select(*[F.col(c).alias(f"{n}_{c}") for c in known.columns]) for n in ("one", "two")]
     close = pairs.join(sides[0], [f"one_{c}" for c in LINE]).join(sides[1], [f"two_{c}" for c in LINE])
     # The distance is work for many tasks, however few bytes the pairs are.
