@@ -96,7 +96,7 @@ class Numbers(dict):
         if len(self) >= KNOWN:
             self.clear()
         code = hash_of(word)
-        at = int(np.searchsorted(self.hashes, code))
+        at = int(np.searchsorted(self.hashes, np.uint64(code)))
         hot = at < len(self.hashes) and self.hashes[at] == code
         value = self[word] = at if hot else code | _COLD
         return value

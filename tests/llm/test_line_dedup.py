@@ -101,6 +101,9 @@ def test_some_probe_meets_a_segment(spark):
     index = line_dedup.index_prints(F.col("a"), F.length("a"))
     probes = line_dedup.probe_prints(F.col("b"), F.length("b"))
     assert df.filter(~F.arrays_overlap(index, probes)).count() == 0
+    long = F.concat(F.repeat(F.lit("eta"), 40), "a"), F.concat(F.repeat(F.lit("eta"), 40), "b")
+    sketches = [line_dedup.sketch(x, F.length(x)) for x in long]
+    assert df.filter(~line_dedup.sketches_allow(*sketches)).count() == 0
 
 
 def test_repeated_rows_are_one_document(spark):
