@@ -133,6 +133,26 @@ def _single_byte(content: Column, charset: str) -> Column:
     return F.translate(F.decode(content, "ISO-8859-1"), high, chars)
 
 
+def _wide(content: Column, charset: str, size: int, little: bool) -> Column:
+    """UTF-16 or UTF-32 bytes, their mark included, as text; null if they are malformed."""
+    units = F.regexp_extract_all(F.hex(content), F.lit(f".{{{2 * size}}}"), F.lit(0))
+    if little:
+        pairs = F.lit("(..)(..)(..)(..)" if size == 4 else "(..)(..)")
+        turned = "$4$3$2$1" if size == 4 else "$2$1"
+        units = F.transform(units, lambda u: F.regexp_replace(u, pairs, F.lit(turned)))
+    if size == 4:
+        fine = F.forall(units, lambda u: (u <= "0010FFFF") & ~u.between("0000D800", "0000DFFF"))
+    else:
+        # A high surrogate stands before each low one, and nowhere else.
+        high = F.transform(units, lambda u: u.between("D800", "DBFF"))
+        low = F.transform(units, lambda u: u.between("DC00", "DFFF"))
+        before = F.concat(F.array(F.lit(False)), high)
+        after = F.concat(low, F.array(F.lit(False)))
+        fine = before == after
+    whole = F.octet_length(content) % size == 0
+    return F.when(whole & fine, F.decode(content, charset))
+
+
 def decoded_text(content: Column, fallback: str = "cp1250") -> Column:
     """Bytes as text; null if they are no text.
 
@@ -148,8 +168,10 @@ def decoded_text(content: Column, fallback: str = "cp1250") -> Column:
         declared = F.when(named.isin(*names), _single_byte(content, charset)).otherwise(declared)
     return (
         F.when(mark.startswith("EFBBBF"), F.try_validate_utf8(F.substring(content, F.lit(4), F.octet_length(content)).cast("string")))
-        .when(mark.isin("FFFE0000", "0000FEFF"), F.decode(content, "UTF-32"))
-        .when(mark.startswith("FFFE") | mark.startswith("FEFF"), F.decode(content, "UTF-16"))
+        .when(mark == "FFFE0000", _wide(content, "UTF-32", 4, True))
+        .when(mark == "0000FEFF", _wide(content, "UTF-32", 4, False))
+        .when(mark.startswith("FFFE"), _wide(content, "UTF-16", 2, True))
+        .when(mark.startswith("FEFF"), _wide(content, "UTF-16", 2, False))
         .when(F.contains(latin, F.lit("\0")), F.lit(None).cast("string"))
         .when(utf8.isNotNull(), utf8)
         .otherwise(F.coalesce(declared, _single_byte(content, fallback)))
@@ -162,8 +184,9 @@ def builtin_extractor(objects: DataFrame) -> DataFrame:
     Input has `content`; output adds text, meta, http_code (200, or 422 for other formats) and
     message.
     """
-    text = decoded_text(F.col("content").cast("binary"))
-    return objects.select(
+    text = F.col("_decoded")
+    decoded = objects.select("sha256", decoded_text(F.col("content").cast("binary")).alias("_decoded"))
+    return decoded.select(
         "sha256",
         extract_text(text).alias("text"),
         extract_metadata(text).alias("meta"),
