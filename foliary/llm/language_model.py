@@ -211,11 +211,16 @@ def _histogram(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBa
         if not len(codes):
             continue
         hot, p2, p1, bucket = _estimates(codes, ends, own, after, buckets)
-        word = np.where(hot, 0, codes & np.uint64(_COLD - 1)).astype(np.int64)
-        rows = np.stack([bucket, _steps(p2), _steps(p1), np.where(hot, -1, word)], axis=1)
-        rows, counts = np.unique(rows, axis=0, return_counts=True)
+        # Steps are small numbers, so the three parts of a row fit one key.
+        key = (bucket * 8192 + _steps(p2) + 4096) * 8192 + _steps(p1) + 4096
+        keys, counts = np.unique(key[hot], return_counts=True)
+        cold = (codes[~hot] & np.uint64(_COLD - 1)).astype(np.int64)
+        keys = np.concatenate([keys, key[~hot]])
+        columns = [keys >> 26, (keys >> 13) % 8192 - 4096, keys % 8192 - 4096]
+        words = np.concatenate([np.full(len(counts), -1, np.int64), cold])
+        counts = np.concatenate([counts, np.ones(len(cold), np.int64)])
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(rows[:, i]) for i in range(4)], pa.array(counts)],
+            [*[pa.array(c) for c in columns], pa.array(words), pa.array(counts)],
             names=["bucket", "step2", "step1", "word", "n"],
         )
 
