@@ -3,8 +3,9 @@
 A page becomes a tree. For every node, its characters, its tags, and both inside links give the
 composite density: characters per tag, less where links hold much of the text. The sum of a
 node's children's densities is largest at the element whose children are the article's blocks.
-From there the subtree grows towards the body as long as the density on that path stays above the
-threshold that the body sets, so an article in several sections stays whole.
+An article or main element around it is taken whole. Without one the subtree grows towards the body
+to the outermost element with a sibling on the path that reaches the least density of that path, so
+an article in several sections stays whole, however unequal they are.
 
 What is never main text is left out of the tree: scripts, styles, menus, page headers and
 footers, sidebars, forms, and elements whose class or id calls them an advert, a notice, a menu or
@@ -211,17 +212,20 @@ def best(root: Node) -> Node:
     found = max(nodes, key=lambda n: n.sum)
     if found.sum == 0.0:
         return body
-    path = []
-    node = found
-    while node is not None and node is not body:
-        path.append(node)
-        node = node.parent
-    # The body's own density is the threshold; a mark-up for the article ends the path.
-    for step in path:
-        if step.density >= body.density and step.density >= found.density / 2 or step.name in ("article", "main"):
+    path = [found]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    # A mark-up for the article ends the path, however dense its parts are.
+    for name in ("article", "main"):
+        marked = [n for n in path if n.name == name]
+        if marked:
+            return marked[-1]
+    # The least density on the path is the threshold that one of the siblings has to reach.
+    least, first = min(n.density for n in path), found.density
+    for inner, step in zip(path, path[1:], strict=False):
+        siblings = any(isinstance(p, Node) and p is not inner and p.chars and p.density >= least for p in step.parts)
+        if siblings or step is not body and step.density >= body.density and step.density >= first / 2:
             found = step
-        if step.name in ("article", "main") or step.density < body.density:
-            break
     while found.parent is not None and (found.name == "p" or found.name not in BLOCKS):
         found = found.parent
     return found

@@ -37,6 +37,25 @@ def test_pages(body, expected):
     assert main_text.main_text(page(body)).split("\n") == (expected or [""])
 
 
+def paragraphs(count, size):
+    return "".join(f"<p>{'w' * size}</p>" for _ in range(count))
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div>", "</div>"), ("", "")])
+def test_sections_of_unequal_density_stay_together(open_, close):
+    body = f"{open_}<h1>Title</h1><section>{paragraphs(20, 200)}</section><section>{paragraphs(5, 700)}</section>{close}"
+    got = main_text.main_text(page(MENU + body + FOOT)).split("\n")
+    assert [len(x) for x in got] == [5] + [200] * 20 + [700] * 5
+
+
+def test_a_long_list_stays_in_its_article():
+    items = "".join(f"<li>item {i} of the list</li>" for i in range(100))
+    got = main_text.main_text(page(f"{MENU}<article><div>{paragraphs(3, 900)}</div><ul>{items}</ul></article>{FOOT}"))
+    assert got.count("\n") == 102
+    nested = f"<article><h2>T</h2><p>{LONG}</p><article>{paragraphs(2, 900)}</article></article>"
+    assert main_text.main_text(page(nested)).startswith("T\n" + LONG)
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "</p></div>", "<!-- open", "<script>never closed", "&#xffffffff;", "<a <b>", "\x00"])
 def test_broken_pages_do_not_fail(html):
     assert isinstance(main_text.main_text(html), str)
