@@ -5,10 +5,12 @@ p1 of words, and weights a, b, c for every bucket of contexts v of a similar fre
 are learned by expectation-maximisation on held-out counts: part of the training documents is kept
 from the estimates and shows how well each of them predicts. The final estimates use all of them.
 
-Counts of all words are a table that grows with the corpus. Words that make up 2 ** -20 of all
-tokens or more (so 2 ** 20 words at most) are broadcast; tokens of all other words meet their counts
-in a join, where no key can be hot. Pairs are counted between words that make up 2 ** -14 or more,
-and stay in the model from 2 ** -20 of all tokens on (so 2 ** 20 pairs at most).
+Counts of all words and of all pairs are tables that grow with the corpus; nothing is left out of
+them. Every token has a context, the word before it or the start of its text, so the count of a
+word is its count as context too, and that of the end is the one of the start. Words that make up
+2 ** -20 of all tokens or more, and pairs that do (so 2 ** 20 of each at most), are broadcast as
+a short cut. Every other token meets its pair in a join; the table of pairs has met the counts of
+both words before, once for each distinct pair, and gives the held-out counts as well.
 
 Defined results: a null or empty text has one token, its end; repeated rows are counted and scored
 as often as they occur; without training documents every score is that of an unknown word; an
@@ -20,7 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 from foliary.llm.common import pieces, prepare, text_of
 from foliary.session import materialize
 
-HOT_SHARE, CORE_SHARE, PAIR_SHARE = 2.0**-20, 2.0**-14, 2.0**-20
-#: Buckets of contexts: 0 has no pairs, the others halve the share of the tokens.
-BUCKETS = 24
+HOT_SHARE, PAIR_SHARE = 2.0**-20, 2.0**-20
+#: Buckets of contexts: 0 was never seen, the others halve the share of the tokens.
+BUCKETS = 40
 #: Steps of a power of e in the histogram that the weights are learned from.
 STEPS = 16
 ROUNDS = 60
@@ -42,6 +44,8 @@ ROUNDS = 60
 LEAST = 1e-4
 #: Words that a worker remembers, and rows that it gathers before it hands them on.
 KNOWN = 400_000
+#: Tokens whose pairs a worker gathers, and tokens of one pair that a task joins.
+GATHERED, TOKENS_PER_TASK = 2_000_000, 200_000
 #: White space is no part of a word, so this stands for the end of a text.
 END = b"\n"
 #: Parts of the documents: scored only, learned from, and kept for the weights.
@@ -59,6 +63,17 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def edges_of(total: int) -> list[int]:
+    """The largest count of every bucket after the first, in whole numbers."""
+    return [int(total) >> k for k in range(1, BUCKETS - 1)]
+
+
+def bucket_of(count: Column, total: int) -> Column:
+    """The bucket of a context by its count, as `Model.contexts` has it."""
+    bucket = reduce(Column.__add__, [(count <= F.lit(e)).cast("int") for e in edges_of(total)])
+    return F.when(count > 0, bucket + 1).otherwise(0)
+
+
 @dataclass
 class Model:
     """Counts and weights that a scoring worker needs; every part has a proven bound."""
@@ -67,22 +82,23 @@ class Model:
     words: int
     hashes: np.ndarray  # of the hot words, sorted
     counts: np.ndarray
-    core: np.ndarray  # number of a hot word among the core words, -1 if it is none; last: start
-    pairs: np.ndarray  # context * size + word, sorted
+    core: np.ndarray  # number of a hot word in the keys of pairs, -1 if it has none; last: start
+    pairs: np.ndarray  # the frequent ones: context * size + word, sorted
     pair_counts: np.ndarray
     weights: np.ndarray  # BUCKETS rows of three
+    seen: np.ndarray | None = None  # tokens after each context; without it, those of the pairs
 
     @property
     def size(self) -> int:
         return int(self.core.max(initial=0)) + 1
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """For every core word as context: its tokens in pairs of the model, and its bucket."""
-        after = np.bincount(self.pairs // self.size, self.pair_counts, minlength=self.size)
-        share = after / max(self.total, 1)
-        with np.errstate(divide="ignore"):
-            halves = np.floor(-np.log2(share))
-        return after, np.where(after > 0, np.clip(halves + 1, 1, BUCKETS - 1), 0).astype(np.int64)
+        """For every numbered word as context: the tokens after it, and its bucket."""
+        after = self.seen
+        if after is None:
+            after = np.bincount(self.pairs // self.size, self.pair_counts, minlength=self.size)
+        bucket = 1 + sum((after <= edge).astype(np.int64) for edge in edges_of(self.total))
+        return after, np.where(after > 0, bucket, 0)
 
 
 class Numbers(dict):
@@ -146,32 +162,56 @@ def _core_pairs(codes: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.n
     return own, before
 
 
+def _names(codes: np.ndarray, ends: np.ndarray, numbers: Numbers) -> tuple[np.ndarray, ...]:
+    """Of every token: a name of its pair, the word before it, and the word itself.
+
+    A hot word is its hash, another one its hash less 2 ** 63; the start of a text is the end.
+    """
+    word = codes.copy()
+    hot = word < _COLD
+    word[hot] = numbers.hashes[word[hot].astype(np.int64)]
+    code = numbers[END]
+    start = numbers.hashes[code] if code < _COLD else np.uint64(code)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[0] = start
+    before[ends[:-1]] = start
+    pair = before * np.uint64(0x9E3779B97F4A7C15)
+    pair ^= pair >> np.uint64(32)
+    pair = (pair + word) * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair ^= pair >> np.uint64(29)
+    pair *= np.uint64(0x165667B19E3779F9)
+    pair ^= pair >> np.uint64(32)
+    return pair.view(np.int64), before.view(np.int64), word.view(np.int64)
+
+
 def _count_pairs(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    own_model: Model = model.value
-    numbers, size = Numbers(own_model.hashes), own_model.size
-    held: list[np.ndarray] = []
+    """Counts of all pairs of all documents; those that are only scored count in `n` alone."""
+    numbers = Numbers(model.value.hashes)
+    held: list[tuple[np.ndarray, ...]] = []
 
     def rows() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        pair, before, word, part = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        kept = keys % 2 == 1
+        order = np.argsort(pair)
+        pair, part = pair[order], part[order]
+        first = np.nonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))[0]
+        own = [np.add.reduceat((part == p).astype(np.int64), first) for p in (LEARN, KEPT)]
+        n = np.diff(np.append(first, len(pair)))
+        columns = [pair[first], before[order[first]], word[order[first]], *own, n]
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys // 2), pa.array(np.where(kept, 0, counts)), pa.array(np.where(kept, counts, 0))],
-            names=["pair", "learn", "kept"],
+            [pa.array(c) for c in columns], names=["pair", "context", "word", "learn", "kept", "n"]
         )
 
     waiting = 0
-    for batch in batches:
+    for batch in pieces(batches):
         part = batch.column("part").to_numpy()
         codes, ends = _coded(batch, numbers)
         if not len(codes):
             continue
-        word, before = _core_pairs(codes, ends, own_model)
-        part = np.repeat(part, np.diff(ends, prepend=0))
-        good = (word >= 0) & (before >= 0) & (part != TEST)
-        held.append((before[good] * size + word[good]) * 2 + (part[good] == KEPT))
-        waiting += len(held[-1])
-        if waiting > 4_000_000:
+        held.append((*_names(codes, ends, numbers), np.repeat(part, np.diff(ends, prepend=0))))
+        waiting += len(codes)
+        if waiting > GATHERED:
             yield rows()
             waiting = 0
     if held:
@@ -195,73 +235,66 @@ def _estimates(codes, ends, model: Model, after, buckets):
     return hot, p2, p1, bucket
 
 
-def _steps(p: np.ndarray) -> np.ndarray:
-    """A probability as a step of the histogram; 1 stands for 0."""
-    with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.round(np.log(p) * STEPS), 1).astype(np.int64)
-
-
-def _histogram(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """(bucket, step of p2, step of p1) of hot tokens; (bucket, step of p2, word) of others."""
-    own: Model = model.value
-    numbers = Numbers(own.hashes)
-    after, buckets = own.contexts()
-    for batch in batches:
-        codes, ends = _coded(batch, numbers)
-        if not len(codes):
-            continue
-        hot, p2, p1, bucket = _estimates(codes, ends, own, after, buckets)
-        # Steps are small numbers, so the three parts of a row fit one key.
-        key = (bucket * 8192 + _steps(p2) + 4096) * 8192 + _steps(p1) + 4096
-        keys, counts = np.unique(key[hot], return_counts=True)
-        cold = (codes[~hot] & np.uint64(_COLD - 1)).astype(np.int64)
-        keys = np.concatenate([keys, key[~hot]])
-        columns = [keys >> 26, (keys >> 13) % 8192 - 4096, keys % 8192 - 4096]
-        words = np.concatenate([np.full(len(counts), -1, np.int64), cold])
-        counts = np.concatenate([counts, np.ones(len(cold), np.int64)])
-        yield pa.RecordBatch.from_arrays(
-            [*[pa.array(c) for c in columns], pa.array(words), pa.array(counts)],
-            names=["bucket", "step2", "step1", "word", "n"],
-        )
-
-
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """A row for every document with what its hot tokens add, and one for every other token."""
+    """A row for every document with what its frequent pairs add, and rows of the other pairs.
+
+    These say at which rows from `row` on a pair stands, once for every token. The row of a document
+    has a name of its own instead of one of a pair, so the join spreads it.
+    """
     own: Model = model.value
     numbers = Numbers(own.hashes)
     after, buckets = own.contexts()
     floor = 1.0 / (own.words + 1)
     row = TaskContext.get().partitionId() << 40
-    schema = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-         ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.int64()),
-         ("bucket", pa.int64())]
+    doc_type = pa.struct(
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+         ("base", pa.float64()), ("score", pa.float64())]
     )
+    schema = pa.schema([("row", pa.int64()), ("pair", pa.int64()), ("at", pa.list_(pa.int32())), ("doc", doc_type)])
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def waiting_rows() -> pa.RecordBatch:
+        pair, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(pair, kind="stable")
+        pair, first = pair[order], at[0]
+        cuts = np.nonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))[0]
+        places = pa.array((at[order] - first).astype(np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(pair)).astype(np.int32)), places)
+        start = pa.array(np.full(len(cuts), first, np.int64))
+        return pa.RecordBatch.from_arrays([start, pa.array(pair[cuts]), lists, pa.nulls(len(cuts), doc_type)], schema=schema)
+
     for batch in pieces(batches):
         codes, ends = _coded(batch, numbers)
         if not len(codes):
             continue
-        hot, p2, p1, bucket = _estimates(codes, ends, own, after, buckets)
+        _, p2, p1, bucket = _estimates(codes, ends, own, after, buckets)
+        fast = p2 > 0
         lengths = np.diff(ends, prepend=0)
         doc = np.repeat(np.arange(len(ends)), lengths)
         mixed = own.weights[bucket] * np.stack([p2, p1, np.full(len(p1), floor)], axis=1)
         base = np.log10((p1 * own.total + 1) / (own.total + own.words + 1))
-        known = np.bincount(doc, hot, len(ends)).astype(np.int64)
-        parts = [np.bincount(doc, np.where(hot, x, 0.0), len(ends)) for x in (base, np.log10(mixed.sum(axis=1)))]
-        cold = np.nonzero(~hot)[0]
-        n, m = len(ends), len(cold)
-        ids = row + np.arange(n)
-        row += n
-        none = [pa.nulls(m, f.type) for f in schema]
-        columns = [
-            pa.array(ids), batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(known),
-            *[pa.array(x) for x in parts], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, schema=schema)
-        if m:
-            words = (codes[cold] & np.uint64(_COLD - 1)).astype(np.int64)
-            none[0], none[7], none[8] = pa.array(ids[doc[cold]]), pa.array(words), pa.array(bucket[cold])
-            yield pa.RecordBatch.from_arrays(none, schema=schema)
+        known = np.bincount(doc, fast, len(ends)).astype(np.int64)
+        with np.errstate(divide="ignore"):
+            parts = [np.bincount(doc, np.where(fast, x, 0.0), len(ends)) for x in (base, np.log10(mixed.sum(axis=1)))]
+        ids = row + np.arange(len(ends))
+        row += len(ends)
+        docs = pa.StructArray.from_arrays(
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(known),
+             *[pa.array(x) for x in parts]], fields=list(doc_type)
+        )
+        own_place = pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32), np.zeros(len(ids), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids * 0x9E3779B1), own_place, docs], schema=schema)
+        slow = np.nonzero(~fast)[0]
+        if len(slow):
+            held.append((_names(codes, ends, numbers)[0][slow], ids[doc[slow]]))
+            waiting += len(slow)
+        if waiting > GATHERED:
+            yield waiting_rows()
+            waiting = 0
+    if held:
+        yield waiting_rows()
 
 
 def learn_weights(rows: np.ndarray, words: int) -> np.ndarray:
@@ -271,6 +304,9 @@ def learn_weights(rows: np.ndarray, words: int) -> np.ndarray:
     for bucket in range(BUCKETS):
         own = rows[rows[:, 0] == bucket]
         if not len(own):
+            # Rarer contexts than any that was seen take the weights of the rarest.
+            if any(0 < b < bucket for b in rows[:, 0]):
+                weights[bucket] = weights[bucket - 1]
             continue
         p = np.stack([np.where(own[:, i] > 0, 0.0, np.exp(own[:, i] / STEPS)) for i in (1, 2)], axis=1)
         p = np.concatenate([p, np.full((len(own), 1), 1.0 / (words + 1))], axis=1)
@@ -284,6 +320,16 @@ def learn_weights(rows: np.ndarray, words: int) -> np.ndarray:
     return weights
 
 
+def _with_counts(pairs: DataFrame, words: DataFrame, is_hot: Column, name: str) -> DataFrame:
+    """Add the counts of the words in column `name`: hot ones are broadcast, so no key of the join is hot."""
+    counts = [F.col(c).alias(f"{name}_{c}") for c in ("learn", "both")]
+    own = [*pairs.columns, *[F.coalesce(f"{name}_{c}", F.lit(0)).alias(f"{name}_{c}") for c in ("learn", "both")]]
+    hot = F.broadcast(words.filter(is_hot).select(F.col("word").alias(name), *counts))
+    cold = words.filter(~is_hot).select((F.col("word") + F.lit(-_COLD)).alias(name), *counts)
+    one = pairs.filter(F.col(name) >= 0).join(hot, name, "left")
+    return one.select(own).unionByName(pairs.filter(F.col(name) < 0).join(cold, name, "left").select(own))
+
+
 def score(docs: DataFrame, part: Column) -> DataFrame:
     """Score every document; `part` says which are TEST, LEARN or KEPT."""
     spark = prepare(docs.sparkSession)
@@ -302,64 +348,84 @@ def score(docs: DataFrame, part: Column) -> DataFrame:
     ).first()
     total, distinct, learn_total, learn_distinct = totals
     # 1 / HOT_SHARE words at most.
-    hot = words.filter(F.col("both") >= HOT_SHARE * total).orderBy("word").toPandas()
+    is_hot = F.col("both") >= F.lit(float(HOT_SHARE * total))
+    hot = words.filter(is_hot).orderBy("word").toPandas()
     hashes, both = hot["word"].to_numpy(np.uint64), hot["both"].to_numpy(np.int64)
-    core = np.full(len(hot) + 1, -1, np.int64)
-    chosen = np.nonzero(both >= CORE_SHARE * total)[0]
-    core[chosen] = np.arange(len(chosen))
-    core[-1] = len(chosen)
+    core = np.arange(len(hot) + 1)
 
     none = np.empty(0, np.int64)
     blank = np.zeros((BUCKETS, 3))
     bare = Model(total, distinct, hashes, both, core, none, none, blank)
-    pairs = texts.filter(F.col("part") != TEST).select("part", "text").mapInArrow(
-        partial(_count_pairs, model=send(bare)), "pair long, learn long, kept long"
+    pairs = texts.select("part", "text").mapInArrow(
+        partial(_count_pairs, model=send(bare)), "pair long, context long, word long, learn long, kept long, n long"
     )
-    pairs = pairs.groupBy("pair").agg(F.sum("learn").alias("learn"), F.sum("kept").alias("kept"))
-    # 1 / PAIR_SHARE pairs at most.
-    pairs = pairs.filter(F.col("learn") + F.col("kept") >= PAIR_SHARE * total).orderBy("pair").toPandas()
-    keys, learn = pairs["pair"].to_numpy(np.int64), pairs["learn"].to_numpy(np.int64)
-
-    early = Model(learn_total, learn_distinct, hashes, hot["learn"].to_numpy(np.int64), core, keys, learn, blank)
-    seen = texts.filter(F.col("part") == KEPT).select("text").mapInArrow(
-        partial(_histogram, model=send(early)), "bucket long, step2 long, step1 long, word long, n long"
+    pairs = pairs.groupBy("pair").agg(
+        *[F.first(c).alias(c) for c in ("context", "word")], *[F.sum(c).alias(c) for c in ("learn", "kept", "n")]
     )
-    seen = seen.groupBy("bucket", "step2", "step1", "word").agg(F.sum("n").alias("n"))
-    rare = seen.filter("word >= 0").drop("step1").join(words.select("word", "learn"), "word", "left")
-    p1 = F.col("learn") / F.lit(float(max(learn_total, 1)))
-    step1 = F.when(F.col("learn") > 0, F.round(F.log(p1) * STEPS).cast("long")).otherwise(F.lit(1).cast("long"))
-    rare = rare.select("bucket", "step2", step1.alias("step1"), "n")
-    every = seen.filter("word < 0").select("bucket", "step2", "step1", "n").unionByName(rare)
+    pairs = materialize(pairs, "counted")
+    pairs = _with_counts(_with_counts(pairs, words, is_hot, "context"), words, is_hot, "word")
+    pairs = materialize(pairs, "pairs")
+
+    def share(one: str, other: Column) -> Column:
+        return F.when(F.col(one) > 0, F.round(F.log(F.col(one) / other) * STEPS)).otherwise(1)
+
     # A bounded number of buckets and steps.
-    grid = every.groupBy("bucket", "step2", "step1").agg(F.sum("n").alias("n")).toPandas()
+    grid = pairs.filter("kept > 0").groupBy(
+        bucket_of(F.col("context_learn"), learn_total).alias("bucket"),
+        share("learn", F.col("context_learn")).cast("long").alias("step2"),
+        share("word_learn", F.lit(float(max(learn_total, 1)))).cast("long").alias("step1"),
+    ).agg(F.sum("kept").alias("n")).toPandas()
     weights = learn_weights(grid.to_numpy(np.float64).reshape(-1, 4), learn_distinct)
 
-    model = Model(total, distinct, hashes, both, core, keys, learn + pairs["kept"].to_numpy(np.int64), weights)
-    schema = (
-        "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-        "word long, bucket long"
+    # 1 / PAIR_SHARE pairs at most.
+    trained = F.col("learn") + F.col("kept")
+    frequent = (F.col("context") >= 0) & (F.col("word") >= 0) & (trained > 0) & (trained >= F.lit(float(PAIR_SHARE * total)))
+    fast = pairs.filter(frequent).select("context", "word", trained.alias("n")).toPandas()
+    at = [np.searchsorted(hashes, fast[c].to_numpy(np.uint64)) for c in ("context", "word")]
+    ends = words.filter(F.col("word") == hash_of(END)).select("both").first()
+    ends = ends[0] if ends else 0
+    is_end = fast["context"].to_numpy(np.int64) == hash_of(END)
+    keys = np.where(is_end, len(hashes), at[0]) * len(core) + at[1]
+    order = np.argsort(keys)
+    model = Model(
+        total, distinct, hashes, both, core, keys[order], fast["n"].to_numpy(np.int64)[order], weights, np.append(both, ends)
     )
     inputs = texts.select("doc_id", (F.col("part") == TEST).alias("held_out"), "text")
-    rows = materialize(inputs.mapInArrow(partial(_score, model=send(model)), schema), "scores")
-
-    count = F.coalesce("both", F.lit(0))
-    b, c = (F.array(*[F.lit(float(w)) for w in weights[:, i]]) for i in (1, 2))
-    mixed = F.get(b, F.col("bucket")) * count / F.lit(float(max(total, 1))) + F.get(c, F.col("bucket")) / F.lit(float(distinct + 1))
-    base = F.log10((count + 1) / F.lit(float(total + distinct + 1)))
-    rest = rows.filter("word IS NOT NULL").select("row", "word", F.col("bucket").cast("int").alias("bucket"))
-    rest = rest.join(words.select("word", "both"), "word", "left").groupBy("row").agg(
-        F.sum(base).alias("more_base"), F.sum(F.log10(mixed)).alias("more_score"),
-        F.sum((count > 0).cast("long")).alias("more_known"),
-    )
-
-    def added(one: str, other: str) -> Column:
-        return (F.col(one) + F.coalesce(F.col(other), F.lit(0))).alias(one)
+    rows = inputs.mapInArrow(
+        partial(_score, model=send(model)),
+        "row long, pair long, at array<int>, doc struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, "
+        "base: double, score: double>",
+    )
 
-    full = rows.filter("word IS NULL").drop("word", "bucket").join(rest, "row", "left")
-    return full.select(
-        "doc_id", "held_out", "n_tokens", added("n_known", "more_known"), F.lit(total).cast("long").alias("train_tokens"),
-        added("base", "more_base").alias("base_score"), added("score", "more_score"),
+    context, word = F.col("context_both"), F.col("word_both")
+    bucket = bucket_of(context, total)
+    a, b, c = (F.get(F.array(*[F.lit(float(w)) for w in weights[:, i]]), bucket) for i in range(3))
+    p2 = F.when(context > 0, trained / context).otherwise(0.0)
+    mixed = a * p2 + b * word / F.lit(float(max(total, 1))) + c / F.lit(float(distinct + 1))
+    base = F.log10((word + 1) / F.lit(float(total + distinct + 1)))
+    known = (word > 0).cast("long")
+    slow = pairs.filter(~frequent)
+    priced = slow.select("pair", base.alias("base"), F.log10(mixed).alias("score"), known.alias("known"))
+    # Pairs that many documents hold though the training documents do not.
+    cuts = slow.filter(F.col("n") > TOKENS_PER_TASK).select("pair", F.ceil(F.col("n") / TOKENS_PER_TASK).cast("int").alias("cuts"))
+    on = ["pair"]
+    if not cuts.isEmpty():
+        on, parts = ["pair", "salt"], F.coalesce("cuts", F.lit(1))
+        rows = rows.join(F.broadcast(cuts), "pair", "left").withColumn("salt", F.pmod(F.xxhash64("row"), parts).cast("int"))
+        priced = priced.join(F.broadcast(cuts), "pair", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+    def added(name: str, other: str) -> Column:
+        return F.sum(F.coalesce(F.col(f"doc.{name}"), F.when(F.col("doc").isNull(), F.col(other)), F.lit(0)))
+
+    met = rows.join(priced, on, "left").withColumn("place", F.explode("at"))
+    met = met.groupBy((F.col("row") + F.col("place")).alias("row")).agg(
+        *[F.max(f"doc.{c}").alias(c) for c in ("doc_id", "held_out", "n_tokens")],
+        added("n_known", "known").alias("n_known"), added("base", "base").alias("base_score"),
+        added("score", "score").alias("score"),
     )
+    return met.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
 
 
 def split(remainder: Column, test: int, kept: int) -> Column:

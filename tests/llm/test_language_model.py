@@ -104,3 +104,38 @@ def test_repeated_rows_empty_tables_and_no_training(spark):
     untrained = lm.score(docs, F.lit(lm.TEST)).collect()
     assert {(r.n_known, r.train_tokens, r.base_score) for r in untrained} == {(0, 0, 0.0)}
     assert all(math.isfinite(r.score) for r in untrained)
+
+
+@pytest.mark.parametrize("hot, frequent, held", [(2.0**-20, 2.0**-20, 200_000), (2.0**-8, 2.0**-8, 1), (2.0, 2.0, 1)])
+def test_every_pair_counts_however_rare(spark, texts, monkeypatch, hot, frequent, held):
+    monkeypatch.setattr(lm, "HOT_SHARE", hot)
+    monkeypatch.setattr(lm, "PAIR_SHARE", frequent)
+    monkeypatch.setattr(lm, "TOKENS_PER_TASK", held, raising=False)
+    monkeypatch.setattr(lm, "learn_weights", lambda rows, words: np.tile([0.6, 0.3, 0.1], (lm.BUCKETS, 1)))
+    got = {r.doc_id: r for r in lm.score(models.documents(spark, texts), part()).collect()}
+    trained = [words(t) for k, t in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    single, pairs = Counter(), Counter()
+    for own in trained:
+        single.update(own)
+        pairs.update(zip(["\n", *own], own))
+    total, distinct = sum(single.values()), len(single)
+    for key, text in texts.items():
+        own = words(text)
+        p = [
+            0.6 * (pairs[v, w] / single[v] if single[v] else 0) + 0.3 * single[w] / total + 0.1 / (distinct + 1)
+            for v, w in zip(["\n", *own], own)
+        ]
+        assert got[key].score == pytest.approx(sum(map(math.log10, p)), abs=1e-9)
+        assert got[key].n_known == sum(single[w] > 0 for w in own)
+
+
+def test_weights_of_each_part_of_the_histogram(spark, texts, monkeypatch):
+    grids = []
+    real = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda rows, words: grids.append(rows) or real(rows, words))
+    for share in (2.0**-20, 2.0):
+        monkeypatch.setattr(lm, "HOT_SHARE", share)
+        lm.score(models.documents(spark, texts), part()).count()
+    one, two = (sorted(map(tuple, g)) for g in grids)
+    kept = [words(t) for k, t in texts.items() if zlib.crc32(str(k).encode()) % 7 == 3]
+    assert one == two and sum(r[3] for r in one) == sum(map(len, kept))
