@@ -8,7 +8,10 @@ that a neighbour lies there: the squared distances to the steps' edges, summed u
 find is scored on the original vectors in double precision.
 
 The number of projections follows the logarithm of the number of vectors, so buckets keep their size
-as the table grows. A bucket with more than BUCKET_ROWS rows is cut, and each of its parts is
+as the table grows. A neighbour is then harder to reach, so the number of probes follows too: the true
+neighbours of a bounded sample of queries are sought in full, and probes, then tables, double
+until RECALL of them are reached. A query that meets fewer candidates than asked for is searched in
+full. A bucket with more than BUCKET_ROWS rows is cut, and each of its parts is
 searched in full: no candidate is left out.
 
 Defined results: vectors that are null, of another length than most, zero, or with null or
@@ -37,7 +40,9 @@ from foliary.session import materialize
 
 #: Vectors that one bucket may hold before projections are used.
 BASE_ROWS = 4000
+#: Tables and probes to begin with; the share of a sample's true neighbours that they have to reach.
 TABLES, PROBES = 10, 16
+RECALL, SAMPLE = 0.95, 64
 #: Steps of a projection, as a multiple of the largest length; the factor a projection divides by.
 STEP, FACTOR = 1.2, 2.0
 SEED = 7
@@ -57,10 +62,10 @@ class Hashing:
     longest: float
 
     @classmethod
-    def make(cls, dimension: int, rows: int, longest: float) -> Hashing:
+    def make(cls, dimension: int, rows: int, longest: float, tables: int) -> Hashing:
         functions = max(0, round(math.log(max(rows, 1) / BASE_ROWS) / math.log(FACTOR)))
         random = np.random.default_rng(SEED)
-        planes = random.standard_normal((TABLES if functions else 1, functions, dimension + 1))
+        planes = random.standard_normal((tables if functions else 1, functions, dimension + 1))
         step = STEP * longest
         return cls(planes, random.uniform(0, step, planes.shape[:2]), step, longest)
 
@@ -100,6 +105,25 @@ def probes(position: np.ndarray, count: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+def reached(hashing: Hashing, queries: np.ndarray, found: np.ndarray, count: int) -> float:
+    """The share of pairs of a query and a neighbour that `count` probes of every table bring together."""
+    own, there = hashing.project(queries, query=True), np.floor(hashing.project(found, query=False))
+    known: dict[tuple, set] = {}
+    hits = 0
+    for i in range(len(own)):
+        for t in range(own.shape[1]):
+            moves = there[i, t] - np.floor(own[i, t])
+            if np.abs(moves).max(initial=0) > 1:
+                continue
+            key = (queries[i].tobytes(), t)
+            if key not in known:
+                known[key] = {frozenset(x) for x in probes(own[i, t], count)}
+            if frozenset((f, int(d)) for f, d in enumerate(moves) if d) in known[key]:
+                hits += 1
+                break
+    return hits / max(len(own), 1)
+
+
 def _matrix(batch: pa.RecordBatch, dimension: int) -> np.ndarray:
     values = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
     return values.astype(np.float64).reshape(batch.num_rows, dimension)
@@ -116,7 +140,7 @@ def _index(batches: Iterator[pa.RecordBatch], hashing: Hashing, dimension: int)
         )
 
 
-def _place(batches: Iterator[pa.RecordBatch], hashing: Hashing, dimension: int, query: bool) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch], hashing: Hashing, dimension: int, query: bool, count: int) -> Iterator[pa.RecordBatch]:
     """A row for every bucket that a vector lies in, or that a query visits."""
     for batch in pieces(batches):
         matrix = _matrix(batch, dimension)
@@ -127,7 +151,7 @@ def _place(batches: Iterator[pa.RecordBatch], hashing: Hashing, dimension: int,
         else:
             rows, own = [], np.floor(positions)
             for i in range(len(own)):
-                sets = [probes(positions[i, t], PROBES) for t in range(own.shape[1])]
+                sets = [probes(positions[i, t], count) for t in range(own.shape[1])]
                 for k in range(max(map(len, sets))):
                     moved = own[i].copy()
                     for t, table in enumerate(sets):
@@ -215,6 +239,47 @@ def _search(batches: Iterator[pa.RecordBatch], dimension: int, count: int) -> It
         yield best.rows()
 
 
+def _nearest(batches: Iterator[pa.RecordBatch], sample: dict, dimension: int, count: int) -> Iterator[pa.RecordBatch]:
+    """The nearest of a task's rows for each query of a sample."""
+    best = Best(count)
+    for batch in batches:
+        if batch.num_rows:
+            ids, vectors = batch.column("vec_id").to_numpy(), _matrix(batch, dimension)
+            for query, vector in sample.items():
+                other = ids != query
+                best.add(query, ids[other], vectors[other] @ vector)
+    if best.held:
+        yield best.rows()
+
+
+def _hashing(rows: DataFrame, queries: DataFrame, usual, count: int) -> tuple[Hashing, int]:
+    """Projections, and the number of probes that reaches enough neighbours of a sample."""
+    tables, visited = TABLES, PROBES
+    hashing = Hashing.make(usual["dimension"], usual["rows"], usual["longest"], tables)
+    functions = hashing.planes.shape[1]
+    if not functions:
+        return hashing, 1
+    sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = {r["vec_id"]: np.array(r["vector"], np.float64) for r in sample}
+    near = partial(_nearest, sample=sample, dimension=usual["dimension"], count=count)
+    best = rows.mapInArrow(near, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # SAMPLE * count rows at most.
+    best = best.withColumn("rank", rank).filter(F.col("rank") <= count).select("query_id", "vec_id")
+    pairs = rows.dropDuplicates(["vec_id"]).join(F.broadcast(best), "vec_id").select("query_id", "vector").collect()
+    if not pairs:
+        return hashing, visited
+    own = np.stack([sample[r["query_id"]] for r in pairs])
+    found = np.array([r["vector"] for r in pairs], np.float64)
+    while reached(hashing, own, found, visited) < RECALL:
+        if visited < 3**functions:
+            visited = min(2 * visited, 3**functions)
+        else:
+            tables *= 2
+            hashing = Hashing.make(usual["dimension"], usual["rows"], usual["longest"], tables)
+    return hashing, visited
+
+
 def usable(df: DataFrame, vector: str) -> DataFrame:
     """(vec_id, vector) of the rows that take part."""
     own = df.select(F.col("vec_id").cast("long"), F.col(vector).alias("vector"))
@@ -237,9 +302,24 @@ def search(df: DataFrame, vector: str, is_query: Column, count: int) -> DataFram
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dimension = usual["dimension"]
     rows = rows.filter(F.size("vector") == dimension)
-    hashing = Hashing.make(dimension, usual["rows"], usual["longest"])
+    asked = rows.filter(is_query)
+    hashing, visited = _hashing(rows, asked, usual, count)
+    one = _scored(rows, asked, hashing, visited, dimension, count)
+    if hashing.planes.shape[1]:
+        one = materialize(one, "found")
+        enough = one.groupBy("query_id").count().filter(F.col("count") >= count).select(F.col("query_id").alias("vec_id"))
+        few = materialize(asked.join(enough, "vec_id", "left_anti"), "few")
+        if not few.isEmpty():
+            full = Hashing.make(dimension, 1, usual["longest"], 1)
+            more = _scored(rows, few, full, 1, dimension, count)
+            one = one.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return one.withColumn("rank", rank).filter(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
+
 
-    placed = partial(_place, hashing=hashing, dimension=dimension)
+def _scored(rows: DataFrame, asked: DataFrame, hashing: Hashing, visited: int, dimension: int, count: int) -> DataFrame:
+    """(query_id, vec_id, score) of the best candidates in the buckets that the queries visit."""
+    placed = partial(_place, hashing=hashing, dimension=dimension, count=visited)
     schema = f"bucket long, vec_id long, vector {rows.schema['vector'].dataType.simpleString()}"
     index = rows.mapInArrow(partial(_index, hashing=hashing, dimension=dimension), "bucket long, vec_id long")
     # Buckets that have to be cut: rows * TABLES / BUCKET_ROWS at most.
@@ -248,13 +328,11 @@ def search(df: DataFrame, vector: str, is_query: Column, count: int) -> DataFram
     parts = F.coalesce("parts", F.lit(1))
     candidates = rows.mapInArrow(partial(placed, query=False), schema).join(cuts, "bucket", "left")
     candidates = candidates.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
-    queries = rows.filter(is_query).mapInArrow(partial(placed, query=True), schema).join(cuts, "bucket", "left")
+    queries = asked.mapInArrow(partial(placed, query=True), schema).join(cuts, "bucket", "left")
     queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     both = candidates.withColumn("is_query", F.lit(0)).unionByName(queries.withColumn("is_query", F.lit(1)))
     met = both.select("bucket", "part", "is_query", "vec_id", "vector").repartition("bucket", "part")
     found = met.sortWithinPartitions("bucket", "part", "is_query").mapInArrow(
         partial(_search, dimension=dimension, count=count), "query_id long, vec_id long, score double"
     )
-    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return one.withColumn("rank", rank).filter(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -47,6 +47,28 @@ def test_recall_with_many_buckets(spark, monkeypatch):
     assert len(hits) == 60 and np.mean(hits) >= 9.0
 
 
+def test_recall_holds_with_many_projections(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BASE_ROWS", 8)
+    random = np.random.default_rng(5)
+    vectors = random.standard_normal((2000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got = search(spark, vectors, every=50, count=10)
+    hits = [len({r.vec_id for r in rows} & set(nearest(vectors, q, 10))) for q, rows in got.items()]
+    assert len(hits) == 40 and np.mean(hits) >= 9.0
+
+
+def test_a_query_with_few_candidates_is_searched_in_full(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BASE_ROWS", 2)
+    monkeypatch.setattr(neighbours, "RECALL", 0.0, raising=False)
+    random = np.random.default_rng(6)
+    vectors = [(i, random.standard_normal(12).tolist()) for i in range(300)]
+    monkeypatch.setattr(neighbours, "TABLES", 1)
+    monkeypatch.setattr(neighbours, "PROBES", 1)
+    got = search(spark, vectors, every=50, count=20)
+    assert len(got) == 6 and all(len(rows) == 20 for rows in got.values())
+
+
 def test_hot_bucket_is_searched_in_full(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BUCKET_ROWS", 16)
     vectors = [(i, [1.0, float(i < 5)]) for i in range(100)]
