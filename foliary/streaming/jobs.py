@@ -89,17 +89,19 @@ def stream_ingest(
     as_of=None,
     trigger: dict | None = None,
     index: str | None = None,
+    lemmas: DataFrame | None = None,
 ) -> StreamingQuery:
     """Ingest a stream of payloads; every micro-batch is one ingest batch.
 
     Delivery is at least once and the batch is idempotent by content hash. `as_of` fixes the
-    time stamps of a replay; without it they are the time of the batch.
+    time stamps of a replay; without it they are the time of the batch. `lemmas` is the dictionary
+    of an `index` that the stream writes first.
     """
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         now = as_of or spark.range(1).select(F.current_timestamp()).first()[0]
-        ingest_batch(batch, objects(spark), store, now, version, extractor, settings, index)
+        ingest_batch(batch, objects(spark), store, now, version, extractor, settings, index, lemmas)
 
     return (
         payloads.writeStream.foreachBatch(run)

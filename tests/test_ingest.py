@@ -6,6 +6,7 @@ from foliary.operators.corpus import rebuild
 from foliary.operators.extract import builtin_extractor
 from foliary.operators.reconcile import index_audit, reconcile
 from foliary.plans.ingest import ingest
+from foliary.plans.search import open_index, search
 from foliary.schemas import CORPUS, REGISTRY
 from foliary.session import new_path
 from foliary.sources.listing import list_directory, read_objects
@@ -152,6 +153,19 @@ def test_stream_equals_batch(spark, bucket, store, tmp_path):
     assert texts[0] == texts[1] and texts[0]
 
 
+def test_a_stream_writes_its_index_with_the_dictionary(spark, bucket, store, tmp_path):
+    feed, path = str(tmp_path / "feed"), new_path(spark, "test-index")
+    sweep(spark, bucket, store).select("payload").coalesce(1).write.parquet(feed)
+    lemmas = spark.createDataFrame(model.LEMMAS, "surface string, lemma string")
+    stream_ingest(
+        spark.readStream.schema("payload string").parquet(feed), lambda session: read_objects(session, bucket), store,
+        str(tmp_path / "checkpoint"), "v1", as_of=AS_OF, index=path, lemmas=lemmas,
+    ).awaitTermination()
+    queries = spark.createDataFrame([(1, "knihám")], "query_id long, q string")
+    texts = {r.sha256 for r in current(spark, store.corpus, CORPUS).collect()}
+    assert {r.sha256 for r in search(queries, open_index(spark, path)).collect()} == texts and len(texts) == 2
+
+
 def test_versions(spark, tmp_path):
     path = str(tmp_path / "table")
     assert versions(spark, path) == []
