@@ -598,10 +598,21 @@ FULL JOIN (SELECT sha256 FROM registry0 WHERE status = 'indexed') r ON r.sha256
     sql["apply_seen"] = with_parts(registry_row("seen"), seen)
     sql["retired_rows"] = with_parts(
         """
-SELECT l.sha256, l.s3_bucket, l.s3_key, o.sha256 AS retired_by, l.next_other AS retired_seq
-FROM seen_last l JOIN seen_events o ON o.seq = l.next_other AND o.s3_key = l.s3_key
-WHERE l.next_own IS NULL AND l.broken""",
-        seen,
+SELECT sha256, s3_bucket, s3_key, retired_by, retired_seq
+FROM (SELECT *, first_value(next_hash) OVER run AS retired_by, first_value(next_seq) OVER run AS retired_seq,
+             row_number() OVER (PARTITION BY sha256 ORDER BY seq DESC) AS back
+      FROM seen_runs WINDOW run AS (PARTITION BY s3_bucket, s3_key, run ORDER BY seq DESC))
+WHERE back = 1 AND retired_by IS NOT NULL""",
+        {
+            **seen,
+            # Sightings of one hash after another at a place are a run; the next row opens the next run.
+            "seen_places": """
+SELECT seq, sha256, s3_bucket, s3_key, lead(sha256) OVER here AS next_hash, lead(seq) OVER here AS next_seq,
+       coalesce((sha256 IS DISTINCT FROM lag(sha256) OVER here)::INT, 1) AS opens
+FROM seen_events WINDOW here AS (PARTITION BY s3_bucket, s3_key ORDER BY seq)""",
+            "seen_runs": """
+SELECT *, sum(opens) OVER (PARTITION BY s3_bucket, s3_key ORDER BY seq) AS run FROM seen_places""",
+        },
     )
     sql["apply_outcomes"] = with_parts(
         f"""

@@ -101,6 +101,9 @@ def ascii_fold(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
+# What markup escapes, the ampersand first.
+HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+
 
 def safe_highlight(text: Column) -> Column:
     """Escape a highlight for display and let only the emphasis marks through."""

@@ -42,8 +42,12 @@ def bucket(tmp_path):
         path = tmp_path / "bucket" / key
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text, encoding="utf-8")
-    broken = tmp_path / "bucket" / "documents" / "broken.bin"
-    broken.write_bytes(b"\xff\xfe\x00\x81" * 40)
+    for name, content in (
+        # A low surrogate without a high one before it is no text; this other mark and its units are.
+        ("broken.bin", b"\xff\xfe" + b"\x00\xdc" * 40),
+        ("units.bin", b"\xff\xfe\x00\x81" * 40),
+    ):
+        (tmp_path / "bucket" / "documents" / name).write_bytes(content)
     return str(tmp_path / "bucket")
 
 
@@ -69,6 +73,7 @@ def test_sweep_ingest_and_rebuild(spark, bucket, store):
     found = sweep(spark, bucket, store)
     assert {r.s3_key for r in found.collect()} == {
         "documents/abc.pdf", KEY, "documents/copy.pdf", "documents/scan.pdf", "documents/broken.bin",
+        "documents/units.bin",
     }
     payloads = found.orderBy("s3_key").select("payload").coalesce(1)
     run(spark, bucket, store, payloads)
@@ -76,7 +81,7 @@ def test_sweep_ingest_and_rebuild(spark, bucket, store):
     # Equal bytes share a row, which is at the place seen last.
     assert state == {
         "documents/abc.pdf": "indexed", KEY: "indexed",
-        "documents/scan.pdf": "needs_ocr", "documents/broken.bin": "error",
+        "documents/scan.pdf": "needs_ocr", "documents/broken.bin": "error", "documents/units.bin": "needs_ocr",
     }
     corpus = current(spark, store.corpus, CORPUS)
     # The name of a hash is the one it was first seen under.
