@@ -15,7 +15,10 @@ from foliary.llm import (
     language_model,
     line_dedup,
     main_text,
+    merkle,
+    negatives,
     neighbours,
+    quality,
     secrets,
     shards,
     toxicity,
@@ -90,3 +93,18 @@ def op9_language_model(spark, sf):
 @query
 def op10_shards(spark, sf):
     return shards.shard_documents(table(spark, sf, "documents"), [1.0] * 8, added=1.0)
+
+
+@query
+def op11_quality_rules(spark, sf):
+    return quality.report(table(spark, sf, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark, sf):
+    return merkle.report(table(spark, sf, "documents"))
+
+
+@query
+def op13_hard_negatives(spark, sf):
+    return negatives.report(table(spark, sf, "embeddings"))
