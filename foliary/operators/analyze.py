@@ -162,13 +162,23 @@ def postings(
     return content.unionByName(names)
 
 
-def term_stats(posts: DataFrame) -> DataFrame:
-    """(field, term, doc_freq, total_tf, opens): the vocabulary with its frequencies."""
+def term_stats(posts: DataFrame, lengths: dict[str, float] | None = None) -> DataFrame:
+    """(field, term, doc_freq, total_tf, opens): the vocabulary with its frequencies.
+
+    With average `lengths` of the fields, also `peak`, the largest share that a term has in any
+    document (see `search.largest_share`), and `reference`, the average it was computed with.
+    """
     keys = [c for c in ("field", "bucket", "term") if c in posts.columns]
+    most = []
+    if lengths is not None:
+        average = F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair])[F.col("field")]
+        norm = F.lit(DEFAULTS.k1) * (F.lit(1 - DEFAULTS.b) + F.lit(DEFAULTS.b) * F.col("dl") / average)
+        most = [F.max(F.col("tf") / (F.col("tf") + norm)).alias("peak"), F.max(average).alias("reference")]
     return posts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("doc_freq"),
         F.sum("tf").alias("total_tf"),
         F.sum("opens").alias("opens"),
+        *most,
     )
 
 

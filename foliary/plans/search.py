@@ -22,6 +22,7 @@ from foliary.operators.search import (
     totals,
     weigh_terms,
 )
+from foliary.operators.topk import top_scores
 from foliary.schemas import CORPUS_COLUMNS
 from foliary.session import layout, materialize, rows_within, text_bytes
 from foliary.settings import DEFAULTS, Settings
@@ -130,11 +131,15 @@ def _write_segment(
         "field", "bucket", "term"
     ).write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{folder}/postings")
 
-    vocabulary = term_stats(spark.read.parquet(f"{folder}/postings"))
+    written = spark.read.parquet(f"{folder}/postings")
+    # A row for each of the fields.
+    lengths = field_stats(written.groupBy("field").agg(F.sum("opens").alias("opens"), F.sum("tf").alias("total_tf")))
+    lengths = {row["field"]: row["avg_length"] for row in lengths.collect()}
+    vocabulary = term_stats(written, lengths or None)
     if old is not None and not old.isEmpty():
         gone = term_stats(_posts(old, buckets, lemmas, settings))
-        less = [(-F.col(c)).alias(c) if c in _COUNTS else F.col(c) for c in vocabulary.columns]
-        vocabulary = _summed(vocabulary.unionByName(gone.select(*less)))
+        less = [(-F.col(c)).alias(c) if c in _COUNTS else F.col(c) for c in gone.columns]
+        vocabulary = _summed(vocabulary.unionByName(gone.select(*less), allowMissingColumns=True))
         old.select(F.unhex("sha256").alias("sha256")).write.mode("overwrite").parquet(f"{folder}/hidden")
     vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary")
     sums = spark.read.parquet(f"{folder}/vocabulary").groupBy("field")
@@ -147,7 +152,11 @@ _COUNTS = ("doc_freq", "total_tf", "opens")
 
 
 def _summed(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.groupBy("field", "bucket", "term").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    """Counts add up; the largest peak with the smallest reference bounds the shares of all segments."""
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    if "peak" in vocabulary.columns:
+        sums += [F.max("peak").alias("peak"), F.min("reference").alias("reference")]
+    return vocabulary.groupBy("field", "bucket", "term").agg(*sums)
 
 
 def _layout(spark: SparkSession, path: str) -> tuple[int, int, DataFrame | None]:
@@ -165,7 +174,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
         return spark.read.parquet(f"{path}/segment-{n:06d}/{name}")
 
     def table(name: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [read(name, n) for n in found])
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read(name, n) for n in found])
 
     def rows(name: str, key: Callable[[Column], Column]) -> DataFrame:
         """A table of all segments without the rows that a later segment hides."""
@@ -249,7 +258,7 @@ def ranking(weighted: DataFrame, index: Index, settings: Settings = DEFAULTS) ->
 def _page(
     weighted: DataFrame, index: Index, offset: int, size: int, settings: Settings
 ) -> DataFrame:
-    ranked = best_fields(weighted, index.postings, settings)
+    ranked = top_scores(weighted, index.postings, offset + size, settings)
     return _readable(result_page(ranked, offset, size, settings))
 
 

@@ -63,6 +63,8 @@ class Settings:
     salts: int = 32
     rows_per_task: int = 1_000_000
     target_partition_bytes: int = 1 << 30
+    # A search that meets more postings than this leaves out those that no hit needs.
+    prune_rows: int = 1_000_000_000
 
 
 DEFAULTS = Settings()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliary.operators import search as ops
+from foliary.operators import topk
 from foliary.operators.analyze import analyze, postings
 from foliary.plans.search import (
     current_index,
@@ -250,3 +251,52 @@ def test_plan(spark, index):
     assert "dynamicpruning" in plan
     weighted = weighted_terms(ask(spark, "kniha"), index)
     assert weighted.count() > 0
+
+
+class TestSkippedPostings:
+    """A page found with skipped terms equals one over all matches."""
+
+    @pytest.fixture(scope="class")
+    def crowd(self, spark):
+        rng = random.Random(5)
+        words = [a + b + c for a in "bdkl" for b in "aeo" for c in ("ra", "lin", "som", "tak")]
+        often = [1 / (i + 1) for i in range(len(words))]
+        texts = {
+            f"{i}.txt": " ".join(rng.choices(words, often, k=rng.randrange(1, 60))) + f" only{i % 40}" for i in range(400)
+        }
+        path = new_path(spark, "test-index")
+        forms = spark.createDataFrame([("bara", "x"), ("bara", "balin"), ("dara", "dalin")], "surface string, lemma string")
+        docs = documents(spark, texts)
+        write_index(docs.filter("filename NOT LIKE '1%'"), path, forms, SETTINGS)
+        queries = [" ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(12)]
+        return extend_index(docs, path, SETTINGS), ask(spark, *queries, "only7 bara dara", "bara", "nothing", "BARA balin only39")
+
+    @pytest.mark.parametrize("change", [{}, {"k1": 0.5, "b": 0.0}, {"k1": 2.0, "b": 1.0}, {"broadcast_rows": 0, "salts": 3}])
+    def test_equal_pages(self, crowd, monkeypatch, change):
+        index, queries = crowd
+        monkeypatch.setattr(topk, "SEED_ROWS", 2)
+        monkeypatch.setattr(topk, "SEED_DOCUMENTS", 2)
+        settings = replace(SETTINGS, **change)
+        for offset, size in ((0, 3), (4, 5)):
+            whole = search(queries, index, offset, size, settings).collect()
+            found = search(queries, index, offset, size, replace(settings, prune_rows=0)).collect()
+            assert sorted(found) == sorted(whole) and whole
+
+    def test_no_share_exceeds_its_bound(self, spark, crowd):
+        index, queries = crowd
+        for settings in (SETTINGS, replace(SETTINGS, k1=0.4, b=0.2), replace(SETTINGS, k1=3.0, b=0.9)):
+            weighted = weighted_terms(queries, index, settings)
+            scores = ops._contributions(weighted.filter("unit <> ''"), index.postings, settings)
+            most = topk.units(weighted, settings).groupBy("query_id", "field").agg(F.sum("most").alias("most"))
+            got = scores.groupBy("query_id", "field", "sha256").agg(F.sum("score").alias("score"))
+            boosts = F.create_map(*[F.lit(x) for p in settings.field_boosts.items() for x in p])
+            over = got.join(most, ["query_id", "field"]).filter(F.col("score") * boosts[F.col("field")] > F.col("most") + 1e-9)
+            assert over.isEmpty()
+
+    def test_fewer_postings_are_met(self, crowd, monkeypatch):
+        index, queries = crowd
+        weighted = weighted_terms(queries, index, EXACT)
+        units = topk.units(weighted, EXACT)
+        limits = topk.thresholds(weighted, ops.score_columns(weighted, index.postings, EXACT)[0], index.postings, 3, EXACT)
+        left_out = topk.skipped(units, limits).agg(F.sum("rows")).first()[0]
+        assert left_out > 0.3 * units.agg(F.sum("rows")).first()[0]
