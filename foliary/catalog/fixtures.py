@@ -45,6 +45,9 @@ AFFIXES = (
 )
 FORBIDDEN_FLAG = "q"
 
+# Endings of invented keys.
+ENDINGS = (".txt", ".PDF", ".html", ".tar.gz", "", ".json", ".", ".docx")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

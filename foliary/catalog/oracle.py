@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from foliary.catalog import fixtures as fx
+from foliary.functions.objects import CONTENT_TYPES
 from foliary.functions.text import FOLD_FROM, FOLD_TO, FOLD_WIDE, TOKEN_RE2
 from foliary.operators.extract import WHITE_SPACE
 from foliary.operators.highlight import fragment_pattern
@@ -493,6 +494,22 @@ PAGE = "SELECT query_id, rank, sha256, score FROM pages_shown WHERE rank <= {}"
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["object_listing"] = with_parts("SELECT * FROM listing")
+    sql["inventory_prefix"] = with_parts("SELECT * FROM listing WHERE starts_with(s3_key, 'documents/src1')")
+    sql["object_info"] = f"""
+SELECT page_id, s3_key, CASE WHEN page_id % 5 = 1 THEN 'text/x-page'
+  ELSE coalesce(map {{{", ".join(f"{lit(e)}: {lit(t)}" for e, t in CONTENT_TYPES.items())}}}[
+         lower(regexp_extract(s3_key, '[.]([^./]+)$', 1))], 'binary/octet-stream') END AS content_type
+FROM (SELECT page_id, concat('documents/', page_id, [{", ".join(map(lit, fx.ENDINGS))}][page_id % {len(fx.ENDINGS)} + 1]) AS s3_key
+      FROM pages)"""
+    sql["stored_notes"] = f"""
+SELECT doc_id, CASE WHEN note IS NULL THEN {time_text(AS_OF)}
+                    ELSE {time_text("try_cast(CASE WHEN doc_id % 6 IN (1, 3) THEN note || '+00' ELSE note END AS TIMESTAMPTZ) AT TIME ZONE 'UTC'")}
+               END AS extracted_at,
+       note IS NOT NULL AND try_cast(note AS TIMESTAMPTZ) IS NULL AS bad_note,
+       CASE WHEN doc_id % 4 > 0 THEN 'v' || (doc_id % 4) ELSE 'unknown' END AS extractor_version
+FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN day || 'T10:30:00+02:00' WHEN 1 THEN day || ' 23:59:59.25'
+        WHEN 2 THEN day || 'T01:00:00Z' WHEN 3 THEN day || ' 00:00:00' WHEN 4 THEN 'yesterday' END AS note
+      FROM (SELECT doc_id, '2024-03-' || lpad((doc_id % 33)::VARCHAR, 2, '0') AS day FROM documents))"""
     sql["sidecar_delta"] = with_parts(
         "SELECT DISTINCT sha256, 'text/' || sha256 || '.txt' AS text_s3_key, length(content) AS chars, "
         "'v2' AS extractor_version FROM objects "

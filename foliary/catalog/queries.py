@@ -16,7 +16,7 @@ from foliary.plans import ingest as jobs
 from foliary.plans import search as plans
 from foliary.schemas import CORPUS, REGISTRY
 from foliary.session import configure, materialize, new_path, spread
-from foliary.sources import listing, messages
+from foliary.sources import inventory, listing, messages
 from foliary.sources.tables import append_sidecars, current, publish
 from foliary.streaming import jobs as streams
 
@@ -49,6 +49,42 @@ def object_listing(spark, sf):
     return listing.from_inventory(fx.inventory(spark, sf))
 
 
+@query
+def object_info(spark, sf):
+    """Content types of the pages' objects: given for some, by the key for others."""
+    ending = F.element_at(F.array(*[F.lit(e) for e in fx.ENDINGS]), (F.col("page_id") % len(fx.ENDINGS) + 1).cast("int"))
+    key = F.concat(F.lit("documents/"), F.col("page_id"), ending)
+    given = F.when(F.col("page_id") % 5 == 0, " ").when(F.col("page_id") % 5 == 1, "text/x-page")
+    return fx.table(spark, sf, "pages").select("page_id", key.alias("s3_key"), ob.content_type(key, given).alias("content_type"))
+
+
+@query
+def stored_notes(spark, sf):
+    """Time and version noted with stored texts, some missing and some unreadable."""
+    doc, at = F.col("doc_id"), F.concat(F.lit("2024-03-"), F.lpad(F.col("doc_id") % 33, 2, "0"))
+    note = (
+        F.when(doc % 6 == 0, F.concat(at, F.lit("T10:30:00+02:00")))
+        .when(doc % 6 == 1, F.concat(at, F.lit(" 23:59:59.25")))
+        .when(doc % 6 == 2, F.concat(at, F.lit("T01:00Z")))
+        .when(doc % 6 == 3, at)
+        .when(doc % 6 == 4, "yesterday")
+    )
+    stamp, bad = ob.stored_stamp(note, fx.instant(fx.AS_OF))
+    version = F.when(doc % 4 > 0, F.concat(F.lit("v"), doc % 4))
+    return fx.table(spark, sf, "documents").select(
+        "doc_id", F.date_format(stamp, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("extracted_at"), bad.alias("bad_note"),
+        ob.stored_version(version).alias("extractor_version"),
+    )
+
+
+@query
+def inventory_prefix(spark, sf):
+    """A listing by prefix from an inventory read as a data source of its own."""
+    path = new_path(spark, "inventory")
+    inventory.write_inventory(listing.from_inventory(fx.inventory(spark, sf)), path)
+    return inventory.list_inventory(spark, path, "documents/src1")
+
+
 @query
 def sidecar_delta(spark, sf):
     found = fx.objects(spark, sf).dropDuplicates(["sha256"])

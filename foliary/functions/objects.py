@@ -40,3 +40,53 @@ def job_payload(bucket: Column, key: Column) -> Column:
 
 def parsed_job(payload: Column) -> Column:
     return F.from_json(payload, JOB)
+
+
+# Content types by the ending of a key, as stores note them when an object arrives.
+CONTENT_TYPES = {
+    "txt": "text/plain",
+    "md": "text/markdown",
+    "csv": "text/csv",
+    "htm": "text/html",
+    "html": "text/html",
+    "xml": "application/xml",
+    "json": "application/json",
+    "pdf": "application/pdf",
+    "rtf": "application/rtf",
+    "doc": "application/msword",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "odt": "application/vnd.oasis.opendocument.text",
+    "jpg": "image/jpeg",
+    "png": "image/png",
+    "tif": "image/tiff",
+}
+UNKNOWN_TYPE = "binary/octet-stream"
+UNKNOWN_VERSION = "unknown"
+
+
+def content_type(key: Column, given: Column | None = None) -> Column:
+    """The type an object was stored with; without one, what the ending of its key says.
+
+    A blank type counts as none, and an unknown ending as plain bytes.
+    """
+    ending = F.lower(F.regexp_extract(base_name(key), r"\.([^.]+)$", 1))
+    types = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
+    guessed = F.coalesce(types[ending], F.lit(UNKNOWN_TYPE))
+    return guessed if given is None else F.coalesce(F.nullif(F.trim(given), F.lit("")), guessed)
+
+
+def stored_stamp(text: Column, now: Column) -> tuple[Column, Column]:
+    """When a stored text was extracted, by its ISO-8601 note, and whether that note is unreadable.
+
+    Without a note it is now. An unreadable one gives null and is flagged, so that a caller can set the
+    row aside. A note without a zone is in UTC.
+    """
+    shape = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+    whole = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})?$", "$1:00$2")
+    read = F.when(text.rlike(shape), F.try_to_timestamp(whole))
+    return F.when(text.isNull(), now).otherwise(read), text.isNotNull() & read.isNull()
+
+
+def stored_version(version: Column) -> Column:
+    """The extractor's version noted with a stored text, or that it is unknown."""
+    return F.coalesce(version, F.lit(UNKNOWN_VERSION))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.functions.objects import content_hash, text_address
+from foliary.functions.objects import content_hash, content_type, stored_version, text_address
 from foliary.operators.corpus import cache_misses, corpus_upsert
 from foliary.operators.extract import (
     builtin_extractor,
@@ -59,11 +59,11 @@ def sightings(
     spans = jobs.groupBy(*PLACE).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
     if rows_within(spans, settings.broadcast_rows):
         objects = objects.join(F.broadcast(spans.select(*PLACE)), PLACE, "left_semi")
-    kind = F.col("content_type") if "content_type" in objects.columns else F.lit(None)
+    given = F.col("content_type").cast("string") if "content_type" in objects.columns else None
     known = objects.select(
         *PLACE,
         content_hash(F.col("content").cast("binary")).alias("sha256"),
-        kind.cast("string").alias("content_type"),
+        content_type(F.col("s3_key"), given).alias("content_type"),
         F.col("size_bytes").cast("long").alias("size_bytes"),
         "etag",
     )
@@ -124,7 +124,8 @@ def ingest(
         stamp.alias("extracted_at"),
         "needs_ocr",
     )
-    # A stored text without a verdict is judged by the status on record.
+    # A stored text without a verdict is judged by the status on record; one without a time or a
+    # version counts as extracted now by an unknown extractor, so a rebuild finds it.
     recorded = batch.select("sha256", (F.col("status") == "needs_ocr").alias("_recorded"))
     if "needs_ocr" not in sidecars.columns:
         sidecars = sidecars.withColumn("needs_ocr", F.lit(None).cast("boolean"))
@@ -132,6 +133,8 @@ def ingest(
         sidecars.select(*new_sidecars.columns)
         .join(recorded, "sha256")
         .withColumn("needs_ocr", F.coalesce("needs_ocr", "_recorded"))
+        .withColumn("extracted_at", F.coalesce("extracted_at", stamp))
+        .withColumn("extractor_version", stored_version(F.col("extractor_version")))
         .withColumn("cached", F.lit(True))
         .drop("_recorded")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.functions.objects import bare_etag
+from foliary.functions.objects import bare_etag, content_type
 from foliary.settings import DEFAULTS
 
 
@@ -67,5 +67,6 @@ def read_objects(
             version.alias("etag"),
             "content",
         )
+        .withColumn("content_type", content_type(F.col("s3_key")))
         .filter(F.col("s3_key").startswith(prefix))
     )

@@ -88,3 +88,27 @@ def test_distance_against_table(spark):
 def test_allowed_edits(spark):
     df = spark.createDataFrame([("ab",), ("abc",), ("abcde",), ("abcdef",)], "t string")
     assert [r.e for r in df.select(allowed_edits(F.col("t")).alias("e")).collect()] == [0, 1, 1, 2]
+
+
+@pytest.mark.parametrize(
+    "key, kind",
+    [("a/b.PDF", "application/pdf"), ("a.pdf/b", ob.UNKNOWN_TYPE), ("x.tar.html", "text/html"), ("x.", ob.UNKNOWN_TYPE), ("", ob.UNKNOWN_TYPE)],
+)
+def test_content_type(spark, key, kind):
+    assert one(spark, ob.content_type, key) == kind
+    assert one(spark, lambda v: ob.content_type(v, F.lit(" image/png ")), key) == "image/png"
+    assert one(spark, lambda v: ob.content_type(v, F.lit("  ")), key) == kind
+
+
+@pytest.mark.parametrize(
+    "note, shown, bad",
+    [
+        (None, "2024-06-01 00:00:00", False), ("2024-02-01T10:00:00+02:00", "2024-02-01 08:00:00", False),
+        ("2024-02-01T10:00", "2024-02-01 10:00:00", False), ("2024-02-01", "2024-02-01 00:00:00", False),
+        ("2024-02-30T10:00:00", None, True), ("", None, True), ("10:00", None, True), ("2024", None, True),
+    ],
+)
+def test_stored_stamp(spark, note, shown, bad):
+    stamp, flag = ob.stored_stamp(F.col("v"), F.lit("2024-06-01").cast("timestamp"))
+    row = spark.createDataFrame([(note,)], "v string").select(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("s"), flag.alias("b")).first()
+    assert (row.s, row.b) == (shown, bad)
