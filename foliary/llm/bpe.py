@@ -18,8 +18,10 @@ output is replaced).
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,15 +29,18 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliary.llm.common import pieces, prepare, strings
 
-#: Byte strings up to this length are merged directly; longer ones are halved.
-LEAF_BYTES = 32
-#: Matches of the pattern whose tokens a worker remembers.
-KNOWN_MATCHES = 400_000
+#: Byte strings up to this length are merged directly; longer ones, which most long words are, are halved.
+LEAF_BYTES = 8
+#: Windows up to this length are merged pair by pair, longer ones from a heap.
+SHORT_WINDOW = 64
+#: Bytes of matches and their tokens that a worker remembers, in two generations, and pairs of tokens.
+KNOWN_BYTES, KNOWN_PAIRS = 24 << 20, 100_000
+#: What a remembered match takes beside its text and its packed tokens.
+ENTRY_BYTES = 200
 #: Stands for a pair that is no token.
 NO_RANK = 1 << 62
 
@@ -88,9 +93,12 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.fast = re.compile(explicit(pattern)).findall
         self.full = regex.compile(pattern).findall
+        self.shown = [str(i) for i in range(max(ranks.values(), default=-1) + 1)]
+        self.packed = "H" if len(self.shown) <= 1 << 16 else "I"
         self.stable: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = self.joins = 0
 
     def matches(self, text: str) -> list[str]:
         """The matches of the pattern."""
@@ -100,7 +108,7 @@ class Codec:
 
     def merge(self, data: bytes) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until no pair has a rank."""
-        if len(data) > 2 * LEAF_BYTES:
+        if len(data) > SHORT_WINDOW:
             return self._merge_long(data)
         rank_of, none = self.ranks.get, NO_RANK
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -157,7 +165,7 @@ class Codec:
         pair = (left, right)
         known = self.stable.get(pair)
         if known is None:
-            if len(self.stable) >= KNOWN_MATCHES:
+            if len(self.stable) >= KNOWN_PAIRS:
                 self.stable.clear()
             known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
             self.stable[pair] = known
@@ -165,6 +173,7 @@ class Codec:
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Tokens of the concatenation, given the tokens of both sides."""
+        self.joins += 1
         if not left or not right or self.is_stable(left[-1], right[0]):
             return left + right
         width = 1
@@ -190,23 +199,25 @@ class Codec:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.reduce(data)
 
-    def encode(self, text: str) -> list[list[int]]:
-        """The tokens of every match of the pattern, in order."""
-        if len(self.known) > KNOWN_MATCHES:
-            self.known, self.older = {}, self.known
-        known, out = self.known, []
+    def encode(self, text: str) -> array:
+        """The tokens of a text: those of every match of the pattern, in order."""
+        known, older, out = self.known, self.older, array(self.packed)
         for match in self.matches(text):
             ids = known.get(match)
             if ids is None:
-                ids = self.older.get(match)
+                ids = older.get(match)
                 if ids is None:
-                    ids = self.encode_match(match)
+                    ids = array(self.packed, self.encode_match(match)).tobytes()
                 if len(match) <= 64:
                     known[match] = ids
-            out.append(ids)
+                    self.held += ENTRY_BYTES + len(match) + len(ids)
+                    if self.held > KNOWN_BYTES:
+                        known, older = {}, known
+                        self.known, self.older, self.held = known, older, 0
+            out.frombytes(ids)
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | array) -> bytes:
         """The bytes of the tokens, joined up a tree of halves."""
         if len(ids) <= 4096:
             return b"".join([self.bytes_of[t] for t in ids])
@@ -235,12 +246,11 @@ def _encode(
 ) -> Iterator[pa.RecordBatch]:
     own = codec(ranks.value, pattern)
     for batch in pieces(batches):
-        offsets, flat = np.zeros(batch.num_rows + 1, np.int32), []
+        offsets, flat = np.zeros(batch.num_rows + 1, np.int32), array(own.packed)
         for i, value in enumerate(strings(batch, text)):
-            for ids in own.encode(value):
-                flat += ids
+            flat += own.encode(value)
             offsets[i + 1] = len(flat)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.asarray(flat), pa.int32()))
         yield _replaced(batch, out, ids)
 
 
@@ -274,16 +284,28 @@ def decode(df: DataFrame, ids: str, out: str, path: str, pattern: str) -> DataFr
     return df.mapInArrow(job, _with(df, out, T.BinaryType()))
 
 
+def _digest(batches: Iterator[pa.RecordBatch], ranks, pattern: str, text: str) -> Iterator[pa.RecordBatch]:
+    """Encode and decode every text where it is read; only counts and hashes leave the worker."""
+    own = codec(ranks.value, pattern)
+    for batch in pieces(batches):
+        counts, coded, decoded = [], [], []
+        for value in strings(batch, text):
+            ids = own.encode(value)
+            counts.append(len(ids))
+            coded.append(hashlib.sha256(",".join([own.shown[t] for t in ids]).encode()).hexdigest())
+            decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+        kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != text}
+        kept |= {"n_tokens": pa.array(counts, pa.int64())}
+        kept |= {"ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        yield pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
+
+
 def digest(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
     """Encode and decode whole texts; per document the count of ids and two hashes."""
+    ranks = prepare(docs.sparkSession).sparkContext.broadcast(read_ranks(path))
     base = docs.select("doc_id", *keep, "text")
-    coded = encode(base, "text", "ids", path, pattern).drop("text")
-    decoded = decode(coded, "ids", "decoded", path, pattern)
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(joined, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        *keep,
-    )
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    fields = [f for f in base.schema.fields if f.name != "text"]
+    fields += [T.StructField(n, T.LongType() if n == "n_tokens" else T.StringType()) for n in names]
+    found = base.mapInArrow(partial(_digest, ranks=ranks, pattern=pattern, text="text"), T.StructType(fields))
+    return found.select("doc_id", *names, *keep)

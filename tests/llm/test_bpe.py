@@ -32,7 +32,7 @@ def codec():
 
 def test_equals_the_library_and_round_trips(codec):
     for text in samples():
-        ids = [t for match in codec.encode(text) for t in match]
+        ids = list(codec.encode(text))
         assert ids == TOKENS.encode_ordinary(text), ascii(text)
         assert codec.decode(ids) == text.encode()
 
@@ -46,7 +46,7 @@ def test_tree_equals_plain_merging(codec):
 
 def test_long_matches(codec):
     text = "a" * 50_000 + "x" * 33_333 + "".join(random.Random(2).choice("abc") for _ in range(40_000))
-    assert [t for m in codec.encode(text) for t in m] == TOKENS.encode_ordinary(text)
+    assert list(codec.encode(text)) == TOKENS.encode_ordinary(text)
 
 
 def test_rows(spark):
@@ -66,3 +66,21 @@ def test_columns_pass_through(spark):
     docs = models.documents(spark, {1: "abc def"}).withColumnRenamed("lang", "ids")
     row = bpe.decode(bpe.encode(docs, "text", "ids", PATH, PATTERN), "ids", "bytes", PATH, PATTERN).first()
     assert row.ids == TOKENS.encode_ordinary("abc def") and bytes(row.bytes) == b"abc def" and row.source == "src1"
+
+
+def test_words_of_documents_come_through_the_tree(spark):
+    """Most long words are joined from halves, and what is remembered stays within its bound."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    codec = bpe.Codec(RANKS, PATTERN)
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    assert all(list(codec.encode(t)) == TOKENS.encode_ordinary(t) for t in texts)
+    assert codec.joins > 1000
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 50)
+    codec = bpe.Codec(RANKS, PATTERN)
+    for text in samples():
+        assert list(codec.encode(text)) == TOKENS.encode_ordinary(text)
+        assert len(codec.known) + len(codec.older) < 250 and len(codec.stable) <= 50
