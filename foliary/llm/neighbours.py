@@ -17,8 +17,8 @@ searched in full: no candidate is left out.
 Defined results: vectors that are null, of another length than most, zero, or with null or
 non-finite components take no part, nor do rows without an id; repeated rows of an id count as one
 candidate by their best score; equal scores are ordered by the smaller id; with fewer candidates
-than asked for, small tables return all of them (up to BASE_ROWS vectors there is one bucket); an
-empty table gives an empty result. Other columns are not read.
+than asked for, all of them are returned, since such a query is searched in full; an empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from foliary.llm.common import pieces, prepare
 from foliary.session import materialize
 
-#: Vectors that one bucket may hold before projections are used.
-BASE_ROWS = 4000
+#: Vectors for which the fewest projections are enough, and how many these are.
+BASE_ROWS, LEAST = 4000, 2
 #: Tables and probes to begin with; the share of a sample's true neighbours that they have to reach.
 TABLES, PROBES = 10, 16
 RECALL, SAMPLE = 0.95, 64
@@ -54,7 +54,10 @@ SLACK = 1e-9
 
 @dataclass
 class Hashing:
-    """Projections of all tables; their size does not follow the data."""
+    """Projections of all tables; their size does not follow the data.
+
+    Without tables there is one bucket, in which every row is met.
+    """
 
     planes: np.ndarray  # tables, functions, dimension + 1
     shifts: np.ndarray  # tables, functions
@@ -63,9 +66,10 @@ class Hashing:
 
     @classmethod
     def make(cls, dimension: int, rows: int, longest: float, tables: int) -> Hashing:
-        functions = max(0, round(math.log(max(rows, 1) / BASE_ROWS) / math.log(FACTOR)))
+        functions = max(LEAST, round(math.log(max(rows, 1) / BASE_ROWS) / math.log(FACTOR)))
+        functions = functions if tables else 0
         random = np.random.default_rng(SEED)
-        planes = random.standard_normal((tables if functions else 1, functions, dimension + 1))
+        planes = random.standard_normal((max(tables, 1), functions, dimension + 1))
         step = STEP * longest
         return cls(planes, random.uniform(0, step, planes.shape[:2]), step, longest)
 
@@ -181,10 +185,10 @@ class Best:
             old_ids, old = self.held[query]
             ids, scores = np.concatenate([old_ids, ids]), np.concatenate([old, scores])
         order = np.lexsort((ids, -scores))
-        ids, scores = ids[order], scores[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
-        self.held[query] = (ids[new][: self.count], scores[new][: self.count])
+        # An id counts once, by its best score, before the rest is cut off.
+        _, first = np.unique(ids[order], return_index=True)
+        order = order[np.sort(first)[: self.count]]
+        self.held[query] = (ids[order], scores[order])
 
     def rows(self) -> pa.RecordBatch:
         sizes = [len(ids) for ids, _ in self.held.values()]
@@ -202,6 +206,7 @@ def _search(batches: Iterator[pa.RecordBatch], dimension: int, count: int) -> It
     best, key = Best(count), None
     ids: list[np.ndarray] = []
     vectors: list[np.ndarray] = []
+    repeated, starts = None, None
     for batch in pieces(batches, QUERY_ROWS):
         keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "part", "is_query")], axis=1)
         cuts = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
@@ -210,7 +215,7 @@ def _search(batches: Iterator[pa.RecordBatch], dimension: int, count: int) -> It
                 continue
             own = batch.slice(start, end - start)
             if key is None or (keys[start, :2] != key).any():
-                key, ids, vectors = keys[start, :2], [], []
+                key, ids, vectors, repeated = keys[start, :2], [], [], None
             matrix, names = _matrix(own, dimension), own.column("vec_id").to_numpy()
             if not keys[start, 2]:
                 ids.append(names)
@@ -220,12 +225,20 @@ def _search(batches: Iterator[pa.RecordBatch], dimension: int, count: int) -> It
                 continue
             if len(ids) > 1:
                 ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+            if repeated is None:
+                # Rows by id, so that the best of each id can be told from its copies.
+                repeated = len(np.unique(ids[0])) < len(ids[0])
+                if repeated:
+                    order = np.argsort(ids[0], kind="stable")
+                    ids, vectors = [ids[0][order]], [vectors[0][order]]
+                    starts = np.nonzero(np.r_[True, ids[0][1:] != ids[0][:-1]])[0]
             scores = matrix @ vectors[0].T
             scores[names[:, None] == ids[0][None, :]] = -np.inf
             for i, query in enumerate(names):
                 row = scores[i]
-                if len(row) > count:
-                    edge = np.partition(row, len(row) - count)[len(row) - count]
+                each = np.maximum.reduceat(row, starts) if repeated else row
+                if len(each) > count:
+                    edge = np.partition(each, len(each) - count)[len(each) - count]
                     near = np.nonzero((row >= edge - SLACK) & (row > -np.inf))[0]
                 else:
                     near = np.nonzero(row > -np.inf)[0]
@@ -257,8 +270,6 @@ def _hashing(rows: DataFrame, queries: DataFrame, usual, count: int) -> tuple[Ha
     tables, visited = TABLES, PROBES
     hashing = Hashing.make(usual["dimension"], usual["rows"], usual["longest"], tables)
     functions = hashing.planes.shape[1]
-    if not functions:
-        return hashing, 1
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     sample = {r["vec_id"]: np.array(r["vector"], np.float64) for r in sample}
     near = partial(_nearest, sample=sample, dimension=usual["dimension"], count=count)
@@ -305,14 +316,13 @@ def search(df: DataFrame, vector: str, is_query: Column, count: int) -> DataFram
     asked = rows.filter(is_query)
     hashing, visited = _hashing(rows, asked, usual, count)
     one = _scored(rows, asked, hashing, visited, dimension, count)
-    if hashing.planes.shape[1]:
-        one = materialize(one, "found")
-        enough = one.groupBy("query_id").count().filter(F.col("count") >= count).select(F.col("query_id").alias("vec_id"))
-        few = materialize(asked.join(enough, "vec_id", "left_anti"), "few")
-        if not few.isEmpty():
-            full = Hashing.make(dimension, 1, usual["longest"], 1)
-            more = _scored(rows, few, full, 1, dimension, count)
-            one = one.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    one = materialize(one, "found")
+    enough = one.groupBy("query_id").count().filter(F.col("count") >= count).select(F.col("query_id").alias("vec_id"))
+    few = materialize(asked.join(enough, "vec_id", "left_anti"), "few")
+    if not few.isEmpty():
+        full = Hashing.make(dimension, 1, usual["longest"], 0)
+        more = _scored(rows, few, full, 1, dimension, count)
+        one = one.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return one.withColumn("rank", rank).filter(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
 

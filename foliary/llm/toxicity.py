@@ -133,8 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column) -> DataFrame:
     sample = F.broadcast(known.orderBy("rank", "doc_id").limit(TRAIN_ROWS))
     texts = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
     chosen = texts.join(sample, "doc_id").select("rank", "label", "text")
-    chosen = chosen.mapInArrow(_features, "rank long, label double, places array<int>")
-    one_each = chosen.dropDuplicates(["rank"])
+    # Of several texts under one id, the one of smallest hash, whatever the partitioning.
+    picked = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    chosen = chosen.groupBy("rank").agg(F.first("label").alias("label"), picked.alias("text"))
+    one_each = chosen.mapInArrow(_features, "rank long, label double, places array<int>")
     return one_each.groupBy(F.lit(0).alias("all")).applyInPandas(_fit, "place int, weight double")
 
 

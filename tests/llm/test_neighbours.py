@@ -92,3 +92,27 @@ def test_probes_come_in_order_of_their_cost(functions):
     costs = [sum(inside[i] ** 2 if d < 0 else (1 - inside[i]) ** 2 for i, d in s) for s in sets]
     assert costs == sorted(costs)
     assert len({tuple(sorted(s)) for s in sets}) == 3**functions
+
+
+@pytest.mark.parametrize("bucket", [16, 20_000])
+def test_an_id_with_many_vectors_takes_one_place(spark, monkeypatch, bucket):
+    """Other rows of an id, all near the query, don't crowd out its other neighbours."""
+    monkeypatch.setattr(neighbours, "BUCKET_ROWS", bucket)
+    random = np.random.default_rng(3)
+    vectors = [(i, random.standard_normal(6).tolist()) for i in range(60)]
+    vectors += [(1, [x * (2 + 0.1 * k) for x in vectors[0][1]]) for k in range(25)]
+    got = search(spark, vectors, every=20, count=20)
+    for query, rows in got.items():
+        own = np.array(dict(vectors[:60])[query], np.float32).astype(float)
+        best = {}
+        for i, v in vectors:
+            if i != query:
+                best[i] = max(best.get(i, -np.inf), float((np.array(v, np.float32).astype(float) * own).sum()))
+        expected = sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert len(rows) == 20 and len({r.vec_id for r in rows} & set(expected)) >= 18
+        assert all(abs(best[r.vec_id] - r.score) < 1e-9 for r in rows)
+    assert got[0][0].vec_id == 1
+
+
+def test_the_smallest_tables_are_hashed():
+    assert neighbours.Hashing.make(8, 10, 1.0, 10).planes.shape == (10, neighbours.LEAST, 9)

@@ -69,3 +69,14 @@ def test_penalty_leaves_few_weights():
     rows = [np.union1d(r, [0, 6000]) if y else np.union1d(r, [0]) for r, y in zip(rows, labels, strict=True)]
     places, values = toxicity.fit(rows, labels)
     assert len(places) < 1000 and values[list(places).index(6000)] == max(values)
+
+
+def test_repeated_ids_are_chosen_alike_in_any_partitioning(spark, tables):
+    docs, labels = tables
+    other = docs.withColumn("text", F.reverse("text"))
+    both = docs.unionByName(other)
+    scores = [
+        sorted((r.doc_id, r.text_key, r.score) for r in toxicity.score(both.repartition(n), labels, F.lit(True)).collect())
+        for n in (1, 7)
+    ]
+    assert scores[0] == scores[1]
