@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from foliary.llm import secrets
 from tests.llm import models
@@ -53,10 +55,66 @@ def test_base_findings_and_verdicts(spark):
 
 
 def test_ownership(spark):
-    rows = [("v", "a", "1"), ("v", "a", "2"), ("v", "a", "2"), ("v", None, "3"), ("w", "a", None)]
-    found = spark.createDataFrame(rows, "value string, owner string, repository string")
+    rows = [("v", "a", "1", 1), ("v", "a", "2", 2), ("v", "a", "2", 2), ("v", None, "3", 3), ("w", "a", None, 4)]
+    # Two copies of one text are one holder, the smaller.
+    rows += [("x", "b", "6", 5), ("x", "a", "7", 5)]
+    found = spark.createDataFrame(rows, "value string, owner string, repository string, copy long")
     got = {r.value: (r.repositories, r.owners) for r in secrets.ownership(found).collect()}
-    assert got == {"v": (3, 2), "w": (1, 1)}
+    assert got == {"v": (3, 2), "w": (1, 1), "x": (1, 1)}
+
+
+def verdicts(rows):
+    """Bare spans and live findings by a plain count over all texts; rows are (doc_id, text, owner)."""
+    held = {}
+    for key, text, owner in rows:
+        for _, _, _, value in secrets.candidates(text or ""):
+            first = held.setdefault(value, {}).get(text or "")
+            own = (owner is not None, owner or "", str(key))
+            held[value][text or ""] = min(first, own) if first else own
+    out = []
+    for key, text, _ in rows:
+        spans, live = [], 0
+        for kind, start, stop, value in secrets.candidates(text or ""):
+            holders = set(held[value].values())
+            alive = len({h[:2] for h in holders}) < 2 and len(holders) < 20
+            live += alive
+            if kind < 3 or alive:
+                spans.append((start, kind, stop))
+        out.append((key, spelled(spans), live))
+    return sorted(out)
+
+
+def test_both_counts_decide(spark):
+    """One owner in many repositories is an example; copies under other owners are no second holder."""
+    rng = random.Random(4)
+    signs = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+
+    def value():
+        while not secrets.looks_random(made := "".join(rng.choices(signs, k=30))):
+            pass
+        return made
+
+    rows, example = [], value()
+    rows += [(i, f"text {i} holds {example} and {'token = ' + value() if i % 3 else ''}", "one") for i in range(200)]
+    few, mirrored, shared = value(), value(), value()
+    rows += [(300 + i, f"{i} few {few}", "two") for i in range(5)]
+    rows += [(400 + i, f"mirrored {mirrored}", f"owner{i}") for i in range(4)]
+    rows += [(500 + i, f"{i} shared {shared}", f"owner{i}") for i in range(2)]
+    rows += [(600, None, None), (601, f"{value()} {value()}", None)]
+    docs = spark.createDataFrame([(i, t, "en", o, 1) for i, t, o in rows], models.DOCS).repartition(6)
+    got = secrets.report(docs, "source", "doc_id").collect()
+    assert sorted((r.doc_id, r.spans, r.n_live) for r in got) == verdicts(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[0].spans == "" and "bare" in by_id[300].spans and "bare" in by_id[400].spans
+    assert by_id[500].spans == "" and by_id[600].most_owners is None
+    assert (by_id[300].most_owners, by_id[300].most_repositories) == (1, 5)
+
+
+def test_many_findings_in_one_text():
+    text = " ".join(f"token={i:06d}abc Zx81kLmQ92vbTT07aPqWn{i:06d}cR" for i in range(20_000))
+    began = time.perf_counter()
+    assert len(secrets.candidates(text)) == 40_000
+    assert time.perf_counter() - began < 5
 
 
 def test_repeated_rows_and_empty_tables(spark):
