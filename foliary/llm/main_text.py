@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -52,20 +53,24 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Parts of a class or id that name what is not main text.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|"
-    r"cookie|cookies|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|paywall|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|widget|related|recommended|share|sharing|"
-    r"social|footer|masthead|comment|comments|respond|reply|replies|disqus|pagination|pager|skip|toolbar)"
-    r"(?:$|[\s_-])"
+#: Words of a class or id that name what is not main text.
+NOISE = frozenset(
+    "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion "
+    "cookie cookies consent gdpr notice popup modal newsletter subscribe signup paywall "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget related recommended share sharing "
+    "social footer masthead comment comments respond reply replies disqus pagination pager skip toolbar".split()
 )
+#: Words beside which those only say what an element has, lacks or looks like.
+ABOUT = frozenset("has have no not non with without by hoc for is show hide hidden open free enabled disabled allow".split())
+#: The part of a page's text beyond which an element is main text, whatever its class or id says.
+MOST = 0.9
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*)[^>]*>|<[!?/][^>]*>|<[a-z/!?][^>]*\Z",
+    # Nothing is given back once it is matched, so broken tags take time in proportion.
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
+    r"|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*+)[^>]*+>|<[!?/][^>]*+>|<[a-z/!?][^>]*+\Z",
     re.IGNORECASE | re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
@@ -83,32 +88,76 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def is_noise(name: str, rest: str, inside: set[str]) -> bool:
-    """Whether an element is never main text."""
+def names_noise(value: str) -> bool:
+    """Whether a class or id names an element that is no main text, as a word of its own."""
+    for name in value.split():
+        words = re.split("[_-]+", name)
+        if not NOISE.isdisjoint(words) and ABOUT.isdisjoint(words):
+            return True
+    return False
+
+
+def is_noise(name: str, rest: str, inside: Counter) -> str:
+    """Why an element is never main text: by its `tag`, by its `name`, or not at all."""
     if name in DROPPED:
-        return not (name in ("footer", "label") and "blockquote" in inside)
+        return "" if name in ("footer", "label") and inside["blockquote"] else "tag"
     if name == "header":
-        return "article" not in inside and "main" not in inside
+        return "" if inside["article"] or inside["main"] else "tag"
     if not rest or name in ("html", "body", "article", "main"):
-        return False
+        return ""
+    named = ""
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and value in NOISE_ROLES or key in ("class", "id") and NOISE.search(value):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in NOISE_ROLES:
+            return "tag"
+        if key in ("class", "id") and names_noise(value):
+            named = "name"
+    return named
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without what is never main text."""
+    """The tree of a page without what is never main text.
+
+    An element that was left out for its name, but holds nearly all of the text, is kept after all.
+    """
+    kept: set[int] = set()
+    for _ in range(8):
+        root, left_out, read = _parse(page, kept)
+        place, most = max(left_out.items(), key=lambda x: x[1], default=(0, 0))
+        if most <= MOST * (read + sum(left_out.values())) or not most:
+            break
+        kept.add(place)
+    return root
+
+
+def _parse(page: str, kept: set[int]) -> tuple[Node, dict[int, int], int]:
+    """The tree; characters of the elements left out for their name, by place; characters of the tree."""
     root = Node("html", None)
     stack, skipping, at = [root], 0, 0
     skipped: list[str] = []
+    # Open elements by name: what lies around a tag is never listed.
+    inside: Counter = Counter()
+    left_out: dict[int, int] = {}
+    place, read = -1, 0
 
     def text(value: str) -> None:
-        if value and not skipping:
+        nonlocal read
+        if not value:
+            return
+        if not skipping:
+            read += len(value.strip())
             stack[-1].parts.append(html.unescape(value) if "&" in value else value)
+        elif place >= 0:
+            left_out[place] += len(value.strip())
+
+    def cut(i: int) -> None:
+        """Close the elements from the i-th on."""
+        inside.subtract([n.name for n in stack[i:]])
+        del stack[i:]
+
+    def enter(node: Node) -> None:
+        inside[node.name] += 1
+        stack.append(node)
 
     for token in TOKEN.finditer(page):
         text(page[at : token.start()])
@@ -131,9 +180,11 @@ def parse(page: str) -> Node:
                 skipping = len(skipped)
             continue
         if closing:
-            names = [n.name for n in stack]
-            if name in names[1:]:
-                del stack[len(names) - 1 - names[::-1].index(name) :]
+            if inside[name]:
+                i = len(stack) - 1
+                while stack[i].name != name:
+                    i -= 1
+                cut(i)
             elif name == "p":
                 stack[-1].parts.append(Node("p", stack[-1]))
             continue
@@ -141,32 +192,36 @@ def parse(page: str) -> Node:
             if name == "body" and len(stack) == 1:
                 node = Node("body", root)
                 root.parts.append(node)
-                stack.append(node)
+                enter(node)
             continue
-        if name in BLOCKS:
+        if name in BLOCKS and inside["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].name in BLOCKS:
                     break
-        if name in CLOSES:
+        if name in CLOSES and any(inside[n] for n in CLOSES[name][0]):
             same, holders = CLOSES[name]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in holders:
                     break
                 if stack[i].name in same:
-                    del stack[i:]
+                    cut(i)
                     break
-        if name not in VOID and is_noise(name, token["rest"] or "", {n.name for n in stack}):
+        why = "" if name in VOID else is_noise(name, token["rest"] or "", inside)
+        if why and not (why == "name" and token.start() in kept):
             skipped, skipping = [name], 1
+            place = token.start() if why == "name" else -1
+            if place >= 0:
+                left_out[place] = 0
             continue
         node = Node(name, stack[-1])
         stack[-1].parts.append(node)
         if name not in VOID and not (token["rest"] or "").endswith("/"):
-            stack.append(node)
+            enter(node)
     text(page[at:])
-    return root
+    return root, left_out, read
 
 
 def nodes_of(root: Node) -> list[Node]:
@@ -197,9 +252,9 @@ def measure(root: Node) -> list[Node]:
             plain = max(node.chars - node.link_chars, 1)
             base = math.log(node.chars / plain * node.link_chars + share * node.chars + math.e)
             ratio = node.chars / max(node.link_chars, 1) * max(node.tags, 1) / max(node.link_tags, 1)
-            node.density = node.chars / max(node.tags, 1) * math.log(max(ratio, 1.0) + 1e-9) / math.log(base + 1.0)
-            if not node.link_chars:
-                node.density = node.chars / max(node.tags, 1)
+            # Links only lower a density: without any it is the characters per tag.
+            lowered = min(math.log(max(ratio, 1.0) + 1e-9) / math.log(base + 1.0), 1.0)
+            node.density = node.chars / max(node.tags, 1) * lowered
     for node in nodes:
         node.sum = sum(p.density for p in node.parts if isinstance(p, Node))
     return nodes

@@ -1,3 +1,6 @@
+import math
+import time
+
 import pytest
 
 from foliary.llm import main_text
@@ -75,3 +78,65 @@ def test_rows(spark):
     assert got == sorted([(1, "u", LONG, len(LONG)), (2, None, "", 0), (3, "", "", 0)] * 2, key=lambda r: r[0])
     assert main_text.report(pages.limit(0)).count() == 0
     assert main_text.extract(pages, "html", "text").columns == ["page_id", "url", "html", "text"]
+
+
+@pytest.mark.parametrize(
+    "name", ["content has-sidebar", "post side-by-side", "ad-hoc", "no-comments", "article with_nav", "entry is-widget show-share"]
+)
+def test_names_that_only_tell_of_noise(name):
+    body = f'<div class="{name}"><p>{LONG}</p><p class="{name}">{LONG}</p></div>'
+    assert main_text.main_text(page(MENU + body + FOOT)).split("\n") == [LONG, LONG]
+    assert main_text.names_noise("post sidebar") and main_text.names_noise("main-nav") and main_text.names_noise("cookie_notice")
+
+
+def test_an_element_with_nearly_all_text_is_kept():
+    body = f'<div class="notice">{paragraphs(20, 200)}<div class="ads">buy</div></div><p>Short.</p>'
+    got = main_text.main_text(page(MENU + body + FOOT)).split("\n")
+    assert got.count("w" * 200) == 20 and "buy" not in got
+    beside = f'<article>{paragraphs(4, 200)}</article><div class="related">{paragraphs(6, 200)}</div>'
+    assert main_text.main_text(page(beside)).count("w" * 200) == 4
+
+
+def density(node):
+    """Characters, tags, and those of links, counted anew for every node."""
+    def count(n, linked):
+        linked = linked or n.name == "a"
+        chars = links = tags = link_tags = 0
+        for part in n.parts:
+            if isinstance(part, str):
+                size = len(" ".join(part.split())) if part.split() else 0
+                chars, links = chars + size, links + size * linked
+            else:
+                c, lc, t, lt = count(part, linked)
+                chars, links, tags, link_tags = chars + c, links + lc, tags + t + 1, link_tags + lt + (part.name == "a")
+        return chars, links, tags, link_tags
+
+    return count(node, False)
+
+
+def test_densities_by_a_plain_count():
+    body = f'<div><p>{LONG}<a href=x>four</a></p><p>{LONG}</p><ul><li><a>one</a><li><a>two <b>x</b></a></ul></div>'
+    root = main_text.parse(page(MENU + body))
+    nodes = main_text.measure(root)
+    all_chars, all_links, _, _ = density(root)
+    for node in nodes:
+        chars, links, tags, link_tags = density(node)
+        assert (node.chars, node.tags, node.link_chars) == (chars, tags, links)
+        if chars:
+            base = math.log(chars / max(chars - links, 1) * links + all_links / all_chars * chars + math.e)
+            ratio = chars / max(links, 1) * max(tags, 1) / max(link_tags, 1)
+            expected = chars / max(tags, 1) * min(1.0, math.log(max(ratio, 1.0) + 1e-9) / math.log(base + 1))
+            assert math.isclose(node.density, expected)
+    plain, linked = (main_text.measure(main_text.parse(f"<div>{'x' * 395}{end}</div>"))[1].density for end in ("xxxxx", "<a>xxxx</a>"))
+    assert linked <= plain
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<b>" * 100_000 + LONG, "<div>" * 50_000 + LONG, "<a" + "x" * 100_000, "<a " + "b " * 50_000, "<a \"" * 20_000, "<" * 100_000,
+     "<b><p>" * 30_000 + LONG, "<li>" * 50_000, "<p" * 50_000 + ">"],
+)
+def test_broken_markup_takes_time_in_proportion(html):
+    began = time.perf_counter()
+    main_text.main_text(html)
+    assert time.perf_counter() - began < 6
