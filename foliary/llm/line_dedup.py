@@ -1,17 +1,22 @@
 """Line dedup by a segment-partition edit join.
 
-A line is dropped if an earlier line of the corpus is equal to it, or is at most EDITS edits away
-and both have MIN_CHARS characters or more. "Earlier" is the order of (doc_id, hash of the text,
-line number) of a line's first occurrence.
+A line is dropped if an earlier line of the corpus is equal to it or near it: at most as many edits
+away as `allowed_edits` gives for the shorter of the two. "Earlier" is the order of (doc_id, hash of
+the text, line number) of a line's first occurrence.
 
 Equal lines are found by hashes and meet as one row, so a line that stands in a third of all
-documents is as cheap as any other. For the rest, every distinct line is cut into EDITS + 1
-segments. A line within EDITS edits has at least one of these segments unchanged, at a position that
-both lengths limit; so every line probes the few substrings that can match, for every length that can
-match. What meets is verified by edit distance, computed in a band of diagonals whose differences
-are the bits of two numbers.
+documents is as cheap as any other. For the rest, every distinct line is cut into one segment more
+than it may have edits. A line within these edits has at least one segment unchanged, at a position
+that both lengths limit; so every line probes the few substrings that can match, for every length
+that can match. Only hashes move for that, and what they meet is counted before any line is named.
 
-All of it is DataFrame functions; texts do not move until a document's dropped lines are known.
+Lines that share a segment differ elsewhere, so what is left of them is compared, by edit distance
+in a band of diagonals whose differences are the bits of two numbers. A line needs one earlier
+witness, not all of them, so the comparison ends at the first and no pairs are written: rows grow with
+the lines. Lines of one template that differ in more than a few places still cost comparisons with all
+of their block, though no rows.
+
+All of it is DataFrame functions.
 
 Defined results: a null text stays null and has no lines; an empty or blank line is never dropped;
 rows that repeat id and text are one document and keep the same lines; null ids come first; very
@@ -28,53 +33,83 @@ from pyspark.sql import functions as F
 
 from foliary.session import hot_key_join, materialize, rows_within
 
-EDITS = 2
-MIN_CHARS = 24
+#: From so many characters on, a line may have one more edit.
+BANDS = (12, 24, 320)
+EDITS = len(BANDS)
 #: Rows up to which a side is broadcast, and rows of one key that a task joins.
 SMALL_ROWS = 500_000
 ROWS_PER_TASK = 50_000
+#: Rows up to which the lines of blocks are broadcast.
+BLOCK_ROWS = 100_000
+WALL = "\n" * (EDITS + 1)
 
-#: Letters whose counts two lines with a common print must nearly share.
-COUNTED = "etaonirshdlu"
-
-SEGMENTS = EDITS + 1
 LINE = ["line_a", "line_b"]
 
 
-def _print(line: Column, length: Column, segment: Column) -> Column:
-    """The hash of the substring that `segment` describes: (fewer, number, shift).
+def allowed_edits(length: Column) -> Column:
+    return reduce(Column.__add__, [(length >= low).cast("int") for low in BANDS])
 
-    It equals a segment of a line with `fewer` fewer characters, moved by `shift`.
-    """
+
+def _segments(edits: int, fewer: int) -> list[tuple[int, int, int, int]]:
+    """The substrings (edits, fewer, number, shift) that equal a segment of a line with `fewer` fewer characters."""
+    found = []
+    for i in range(edits + 1):
+        low, high = max(-i, fewer - (edits - i)), min(i, fewer + edits - i)
+        found += [(edits, fewer, i, shift) for shift in range(low, high + 1)]
+    return found
+
+
+def _literal(segments: list[tuple[int, int, int, int]]) -> Column:
+    names = ("edits", "fewer", "number", "shift")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s, strict=True)]) for s in segments]
+    return F.array(*rows) if rows else F.array().cast("array<struct<edits:int,fewer:int,number:int,shift:int>>")
+
+
+def _by_edits(edits: Column, segments: Callable[[int], list[tuple[int, int, int, int]]]) -> Column:
+    """The segments for a number of edits that a column holds; none for no edits."""
+    chosen = F.when(edits == 1, _literal(segments(1)))
+    for k in range(2, EDITS + 1):
+        chosen = chosen.when(edits == k, _literal(segments(k)))
+    return chosen.otherwise(_literal([]))
+
+
+def _place(length: Column, segment: Column) -> tuple[Column, Column]:
+    """Where the substring that a segment describes begins (from 0), and its characters."""
+    parts = segment["edits"] + 1
     other = length - segment["fewer"]
-    short = F.floor(other / SEGMENTS).cast("int")
-    longer = SEGMENTS - other % SEGMENTS  # from this segment on they have one more
+    short = F.call_function("div", other, parts).cast("int")
+    longer = parts - other % parts  # from this segment on they have one more
     number = segment["number"]
     start = short * number + F.greatest(number - longer, F.lit(0)) + segment["shift"]
-    size = short + (number >= longer).cast("int")
-    found = F.xxhash64(other, number, F.substring(line, start + 1, size))
-    return F.when((start >= 0) & (start + size <= length), found)
+    return start, short + (number >= longer).cast("int")
 
 
-def _all_prints(line: Column, length: Column, segments: list[tuple[int, int, int]]) -> Column:
-    names = ("fewer", "number", "shift")
-    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s, strict=True)]) for s in segments])
-    return F.transform(rows, lambda s: _print(line, length, s))
+def _print(line: Column, length: Column, segment: Column) -> Column:
+    """The hash of that substring with the other line's length and the segment's number."""
+    start, size = _place(length, segment)
+    found = F.xxhash64(length - segment["fewer"], segment["number"], F.substring(line, start + 1, size))
+    return F.when((start >= 0) & (start + size <= length), found)
+
 
+def index_segments(length: Column) -> Column:
+    """The segments of a line."""
+    return _by_edits(allowed_edits(length), lambda k: [(k, 0, i, 0) for i in range(k + 1)])
 
-def index_prints(line: Column, length: Column) -> Column:
-    """The segments of a line, as hashes of length, number and content."""
-    return _all_prints(line, length, [(0, i, 0) for i in range(SEGMENTS)])
 
+def probe_segments(length: Column) -> Column:
+    """The substrings that equal a segment of another line with at most its edits and no more characters.
 
-def probe_prints(line: Column, length: Column) -> Column:
-    """The substrings that equal a segment of a line with at most EDITS edits and no more characters."""
-    segments = []
+    The line's own segments stand for those of the same length in the same place.
+    """
+    parts = []
     for fewer in range(EDITS + 1):
-        for i in range(SEGMENTS):
-            low, high = max(-i, fewer - (EDITS - i)), min(i, fewer + EDITS - i)
-            segments += [(fewer, i, shift) for shift in range(low, high + 1)]
-    return _all_prints(line, length, segments)
+        edits = allowed_edits(length - fewer)
+        parts.append(_by_edits(edits, lambda k: [s for s in _segments(k, fewer) if fewer <= k and s[1::2] != (0, 0)]))
+    return F.concat(*parts)
+
+
+def prints(line: Column, length: Column, segments: Column) -> Column:
+    return F.transform(segments, lambda s: _print(line, length, s))
 
 
 def _named(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,8 +117,8 @@ def _named(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def within_edits(one: Column, two: Column) -> Column:
-    """Whether two lines are at most EDITS edits apart.
+def within_edits(one: Column, two: Column, edits: Column) -> Column:
+    """Whether two lines are at most so many edits apart, EDITS at most.
 
     The table of distances is walked in a band of diagonals, a column for each character of `two`.
     Bit k of the numbers is row column - EDITS + k: `up` and `down` say where a cell is one more or
@@ -140,28 +175,8 @@ def within_edits(one: Column, two: Column) -> Column:
         F.least(F.size(a), F.lit(EDITS)).alias("score"),
         F.size(a).alias("rows"),
     )
-    near = F.abs(F.length(one) - F.length(two)) <= EDITS
-    return near & (F.aggregate(columns, start, step)["score"] <= EDITS)
-
-
-def sketch(line: Column, length: Column) -> Column:
-    """Counts of letters, five bits for each, and above them three bits of the length."""
-    counts = [(length - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long") % 32 for c in COUNTED]
-    parts = [F.shiftleft(n, 5 * i) for i, n in enumerate(counts)] + [F.shiftleft(length.cast("long") % 8, 60)]
-    return reduce(Column.bitwiseOR, parts)
-
-
-def sketches_allow(one: Column, two: Column) -> Column:
-    """Whether the counts of two lines can be at most EDITS edits apart: an edit changes two by one.
-
-    Counts are known modulo 32, so they are compared around the circle.
-    """
-    apart = []
-    for i in range(len(COUNTED)):
-        parts = [F.shiftright(x, 5 * i).bitwiseAND(F.lit(31)) for x in (one, two)]
-        between = F.abs(parts[0] - parts[1])
-        apart.append(F.least(between, F.lit(32) - between))
-    return reduce(Column.__add__, apart) <= 2 * EDITS
+    near = F.abs(F.length(one) - F.length(two)) <= edits
+    return near & (F.aggregate(columns, start, step)["score"] <= edits)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -169,47 +184,97 @@ def _lines(docs: DataFrame) -> DataFrame:
     texts = docs.filter("text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
-    texts = texts.filter(F.length(F.trim("line")) > 0).withColumn("length", F.length("line"))
+    texts = texts.filter(F.length(F.trim("line")) > 0)
     return texts.withColumn("line_a", F.xxhash64("line")).withColumn("line_b", F.xxhash64(F.lit(1), "line"))
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
-    """Per distinct line: its first place, how often it occurs, its length and its prints."""
-    line, length = F.col("line"), F.col("length")
-    first = F.min(F.struct("doc_id", "text_key", "line_no")).alias("first")
+    """Per distinct line: a number, its first place, how often it occurs, and its text."""
+    first = F.min(F.struct("doc_id", "text_key", "line_no", "line")).alias("first")
+    found = lines.groupBy(*LINE).agg(first, F.count(F.lit(1)).alias("times"))
+    return found.select(
+        F.monotonically_increasing_id().alias("id"), *LINE, "times",
+        F.struct("first.doc_id", "first.text_key", "first.line_no").alias("first"),
+        F.col("first.line").alias("line"), F.length("first.line").alias("length"),
+    )
+
+
+def _keys(lines: DataFrame, segments: Callable[[Column], Column]) -> DataFrame:
+    length = F.col("length")
+    found = lines.select("id", F.explode(prints(F.col("line"), length, segments(length))).alias("key"))
+    return found.filter("key IS NOT NULL")
+
+
+def _met(distinct: DataFrame) -> DataFrame:
+    """(key, id) of the probes that meet another line, and null for the id where segments meet."""
+    held = _keys(distinct, index_segments).groupBy("key")
+    held = held.agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    probing = _keys(distinct, probe_segments).join(held, "key").filter("id <> low OR id <> high")
+    several = held.filter("low <> high").select("key", F.lit(None).cast("long").alias("id"))
+    return probing.select("key", "id").unionByName(several)
+
+
+def _rest(line: Column, length: Column, segment: Column) -> Column:
+    """What is left of a line without a substring, and a wall in its place.
+
+    No line holds a line feed. Of EDITS + 1 of them at least one stays through EDITS edits, so the
+    edits on its left and right are those of the two parts, and together at least those of the lines.
+    """
+    start, size = _place(length, segment)
+    return F.concat(F.substring(line, F.lit(1), start), F.lit(WALL), F.substring(line, start + size + 1, length))
+
+
+def _members(lines: DataFrame, segments: Column) -> DataFrame:
+    """A row for each print of a line: the block's key, and the line without what they share."""
+    segment, line, length = F.col("segment"), F.col("line"), F.col("length")
     return (
-        lines.select(
-            "doc_id", "text_key", "line_no", "length", *LINE,
-            sketch(line, length).alias("sketch"),
-            index_prints(line, length).alias("index"), probe_prints(line, length).alias("probes"),
-        )
-        .groupBy(*LINE)
-        .agg(
-            first, F.count(F.lit(1)).alias("times"), F.first("length").alias("length"),
-            F.first("sketch").alias("sketch"),
-            F.first("index").alias("index"), F.first("probes").alias("probes"),
+        lines.withColumn("segment", F.explode(segments))
+        .withColumn("key", _print(line, length, segment))
+        .filter("key IS NOT NULL")
+        .select(
+            "key", "id", "first", segment["fewer"].alias("fewer"), segment["edits"].alias("edits"),
+            _rest(line, length, segment).alias("rest"),
         )
     )
 
 
-def _pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs of distinct lines with a common segment and similar letters: two hashes of each."""
-    long_enough = distinct.filter(F.col("length") >= MIN_CHARS)
+def _with_witness(held: DataFrame, probing: DataFrame) -> DataFrame:
+    """Ids of lines that have an earlier near line in one of their blocks.
+
+    Lines with more characters look for shorter ones, and the other way; of lines as long each probes all.
+    """
 
-    def side(name: str, prints: str) -> DataFrame:
-        own = [F.col(c).alias(f"{name}_{c}") for c in (*LINE, "sketch")]
-        return long_enough.select(*own, F.explode(prints).alias(f"{name}_print"))
+    def both(one: DataFrame, two: DataFrame) -> DataFrame:
+        return one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1)))
+
+    names = ("key", "side", "id", "first", "rest")
+    others = both(held, probing.filter("fewer > 0")).select(*[F.col(c).alias(f"other_{c}") for c in names])
+    same = (F.col("key") == F.col("other_key")) & (F.col("side") == F.col("other_side"))
+    earlier = F.col("other_first") < F.col("first")
+    near = within_edits(F.col("other_rest"), F.col("rest"), F.col("edits"))
+    asking = both(probing, held)
+    if rows_within(others, BLOCK_ROWS):
+        # The distance is work for many tasks, however few bytes the lines are.
+        tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asking, others = asking.repartition(tasks, "key", "id"), F.broadcast(others)
+    return asking.join(others, same & earlier & near, "left_semi").select("id").distinct()
 
-    one, two = side("one", "index"), side("two", "probes")
-    # Two lines of the same length probe each other; one of the two ways is enough.
-    same_length = F.shiftright("one_sketch", 60) == F.shiftright("two_sketch", 60)
-    ordered = F.struct(*[F.col(f"one_{c}").alias(c) for c in LINE]) < F.struct(*[F.col(f"two_{c}").alias(c) for c in LINE])
-    met = (
-        (F.col("one_print") == F.col("two_print"))
-        & (~same_length | ordered)
-        & sketches_allow(F.col("one_sketch"), F.col("two_sketch"))
-    )
-    return one.join(two, met).select(*[f"one_{c}" for c in LINE], *[f"two_{c}" for c in LINE]).distinct()
+
+def _near(distinct: DataFrame) -> DataFrame:
+    """Ids of the distinct lines that are near an earlier one."""
+    met = materialize(_met(distinct), "met")
+    keys = materialize(met.select("key").distinct(), "keys")
+    holding = _keys(distinct, index_segments).join(_checked(keys), "key").select("id")
+    ids = materialize(met.filter("id IS NOT NULL").select("id").unionByName(holding).distinct(), "ids")
+    lines = materialize(distinct.select("id", "first", "line", "length").join(_checked(ids), "id"), "texts")
+
+    length = F.col("length")
+    held = _members(lines, index_segments(length)).join(_checked(keys), "key")
+    probing = _members(lines, probe_segments(length)).join(_checked(keys), "key")
+    held = materialize(held, "held")
+    probing = materialize(probing.unionByName(held), "probing")
+
+    return _with_witness(held, probing)
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -220,31 +285,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_numbers) of the documents that lose lines; numbers from 0."""
     lines = _lines(docs)
     distinct = materialize(_distinct(lines), "lines")
-    pairs = materialize(_pairs(distinct), "pairs")
-
-    one = pairs.select(*[F.col(f"one_{c}").alias(c) for c in LINE])
-    two = pairs.select(*[F.col(f"two_{c}").alias(c) for c in LINE])
-    wanted = materialize(one.unionByName(two).distinct(), "wanted")
-    firsts = distinct.select(*LINE, "first").join(_checked(wanted), LINE)
-    texts = lines.select("doc_id", "text_key", "line_no", *LINE, "line").join(_checked(wanted), LINE)
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.first.{c}")) for c in ("doc_id", "text_key", "line_no")]
-    known = texts.alias("t").join(
-        firsts.alias("f"), [F.col(f"t.{c}") == F.col(f"f.{c}") for c in LINE] + same
-    )
-    known = known.select(*[F.col(f"t.{c}") for c in LINE], "line", "first")
-    known = materialize(known, "texts").dropDuplicates(LINE)
-    sides = [known.select(*[F.col(c).alias(f"{n}_{c}") for c in known.columns]) for n in ("one", "two")]
-    close = pairs.join(sides[0], [f"one_{c}" for c in LINE]).join(sides[1], [f"two_{c}" for c in LINE])
-    # The distance is work for many tasks, however few bytes the pairs are.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    close = close.repartition(tasks).filter(within_edits(F.col("one_line"), F.col("two_line")))
-    later = F.col("two_first") > F.col("one_first")
-    near = close.select(
-        *[F.when(later, F.col(f"two_{c}")).otherwise(F.col(f"one_{c}")).alias(c) for c in LINE]
-    ).distinct()
-    near = materialize(near, "near").withColumn("near", F.lit(True))
-
-    known_near = distinct.select(*LINE, "first", "times").join(_checked(near), LINE, "left")
+    near = materialize(_near(distinct), "near").withColumn("near", F.lit(True))
+
+    known_near = distinct.select("id", *LINE, "first", "times").join(_checked(near), "id", "left")
     decided = known_near.filter("times > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
     decided = materialize(decided, "decided")
     places = lines.select("doc_id", "text_key", "line_no", *LINE)

@@ -5,9 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliary.llm import line_dedup
+from foliary.session import materialize
 from tests.llm import models
 
 
+def allowed(length):
+    return sum(length >= low for low in (12, 24, 320))
+
+
 def expected(texts):
     """{doc_id: numbers of dropped lines} by comparing all pairs of distinct lines."""
     first = {}
@@ -16,10 +21,10 @@ def expected(texts):
             if line.strip(" "):
                 first.setdefault(line, (key, i))
     near = set()
-    lines = [x for x in first if len(x) >= line_dedup.MIN_CHARS]
-    for a in lines:
-        for b in lines:
-            if first[a] < first[b] and abs(len(a) - len(b)) <= 2 and models.edit_distance(a, b) <= 2:
+    for a in first:
+        for b in first:
+            k = allowed(min(len(a), len(b)))
+            if first[a] < first[b] and abs(len(a) - len(b)) <= k and models.edit_distance(a, b) <= k:
                 near.add(b)
     return {
         key: [i for i, x in enumerate(text.split("\n")) if x.strip(" ") and (first[x] != (key, i) or x in near)]
@@ -70,6 +75,7 @@ def test_against_all_pairs(spark, texts):
 
 def test_shuffled_sides(spark, texts, monkeypatch):
     monkeypatch.setattr(line_dedup, "SMALL_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 0)
     monkeypatch.setattr(line_dedup, "ROWS_PER_TASK", 2)
     some = {k: v for k, v in texts.items() if k % 3 == 0}
     check(spark, some, line_dedup.report(models.documents(spark, some)))
@@ -84,26 +90,52 @@ def test_distance_in_a_band(spark):
         if abs(len(a) - len(b)) <= 2:
             pairs.append((a, b))
     df = spark.createDataFrame(pairs, "a string, b string")
-    got = df.select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b")).alias("near")).collect()
-    assert all(r.near == (models.edit_distance(r.a, r.b) <= 2) for r in got)
-    assert 50 < sum(r.near for r in got) < 290
+    for edits in (1, 2, 3):
+        near = line_dedup.within_edits(F.col("a"), F.col("b"), F.lit(edits))
+        got = df.select("a", "b", near.alias("near")).collect()
+        assert all(r.near == (models.edit_distance(r.a, r.b) <= edits) for r in got)
+        assert 50 < sum(r.near for r in got) < 295
 
 
 def test_some_probe_meets_a_segment(spark):
     rng = random.Random(2)
     pairs = []
-    while len(pairs) < 200:
-        a = "".join(rng.choice("abcdef") for _ in range(rng.randrange(24, 50)))
+    while len(pairs) < 300:
+        size = rng.choice([(11, 30), (24, 50), (318, 330)])
+        a = "".join(rng.choice("abcdef") for _ in range(rng.randrange(*size)))
         b = change(rng, a)
-        if models.edit_distance(a, b) <= 2:
+        if a != b and models.edit_distance(a, b) <= allowed(min(len(a), len(b))):
             pairs.append(tuple(sorted((a, b), key=len)))
     df = spark.createDataFrame(pairs, "a string, b string")
-    index = line_dedup.index_prints(F.col("a"), F.length("a"))
-    probes = line_dedup.probe_prints(F.col("b"), F.length("b"))
-    assert df.filter(~F.arrays_overlap(index, probes)).count() == 0
-    long = F.concat(F.repeat(F.lit("eta"), 40), "a"), F.concat(F.repeat(F.lit("eta"), 40), "b")
-    sketches = [line_dedup.sketch(x, F.length(x)) for x in long]
-    assert df.filter(~line_dedup.sketches_allow(*sketches)).count() == 0
+    a, b = F.col("a"), F.col("b")
+    index = line_dedup.prints(a, F.length(a), line_dedup.index_segments(F.length(a)))
+    probes = [line_dedup.prints(b, F.length(b), f(F.length(b))) for f in (line_dedup.index_segments, line_dedup.probe_segments)]
+    assert df.filter(~F.arrays_overlap(index, F.concat(*probes))).count() == 0
+
+
+def templated(count):
+    rng = random.Random(3)
+    numbers = rng.sample(range(10**6), count)
+    return {i: f"Record number {n:08d} of the yearly archive list" for i, n in enumerate(numbers)}
+
+
+def test_lines_of_a_template(spark):
+    some = templated(150)
+    check(spark, some, line_dedup.report(models.documents(spark, some)))
+
+
+def test_templated_lines_write_rows_in_proportion(spark, monkeypatch):
+    written = {}
+
+    def counting(df, name):
+        out = materialize(df, name)
+        written[size] = written.get(size, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counting)
+    for size in (200, 800):
+        line_dedup.report(models.documents(spark, templated(size))).count()
+    assert written[800] < 6 * written[200]
 
 
 def test_repeated_rows_are_one_document(spark):
