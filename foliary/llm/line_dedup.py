@@ -4,14 +4,15 @@ A line is dropped if an earlier line of the corpus is equal to it, or is at most
 and both have MIN_CHARS characters or more. "Earlier" is the order of (doc_id, hash of the text,
 line number) of a line's first occurrence.
 
-Equal lines are found by hashes and meet as one row, so a line that stands in a third of all
-documents is as cheap as any other. For the rest, every distinct line is cut into EDITS + 1
+Equal lines meet as one row that carries the text, so a line that stands in a third of all
+documents is as cheap as any other. After that, every distinct line is cut into EDITS + 1
 segments. A line within EDITS edits has at least one of these segments unchanged, at a position that
 both lengths limit; so every line probes the few substrings that can match, for every length that can
 match. What meets is verified by edit distance, computed in a band of diagonals whose differences
 are the bits of two numbers.
 
-All of it is DataFrame functions; texts do not move until a document's dropped lines are known.
+All of it is DataFrame functions. Texts of lines move once, when equal lines meet; the prints move with
+a hash and a sketch of the line only.
 
 Defined results: a null text stays null and has no lines; an empty or blank line is never dropped;
 rows that repeat id and text are one document and keep the same lines; null ids come first; very
@@ -35,7 +36,7 @@ SMALL_ROWS = 500_000
 ROWS_PER_TASK = 50_000
 
 #: Letters whose counts two lines with a common print must nearly share.
-COUNTED = "etaonirshdlu"
+COUNTED = "etaoinr"
 
 SEGMENTS = EDITS + 1
 LINE = ["line_a", "line_b"]
@@ -44,10 +45,11 @@ LINE = ["line_a", "line_b"]
 def _print(line: Column, length: Column, segment: Column) -> Column:
     """The hash of the substring that `segment` describes: (fewer, number, shift).
 
-    It equals a segment of a line with `fewer` fewer characters, moved by `shift`.
+    It equals a segment of a line with `fewer` fewer characters, moved by `shift`; null if the line has
+    no such substring.
     """
     other = length - segment["fewer"]
-    short = F.floor(other / SEGMENTS).cast("int")
+    short = F.call_function("div", other, F.lit(SEGMENTS)).cast("int")
     longer = SEGMENTS - other % SEGMENTS  # from this segment on they have one more
     number = segment["number"]
     start = short * number + F.greatest(number - longer, F.lit(0)) + segment["shift"]
@@ -56,25 +58,34 @@ def _print(line: Column, length: Column, segment: Column) -> Column:
     return F.when((start >= 0) & (start + size <= length), found)
 
 
-def _all_prints(line: Column, length: Column, segments: list[tuple[int, int, int]]) -> Column:
+def _array(segments: list[tuple[int, int, int]]) -> Column:
     names = ("fewer", "number", "shift")
-    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s, strict=True)]) for s in segments])
-    return F.transform(rows, lambda s: _print(line, length, s))
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s, strict=True)]) for s in segments])
 
 
-def index_prints(line: Column, length: Column) -> Column:
-    """The segments of a line, as hashes of length, number and content."""
-    return _all_prints(line, length, [(0, i, 0) for i in range(SEGMENTS)])
+def index_segments() -> Column:
+    """The segments of a line itself."""
+    return _array([(0, i, 0) for i in range(SEGMENTS)])
 
 
-def probe_prints(line: Column, length: Column) -> Column:
-    """The substrings that equal a segment of a line with at most EDITS edits and no more characters."""
+def probe_segments() -> Column:
+    """Those that can equal a segment of a line with at most EDITS edits and no more characters."""
     segments = []
     for fewer in range(EDITS + 1):
         for i in range(SEGMENTS):
             low, high = max(-i, fewer - (EDITS - i)), min(i, fewer + EDITS - i)
             segments += [(fewer, i, shift) for shift in range(low, high + 1)]
-    return _all_prints(line, length, segments)
+    return _array(segments)
+
+
+def with_prints(df: DataFrame, segments: Column) -> DataFrame:
+    """A row with the column `print` for each of the segments that a line has, in place of `line`.
+
+    A row a segment keeps the generated code short enough to be compiled; an array of all prints does not.
+    """
+    rows = df.withColumn("length", F.length("line")).withColumn("segment", F.explode(segments))
+    rows = rows.withColumn("print", _print(F.col("line"), F.col("length"), F.col("segment")))
+    return rows.filter("print IS NOT NULL").drop("line", "length", "segment")
 
 
 def _named(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -145,22 +156,22 @@ def within_edits(one: Column, two: Column) -> Column:
 
 
 def sketch(line: Column, length: Column) -> Column:
-    """Counts of letters, five bits for each, and above them three bits of the length."""
-    counts = [(length - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long") % 32 for c in COUNTED]
-    parts = [F.shiftleft(n, 5 * i) for i, n in enumerate(counts)] + [F.shiftleft(length.cast("long") % 8, 60)]
+    """Counts of letters, four bits for each, and above them three bits of the length."""
+    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16 for c in COUNTED]
+    parts = [F.shiftleft(n, 4 * i) for i, n in enumerate(counts)] + [F.shiftleft(length % 8, 4 * len(COUNTED))]
     return reduce(Column.bitwiseOR, parts)
 
 
 def sketches_allow(one: Column, two: Column) -> Column:
     """Whether the counts of two lines can be at most EDITS edits apart: an edit changes two by one.
 
-    Counts are known modulo 32, so they are compared around the circle.
+    Counts are known modulo 16, so they are compared around the circle.
     """
     apart = []
     for i in range(len(COUNTED)):
-        parts = [F.shiftright(x, 5 * i).bitwiseAND(F.lit(31)) for x in (one, two)]
+        parts = [F.shiftright(x, 4 * i).bitwiseAND(F.lit(15)) for x in (one, two)]
         between = F.abs(parts[0] - parts[1])
-        apart.append(F.least(between, F.lit(32) - between))
+        apart.append(F.least(between, F.lit(16) - between))
     return reduce(Column.__add__, apart) <= 2 * EDITS
 
 
@@ -169,47 +180,38 @@ def _lines(docs: DataFrame) -> DataFrame:
     texts = docs.filter("text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
-    texts = texts.filter(F.length(F.trim("line")) > 0).withColumn("length", F.length("line"))
+    texts = texts.filter(F.length(F.trim("line")) > 0)
     return texts.withColumn("line_a", F.xxhash64("line")).withColumn("line_b", F.xxhash64(F.lit(1), "line"))
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
-    """Per distinct line: its first place, how often it occurs, its length and its prints."""
-    line, length = F.col("line"), F.col("length")
+    """Per distinct line: its hashes, its first place, how often it occurs, its text and its sketch."""
     first = F.min(F.struct("doc_id", "text_key", "line_no")).alias("first")
-    return (
-        lines.select(
-            "doc_id", "text_key", "line_no", "length", *LINE,
-            sketch(line, length).alias("sketch"),
-            index_prints(line, length).alias("index"), probe_prints(line, length).alias("probes"),
-        )
-        .groupBy(*LINE)
-        .agg(
-            first, F.count(F.lit(1)).alias("times"), F.first("length").alias("length"),
-            F.first("sketch").alias("sketch"),
-            F.first("index").alias("index"), F.first("probes").alias("probes"),
-        )
-    )
+    met = lines.groupBy(*LINE).agg(first, F.count(F.lit(1)).alias("times"), F.first("line").alias("line"))
+    return met.withColumn("sketch", sketch(F.col("line"), F.length("line")))
 
 
 def _pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs of distinct lines with a common segment and similar letters: two hashes of each."""
-    long_enough = distinct.filter(F.col("length") >= MIN_CHARS)
+    """Pairs of distinct lines with a common segment and similar letters: the first hash of each.
+
+    Lines that share only this hash are told apart later, by their texts.
+    """
+    long_enough = distinct.filter(F.length("line") >= MIN_CHARS).select("line_a", "sketch", "line")
 
-    def side(name: str, prints: str) -> DataFrame:
-        own = [F.col(c).alias(f"{name}_{c}") for c in (*LINE, "sketch")]
-        return long_enough.select(*own, F.explode(prints).alias(f"{name}_print"))
+    def side(name: str, segments: Column) -> DataFrame:
+        found = with_prints(long_enough, segments)
+        return found.select(*[F.col(c).alias(f"{name}_{c}") for c in found.columns])
 
-    one, two = side("one", "index"), side("two", "probes")
+    one, two = side("one", index_segments()), side("two", probe_segments())
     # Two lines of the same length probe each other; one of the two ways is enough.
-    same_length = F.shiftright("one_sketch", 60) == F.shiftright("two_sketch", 60)
-    ordered = F.struct(*[F.col(f"one_{c}").alias(c) for c in LINE]) < F.struct(*[F.col(f"two_{c}").alias(c) for c in LINE])
+    bits = 4 * len(COUNTED)
+    same_length = F.shiftright("one_sketch", bits) == F.shiftright("two_sketch", bits)
     met = (
         (F.col("one_print") == F.col("two_print"))
-        & (~same_length | ordered)
+        & (~same_length | (F.col("one_line_a") < F.col("two_line_a")))
         & sketches_allow(F.col("one_sketch"), F.col("two_sketch"))
     )
-    return one.join(two, met).select(*[f"one_{c}" for c in LINE], *[f"two_{c}" for c in LINE]).distinct()
+    return one.join(two, met).select("one_line_a", "two_line_a").distinct()
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -222,19 +224,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     distinct = materialize(_distinct(lines), "lines")
     pairs = materialize(_pairs(distinct), "pairs")
 
-    one = pairs.select(*[F.col(f"one_{c}").alias(c) for c in LINE])
-    two = pairs.select(*[F.col(f"two_{c}").alias(c) for c in LINE])
-    wanted = materialize(one.unionByName(two).distinct(), "wanted")
-    firsts = distinct.select(*LINE, "first").join(_checked(wanted), LINE)
-    texts = lines.select("doc_id", "text_key", "line_no", *LINE, "line").join(_checked(wanted), LINE)
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.first.{c}")) for c in ("doc_id", "text_key", "line_no")]
-    known = texts.alias("t").join(
-        firsts.alias("f"), [F.col(f"t.{c}") == F.col(f"f.{c}") for c in LINE] + same
-    )
-    known = known.select(*[F.col(f"t.{c}") for c in LINE], "line", "first")
-    known = materialize(known, "texts").dropDuplicates(LINE)
+    wanted = pairs.select(F.explode(F.array("one_line_a", "two_line_a")).alias("line_a")).distinct()
+    wanted = materialize(wanted, "wanted")
+    known = materialize(distinct.select(*LINE, "line", "first").join(_checked(wanted), "line_a"), "texts")
     sides = [known.select(*[F.col(c).alias(f"{n}_{c}") for c in known.columns]) for n in ("one", "two")]
-    close = pairs.join(sides[0], [f"one_{c}" for c in LINE]).join(sides[1], [f"two_{c}" for c in LINE])
+    close = pairs.join(sides[0], "one_line_a").join(sides[1], "two_line_a")
     # The distance is work for many tasks, however few bytes the pairs are.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     close = close.repartition(tasks).filter(within_edits(F.col("one_line"), F.col("two_line")))
@@ -264,7 +258,9 @@ def dedup(docs: DataFrame, *more: str, drop_empty: bool = False) -> DataFrame:
 
     With `drop_empty`, documents go that lost lines and have no other line that is not blank.
     """
-    gone = _checked(dropped_lines(docs))
+    gone = dropped_lines(docs)
+    held = gone.agg(F.sum(F.size("line_numbers") + 1)).first()[0] or 0
+    gone = F.broadcast(gone) if held <= SMALL_ROWS else gone
     same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"])
     numbers = gone["line_numbers"]
     lines = F.split(docs["text"], "\n")

@@ -98,9 +98,10 @@ def test_some_probe_meets_a_segment(spark):
         if models.edit_distance(a, b) <= 2:
             pairs.append(tuple(sorted((a, b), key=len)))
     df = spark.createDataFrame(pairs, "a string, b string")
-    index = line_dedup.index_prints(F.col("a"), F.length("a"))
-    probes = line_dedup.probe_prints(F.col("b"), F.length("b"))
-    assert df.filter(~F.arrays_overlap(index, probes)).count() == 0
+    index = line_dedup.with_prints(df.select("a", "b", F.col("a").alias("line")), line_dedup.index_segments())
+    probes = line_dedup.with_prints(df.select("a", "b", F.col("b").alias("line")), line_dedup.probe_segments())
+    met = index.join(probes, ["a", "b", "print"]).select("a", "b").distinct()
+    assert met.count() == df.distinct().count()
     long = F.concat(F.repeat(F.lit("eta"), 40), "a"), F.concat(F.repeat(F.lit("eta"), 40), "b")
     sketches = [line_dedup.sketch(x, F.length(x)) for x in long]
     assert df.filter(~line_dedup.sketches_allow(*sketches)).count() == 0
