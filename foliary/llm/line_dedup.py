@@ -8,8 +8,9 @@ Equal lines meet as one row that carries the text, so a line that stands in a th
 documents is as cheap as any other. After that, every distinct line is cut into EDITS + 1
 segments. A line within EDITS edits has at least one of these segments unchanged, at a position that
 both lengths limit; so every line probes the few substrings that can match, for every length that can
-match. What meets is verified by edit distance, computed in a band of diagonals whose differences
-are the bits of two numbers.
+match. A line that meets another is kept once, not as pairs. The lines that met are verified by
+edit distance, computed in a band of diagonals whose differences are the bits of two numbers, until
+one earlier witness is found.
 
 All of it is DataFrame functions. Texts of lines move once, when equal lines meet; the prints move with
 a hash and a sketch of the line only.
@@ -31,8 +32,10 @@ from foliary.session import hot_key_join, materialize, rows_within
 
 EDITS = 2
 MIN_CHARS = 24
-#: Rows up to which a side is broadcast, and rows of one key that a task joins.
+#: Rows up to which a side is broadcast, line numbers in such rows (four bytes each), and rows of
+#: one key that a task joins.
 SMALL_ROWS = 500_000
+SMALL_NUMBERS = 16 * SMALL_ROWS
 ROWS_PER_TASK = 50_000
 
 #: Letters whose counts two lines with a common print must nearly share.
@@ -191,52 +194,67 @@ def _distinct(lines: DataFrame) -> DataFrame:
     return met.withColumn("sketch", sketch(F.col("line"), F.length("line")))
 
 
-def _pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs of distinct lines with a common segment and similar letters: the first hash of each.
+def _checked(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if rows_within(df, SMALL_ROWS) else df
 
-    Lines that share only this hash are told apart later, by their texts.
-    """
-    long_enough = distinct.filter(F.length("line") >= MIN_CHARS).select("line_a", "sketch", "line")
 
-    def side(name: str, segments: Column) -> DataFrame:
-        found = with_prints(long_enough, segments)
-        return found.select(*[F.col(c).alias(f"{name}_{c}") for c in found.columns])
+def _side(lines: DataFrame, name: str, segments: Column) -> DataFrame:
+    found = with_prints(lines, segments)
+    return found.select("print", *[F.col(c).alias(f"{name}_{c}") for c in found.columns if c != "print"])
+
 
-    one, two = side("one", index_segments()), side("two", probe_segments())
-    # Two lines of the same length probe each other; one of the two ways is enough.
+def _same_length() -> Column:
     bits = 4 * len(COUNTED)
-    same_length = F.shiftright("one_sketch", bits) == F.shiftright("two_sketch", bits)
-    met = (
-        (F.col("one_print") == F.col("two_print"))
-        & (~same_length | (F.col("one_line_a") < F.col("two_line_a")))
-        & sketches_allow(F.col("one_sketch"), F.col("two_sketch"))
-    )
-    return one.join(two, met).select("one_line_a", "two_line_a").distinct()
+    return F.shiftright("one_sketch", bits) == F.shiftright("two_sketch", bits)
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if rows_within(df, SMALL_ROWS) else df
+def _met(long_enough: DataFrame) -> DataFrame:
+    """(line_a, print) of the lines that probe a segment of another line with similar letters.
+
+    A row is kept or not, however many lines it meets, so a block of many lines gives no pairs. Lines
+    that share `line_a` are told apart later, by their texts.
+    """
+    slim = long_enough.select("line_a", "sketch", "line")
+    one, two = _side(slim, "one", index_segments()), _side(slim, "two", probe_segments())
+    other = F.col("one_line_a") != F.col("two_line_a")
+    allowed = other & sketches_allow(F.col("one_sketch"), F.col("two_sketch"))
+    met = two.join(one, (one["print"] == two["print"]) & allowed, "left_semi")
+    return met.select(F.col("two_line_a").alias("line_a"), "print")
+
+
+def _near(distinct: DataFrame) -> DataFrame:
+    """The hashes of distinct lines that are near an earlier one.
+
+    Only lines that met take their texts along. A line is verified up to its first earlier witness.
+    """
+    long_enough = distinct.filter(F.length("line") >= MIN_CHARS)
+    met = materialize(_met(long_enough), "met")
+    hits = materialize(met.select("print").distinct(), "hits")
+    kept = long_enough.select(*LINE, "sketch", "first", F.col("line").alias("text"))
+    one = with_prints(kept.withColumn("line", F.col("text")), index_segments())
+    one = one.join(_checked(hits), "print", "left_semi")
+    two = kept.join(_checked(met), "line_a")
+    # The distance is work for many tasks, however few bytes the rows are.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one, two = (
+        materialize(x.select("print", *[F.col(c).alias(f"{n}_{c}") for c in x.columns if c != "print"]), f"{n}-side")
+        .repartition(tasks, "print")
+        for n, x in (("one", one), ("two", two))
+    )
+    same = (one["print"] == two["print"]) & sketches_allow(F.col("one_sketch"), F.col("two_sketch"))
+    close = within_edits(F.col("one_text"), F.col("two_text"))
+    # Lines of the same length probe each other; the later one as the probe is enough.
+    probing = two.join(one, same & (F.col("one_first") < F.col("two_first")) & close, "left_semi")
+    probed = one.join(two, same & ~_same_length() & (F.col("two_first") < F.col("one_first")) & close, "left_semi")
+    later = [x.select(*[F.col(f"{n}_{c}").alias(c) for c in LINE]) for n, x in (("two", probing), ("one", probed))]
+    return later[0].unionByName(later[1]).distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_numbers) of the documents that lose lines; numbers from 0."""
     lines = _lines(docs)
     distinct = materialize(_distinct(lines), "lines")
-    pairs = materialize(_pairs(distinct), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("one_line_a", "two_line_a")).alias("line_a")).distinct()
-    wanted = materialize(wanted, "wanted")
-    known = materialize(distinct.select(*LINE, "line", "first").join(_checked(wanted), "line_a"), "texts")
-    sides = [known.select(*[F.col(c).alias(f"{n}_{c}") for c in known.columns]) for n in ("one", "two")]
-    close = pairs.join(sides[0], "one_line_a").join(sides[1], "two_line_a")
-    # The distance is work for many tasks, however few bytes the pairs are.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    close = close.repartition(tasks).filter(within_edits(F.col("one_line"), F.col("two_line")))
-    later = F.col("two_first") > F.col("one_first")
-    near = close.select(
-        *[F.when(later, F.col(f"two_{c}")).otherwise(F.col(f"one_{c}")).alias(c) for c in LINE]
-    ).distinct()
-    near = materialize(near, "near").withColumn("near", F.lit(True))
+    near = materialize(_near(distinct), "near").withColumn("near", F.lit(True))
 
     known_near = distinct.select(*LINE, "first", "times").join(_checked(near), LINE, "left")
     decided = known_near.filter("times > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -259,8 +277,8 @@ def dedup(docs: DataFrame, *more: str, drop_empty: bool = False) -> DataFrame:
     With `drop_empty`, documents go that lost lines and have no other line that is not blank.
     """
     gone = dropped_lines(docs)
-    held = gone.agg(F.sum(F.size("line_numbers") + 1)).first()[0] or 0
-    gone = F.broadcast(gone) if held <= SMALL_ROWS else gone
+    numbers = gone.agg(F.sum(F.size("line_numbers"))).first()[0] or 0
+    gone = _checked(gone) if numbers <= SMALL_NUMBERS else gone
     same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"])
     numbers = gone["line_numbers"]
     lines = F.split(docs["text"], "\n")
