@@ -39,7 +39,9 @@ SMALL_NUMBERS = 16 * SMALL_ROWS
 ROWS_PER_TASK = 50_000
 
 #: Letters whose counts two lines with a common print must nearly share.
-COUNTED = "etaoinr"
+COUNTED = "nrsdlu"
+#: More of them, counted only for lines that met another one.
+COUNTED_LATER = "etaoihcmpgwy"
 
 SEGMENTS = EDITS + 1
 LINE = ["line_a", "line_b"]
@@ -158,24 +160,36 @@ def within_edits(one: Column, two: Column) -> Column:
     return near & (F.aggregate(columns, start, step)["score"] <= EDITS)
 
 
+def _counts(line: Column, letters: str, bits: int) -> list[Column]:
+    """Counts of letters, each in `bits` bits of its own."""
+    taken = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in letters]
+    return [F.shiftleft(n.cast("long") % (1 << bits), bits * i) for i, n in enumerate(taken)]
+
+
+def _apart(one: Column, two: Column, letters: str, bits: int) -> Column:
+    """How far the counts of two lines are apart at least; known modulo 2 ** bits, so around the circle."""
+    apart = []
+    for i in range(len(letters)):
+        parts = [F.shiftright(x, bits * i).bitwiseAND(F.lit((1 << bits) - 1)) for x in (one, two)]
+        between = F.abs(parts[0] - parts[1])
+        apart.append(F.least(between, F.lit(1 << bits) - between))
+    return reduce(Column.__add__, apart)
+
+
 def sketch(line: Column, length: Column) -> Column:
     """Counts of letters, four bits for each, and above them three bits of the length."""
-    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16 for c in COUNTED]
-    parts = [F.shiftleft(n, 4 * i) for i, n in enumerate(counts)] + [F.shiftleft(length % 8, 4 * len(COUNTED))]
+    parts = [*_counts(line, COUNTED, 4), F.shiftleft(length.cast("long") % 8, 4 * len(COUNTED))]
     return reduce(Column.bitwiseOR, parts)
 
 
 def sketches_allow(one: Column, two: Column) -> Column:
-    """Whether the counts of two lines can be at most EDITS edits apart: an edit changes two by one.
+    """Whether the counts of two lines can be at most EDITS edits apart: an edit changes two by one."""
+    return _apart(one, two, COUNTED, 4) <= 2 * EDITS
 
-    Counts are known modulo 16, so they are compared around the circle.
-    """
-    apart = []
-    for i in range(len(COUNTED)):
-        parts = [F.shiftright(x, 4 * i).bitwiseAND(F.lit(15)) for x in (one, two)]
-        between = F.abs(parts[0] - parts[1])
-        apart.append(F.least(between, F.lit(16) - between))
-    return reduce(Column.__add__, apart) <= 2 * EDITS
+
+def finer_sketch(line: Column) -> Column:
+    """Counts of other letters, for the lines whose distance may have to be computed."""
+    return reduce(Column.bitwiseOR, _counts(line, COUNTED_LATER, 5))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -237,11 +251,14 @@ def _near(distinct: DataFrame) -> DataFrame:
     # The distance is work for many tasks, however few bytes the rows are.
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one, two = (
-        materialize(x.select("print", *[F.col(c).alias(f"{n}_{c}") for c in x.columns if c != "print"]), f"{n}-side")
-        .repartition(tasks, "print")
+        materialize(x.withColumn("finer", finer_sketch(F.col("text"))).select(
+            "print", *[F.col(c).alias(f"{n}_{c}") for c in (*LINE, "sketch", "finer", "first", "text")]
+        ), f"{n}-side").repartition(tasks, "print")
         for n, x in (("one", one), ("two", two))
-    )
-    same = (one["print"] == two["print"]) & sketches_allow(F.col("one_sketch"), F.col("two_sketch"))
+    )
+    apart = _apart(F.col("one_sketch"), F.col("two_sketch"), COUNTED, 4)
+    apart += _apart(F.col("one_finer"), F.col("two_finer"), COUNTED_LATER, 5)
+    same = (one["print"] == two["print"]) & (apart <= 2 * EDITS)
     close = within_edits(F.col("one_text"), F.col("two_text"))
     # Lines of the same length probe each other; the later one as the probe is enough.
     probing = two.join(one, same & (F.col("one_first") < F.col("two_first")) & close, "left_semi")
