@@ -67,8 +67,9 @@ def _write(df: DataFrame, path: str, keys: list[str], first: str) -> None:
         return
     files = -(-rows // FILE_ROWS)
     if files == 1:
-        # One file needs no cut by ranges.
-        df = df.coalesce(1)
+        # One file needs no cut by ranges. Its rows move there: a coalesce would have one task read
+        # all that they are derived from.
+        df = df.repartition(1)
     else:
         df = df.repartitionByRange(files, *keys)
     df.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/data")

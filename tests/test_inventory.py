@@ -1,6 +1,7 @@
 """Inventories and queues as data sources."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliary.schemas import LISTING
 from foliary.session import new_path
@@ -103,3 +104,14 @@ def test_queue_offsets(spark):
         reader.commit(end)
         start = end
     assert seen == list("abcde")
+
+
+def test_one_file_is_not_derived_by_one_task(spark):
+    path = new_path(spark, "inventory")
+    task = F.spark_partition_id().cast("long")
+    names = F.concat(F.lit("documents/"), "id")
+    rows = spark.range(0, 40, 1, 4).select(
+        F.lit("documents").alias("s3_bucket"), names.alias("s3_key"), task.alias("size_bytes"), F.lit("e").alias("etag")
+    )
+    inventory.write_inventory(rows, path)
+    assert inventory.list_inventory(spark, path).select("size_bytes").distinct().count() == 4
