@@ -53,9 +53,17 @@ def latest_per_hash(rows: DataFrame) -> DataFrame:
     return rows.join(winners, ["sha256", "seq"], "left_semi")
 
 
-def corpus_upsert(corpus: DataFrame, writes: DataFrame) -> DataFrame:
-    """The corpus after a series of writes by hash; a later write replaces an earlier one."""
-    newest = latest_per_hash(writes).select(*CORPUS_COLUMNS)
+def corpus_upsert(corpus: DataFrame, writes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """The corpus after a series of writes by hash; a later write replaces an earlier one.
+
+    Writes without `content` take it from `texts` (sha256, content), and those without a text there
+    do nothing. A text then moves once, whatever the number of writes of its hash.
+    """
+    newest = latest_per_hash(writes)
+    if texts is not None:
+        newest = newest.join(texts, "sha256")
+        writes = writes.join(texts.select("sha256"), "sha256", "left_semi")
+    newest = newest.select(*CORPUS_COLUMNS)
     kept = corpus.join(writes.select("sha256").distinct(), "sha256", "left_anti")
     return kept.select(*CORPUS_COLUMNS).unionByName(newest)
 

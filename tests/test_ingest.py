@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliary.functions.objects import content_hash
-from foliary.operators.corpus import rebuild
+from foliary.operators.corpus import corpus_upsert, rebuild
 from foliary.operators.extract import builtin_extractor
 from foliary.operators.reconcile import index_audit, reconcile
 from foliary.plans.ingest import ingest
@@ -196,3 +196,19 @@ def test_changes(spark, tmp_path):
     assert versions(spark, path) == [1, 4] and read() == expected
     write_changes(rows(("e", 5)), path, rows(("a", 0)))
     assert read() == {("b", 3), ("c", 1), ("d", 3), ("e", 5)}
+
+
+def test_upsert_takes_texts_after_the_newest_write(spark):
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CORPUS.fields)
+    names = CORPUS.fieldNames()
+    row = lambda sha, **more: tuple((dict(sha256=sha) | more).get(c) for c in names)
+    old = spark.createDataFrame([row("a", content="A"), row("b", content="B"), row("c", content="C")], shape)
+    writes = spark.createDataFrame(
+        [("a", 1, "first"), ("a", 2, "last"), ("c", 3, "no text")], "sha256 string, seq long, filename string"
+    )
+    for field in CORPUS.fields:
+        if field.name not in ("sha256", "filename", "content"):
+            writes = writes.withColumn(field.name, F.lit(None).cast(field.dataType))
+    texts = spark.createDataFrame([("a", "A2"), ("d", "D")], "sha256 string, content string")
+    after = corpus_upsert(old, writes, texts).select("sha256", "filename", "content").collect()
+    assert sorted(map(tuple, after), key=str) == [("a", "last", "A2"), ("b", None, "B"), ("c", None, "C")]
