@@ -300,3 +300,35 @@ class TestSkippedPostings:
         limits = topk.thresholds(weighted, ops.score_columns(weighted, index.postings, EXACT)[0], index.postings, 3, EXACT)
         left_out = topk.skipped(units, limits).agg(F.sum("rows")).first()[0]
         assert left_out > 0.3 * units.agg(F.sum("rows")).first()[0]
+
+
+def exchanged(df):
+    """The lines of the plan that move rows."""
+    with redirect_stdout(io.StringIO()) as shown:
+        df.explain()
+    return [line for line in shown.getvalue().splitlines() if "Exchange" in line]
+
+
+def test_terms_are_not_moved(spark, index):
+    # One exchange for the texts of each branch, by hash, and none for their words.
+    texts = documents(spark, TEXTS)
+    rows = analyze(texts, None, SETTINGS).groupBy("sha256", "field").count()
+    moved = exchanged(rows)
+    assert moved and all("pos" not in line and "term" not in line for line in moved)
+
+
+def test_tasks_follow_the_text(spark):
+    texts = documents(spark, {f"{n}.txt": f"word{n} " * 40 for n in range(20)})
+    small = replace(SETTINGS, text_bytes=500)
+    assert postings(texts, None, small).rdd.getNumPartitions() >= 10
+
+
+def test_one_posting_row_for_all_fields(spark):
+    path = new_path(spark, "test-index")
+    index = write_index(documents(spark, {"a.txt": "alpha beta béta"}), path, None, SETTINGS)
+    assert spark.read.parquet(f"{path}/segment-000001/postings").filter("term = 'alpha'").count() == 1
+    found = sorted((r.field, r.term, r.tf, r.dl) for r in index.postings.collect() if r.term in ("alpha", "beta"))
+    assert found == [
+        ("content", "alpha", 1, 3), ("content", "beta", 1, 3), ("content.folded", "alpha", 1, 3),
+        ("content.folded", "beta", 2, 3), ("content.raw", "alpha", 1, 3), ("content.raw", "beta", 1, 3),
+    ]
