@@ -6,6 +6,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from foliary.catalog import fixtures
+from foliary.catalog.queries import QUERIES
 from foliary.operators import search as ops
 from foliary.operators import topk
 from foliary.operators.analyze import analyze, postings
@@ -332,3 +334,16 @@ def test_one_posting_row_for_all_fields(spark):
         ("content", "alpha", 1, 3), ("content", "beta", 1, 3), ("content.folded", "alpha", 1, 3),
         ("content.folded", "beta", 2, 3), ("content.raw", "alpha", 1, 3), ("content.raw", "beta", 1, 3),
     ]
+
+
+def test_lemmatize_cuts_the_texts_once(spark, monkeypatch):
+    calls = []
+
+    def vocabulary(*_):
+        calls.append(1)
+        return spark.createDataFrame([("walking",), ("the",), ("madly",)], "word string")
+
+    monkeypatch.setattr(fixtures, "vocabulary", vocabulary)
+    rows = QUERIES["lemmatize"](spark, "unused").collect()
+    assert sorted(map(tuple, rows)) == [("madly", "mad"), ("madly", "madly"), ("the", "the"), ("walking", "walk")]
+    assert len(calls) == 1
