@@ -10,7 +10,7 @@ from foliary.catalog import fixtures
 from foliary.catalog.queries import QUERIES
 from foliary.operators import search as ops
 from foliary.operators import topk
-from foliary.operators.analyze import analyze, postings
+from foliary.operators.analyze import analyze, by_term, postings, term_rows
 from foliary.plans.search import (
     current_index,
     extend_index,
@@ -347,3 +347,31 @@ def test_lemmatize_cuts_the_texts_once(spark, monkeypatch):
     rows = QUERIES["lemmatize"](spark, "unused").collect()
     assert sorted(map(tuple, rows)) == [("madly", "mad"), ("madly", "madly"), ("the", "the"), ("walking", "walk")]
     assert len(calls) == 1
+
+
+def test_large_dictionaries_do_not_move_words(spark):
+    texts = documents(spark, {"a.txt": "reading words reading", "b.txt": "Reading maps"})
+    lemmas = spark.createDataFrame([("Reading", "read"), ("maps", "map"), ("maps", "maps")], "surface string, lemma string")
+    large = replace(SETTINGS, broadcast_rows=1)
+    rows = postings(texts, lemmas, large)
+    moved = exchanged(rows)
+    assert moved and all("_salt" not in line and "sha256" not in line for line in moved)
+    assert sorted(rows.collect()) == sorted(postings(texts, lemmas, SETTINGS).collect())
+
+
+def test_hashes_move_once_for_a_bucket(spark):
+    texts = documents(spark, {"a.txt": " ".join(f"word{n}" for n in range(40))})
+    packed = term_rows(texts, None, SETTINGS, positions=False, buckets=2)
+    assert packed.count() <= 4
+    columns = packed.drop("bucket").columns
+    flat = term_rows(texts, None, SETTINGS, positions=False).select(columns)
+    assert sorted(map(repr, by_term(packed).select(columns).collect())) == sorted(map(repr, flat.collect()))
+
+
+def test_copies_are_found_without_moving_texts(spark):
+    path = new_path(spark, "test-copies")
+    rows = [(1, "one", "en", "s"), (2, "two", "en", "s"), (3, "one", "de", "t"), (4, None, "en", "s"), (None, "two", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    found = fixtures.corpus(spark, path)
+    assert all("doc_id" not in line for line in exchanged(found))
+    assert sorted((r.content, r.filename) for r in found.collect()) == [("one", "3-de.txt"), ("two", "2-en.txt")]
