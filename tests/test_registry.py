@@ -117,3 +117,23 @@ def test_sweep(spark):
     hashed = found.withColumn("sha256", F.when(F.col("s3_key") == "new", "1").otherwise("9"))
     copies = reconcile.reconcile(hashed, known).filter("known_duplicate")
     assert [r.s3_key for r in copies.collect()] == ["new"]
+
+
+def test_many_updates_of_many_keys_need_no_slots(spark):
+    """Slots are for hot keys; high sequence numbers alone do not call for them."""
+    rows = spark.range(1, 3001).select(
+        F.col("id").alias("seq"), F.concat(F.lit("h"), "id").alias("sha256"), F.lit("b").alias("s3_bucket"),
+        F.concat(F.lit("k"), F.col("id") % 1500).alias("s3_key"),
+    )
+    assert 2 <= registry.most_of_a_key(rows) <= 100
+    hot = rows.withColumn("s3_key", F.lit("k"))
+    assert registry.most_of_a_key(hot) == 3000
+    assert registry.most_of_a_key(rows.limit(0)) == 0
+    new = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(SIGHTING[c].dataType).alias(c) for c in SIGHTING.fieldNames()])
+    old = spark.createDataFrame([], REGISTRY)
+    hot = new.withColumn("s3_key", F.lit("k"))
+    for updates, sliced in ((new, False), (hot, True)):
+        plan = registry.seen_states(old, updates, 1000)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_far" in plan) == sliced
+    assert registry.retired_rows(old, hot, 1000).count() == 2999
+    assert registry.retired_rows(old, new, 1000).count() == 1500
