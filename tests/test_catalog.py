@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from foliary.catalog import fixtures
 from foliary.catalog.oracle import build
 from foliary.catalog.queries import QUERIES
 
@@ -46,3 +47,15 @@ def test_query_equals_sql(spark, tables, name):
     rows = sorted(repr(tuple(r[order.index(c)] for c in columns)) for r in expected.fetchall())
     assert rows
     assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == rows
+
+
+def test_stored_texts_move_only_when_copied(spark, tmp_path):
+    texts = [(1, "a"), (1, "a"), (2, "a"), (3, "b"), (4, None), (6, None), (7, "c"), (5, "d"), (None, "e")]
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = fixtures.sidecars(spark, str(tmp_path))
+    assert sorted(r.text or "" for r in found.collect()) == ["", "a", "b", "c"]
+    # Texts without copies stay where they are: no aggregate is above them.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
