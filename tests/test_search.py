@@ -10,7 +10,7 @@ from foliary.catalog import fixtures
 from foliary.catalog.queries import QUERIES
 from foliary.operators import search as ops
 from foliary.operators import topk
-from foliary.operators.analyze import analyze, by_term, postings, term_rows
+from foliary.operators.analyze import analyze, by_field, by_term, postings, row_stats, term_rows, term_stats
 from foliary.plans.search import (
     current_index,
     extend_index,
@@ -375,3 +375,18 @@ def test_copies_are_found_without_moving_texts(spark):
     found = fixtures.corpus(spark, path)
     assert all("doc_id" not in line for line in exchanged(found))
     assert sorted((r.content, r.filename) for r in found.collect()) == [("one", "3-de.txt"), ("two", "2-en.txt")]
+
+
+def test_terms_move_as_one_text_and_fields_as_one_row(spark):
+    """Terms of a document and bucket move packed; the vocabulary moves a row for a term, not for each field."""
+    texts = documents(spark, {"a.txt": 'reading "read" été ete', "b.txt": "reading maps"})
+    lemmas = spark.createDataFrame([("reading", "read"), ("maps", 'a "map"\\\n'), ("maps", "maps")], "surface string, lemma string")
+    packed = term_rows(texts, lemmas, SETTINGS, positions=False, buckets=2)
+    assert dict(packed.dtypes)["term"] == "string"
+    rows = by_term(packed)
+    lengths = {"content.raw": 3.0, "content": 3.5, "content.folded": 3.0}
+    found = row_stats(rows, lengths)
+    assert all("field" not in line for line in exchanged(found.select("field", "term", "doc_freq")) if "hashpartitioning" in line)
+    plain = term_stats(by_field(rows), lengths).select(found.columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+    assert {r.term for r in found.collect()} >= {'a "map"\\\n', "été", "ete"}
