@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.session import materialize
+from foliary.session import discard, materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = mark
         both = found.unionByName(found.select(F.col("other").alias("node"), F.col("node").alias("other")))
         large = _star(both, small=False).distinct()
-        found = materialize(_star(large, small=True).distinct(), "edges")
+        before, found = found, materialize(_star(large, small=True).distinct(), "edges")
+        discard(before)
     roots = found.select(F.col("other").alias("node")).distinct()
     return found.select("node", F.col("other").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))

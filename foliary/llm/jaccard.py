@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from foliary.llm.common import pieces, prepare, text_of
 from foliary.llm.components import components
-from foliary.session import materialize, rows_within
+from foliary.session import discard, materialize, rows_within
 
 WORDS = 5
 PERCENT = 75
@@ -46,8 +46,9 @@ GROUP_BITS = 14
 DIMENSIONS, FOLDED = 2048, 512
 LEAF = 16
 BLOCK = 4096
-#: Words and classes that a worker remembers; rows up to which a side is broadcast.
+#: Words and classes that a worker remembers; bytes of sets that it does; rows up to which a side is broadcast.
 KNOWN = 400_000
+KNOWN_BYTES = 32 << 20
 SMALL_ROWS = 500_000
 
 _ODD = np.array(
@@ -180,21 +181,40 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(last_token), pa.array(last_class)], names=["token", "class"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the documents that stand for a class."""
+def _stands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of the documents that stand for a class; hashes of their sets would compress no further."""
     known = Hashes()
     for batch in pieces(batches):
-        names, sets = [], []
+        names, texts = [], []
         for name, text in zip(batch.column("class").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found = shingles(text, known)
             if len(found) and class_of(found) == name:
                 names.append(name)
-                sets.append(found.tobytes())
+                texts.append(text)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["class", "shingles"]
+            [pa.array(names, pa.int64()), pa.array(texts, pa.binary())], names=["class", "text"]
         )
 
 
+class Sets(dict):
+    """The sets of the last classes that a worker met."""
+
+    def __init__(self):
+        super().__init__()
+        self.known, self.held = Hashes(), 0
+
+    def of(self, name: int, text: bytes) -> np.ndarray:
+        found = self.get(name)
+        if found is None:
+            found = shingles(text, self.known)
+            if self.held + found.nbytes > KNOWN_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += found.nbytes
+            self[name] = found
+        return found
+
+
 def point(found: np.ndarray) -> bytes:
     """The set's shingles counted in groups, two bits for each; `coordinates` adds what these can't hold."""
     counts = np.bincount((found % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
@@ -230,10 +250,11 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets are similar."""
+    sets = Sets()
     for batch in pieces(batches):
         keep = []
-        for a, b in zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist(), strict=True):
-            both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
+        for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+            both = np.concatenate([sets.of(a, text_a), sets.of(b, text_b)])
             size = len(both)
             both.sort(kind="stable")
             overlap = int((both[1:] == both[:-1]).sum())
@@ -335,13 +356,16 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
 
     wanted = close.select(F.col("a").alias("class")).unionByName(close.select(F.col("b").alias("class")))
     stands = materialize(classes.join(wanted.distinct(), "class").select("class", "doc_id"), "stands")
-    stands = _checked(stands)
-    chosen = texts.join(stands, texts["doc_id"].eqNullSafe(stands["doc_id"])).select("class", "text")
-    sets = materialize(chosen.mapInArrow(_sets, "class long, shingles binary"), "sets")
-    if not sets.groupBy("class").count().filter("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["class"])
-    both = close.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
-    return materialize(both.mapInArrow(_verify, "a long, b long"), "links")
+    few = _checked(stands)
+    chosen = texts.join(few, texts["doc_id"].eqNullSafe(few["doc_id"])).select("class", "text")
+    chosen = materialize(chosen.mapInArrow(_stands, "class long, text binary"), "chosen")
+    one = chosen
+    if not chosen.groupBy("class").count().filter("count > 1").isEmpty():
+        one = chosen.dropDuplicates(["class"])
+    both = close.join(side(one, "a", "text"), "a").join(side(one, "b", "text"), "b")
+    links = materialize(both.mapInArrow(_verify, "a long, b long"), "links")
+    discard(close, stands, chosen)
+    return links
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -379,17 +403,19 @@ def _united(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> DataFra
     members = F.bit_xor(F.xxhash64("class")).alias("members")
     lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size"), members, F.min("class").alias("low"))
     lists = lists.groupBy("size", "members", "low").agg(F.min("token").alias("token"))
-    blocks = materialize(shared.join(lists.select("token", "size"), "token"), "members")
+    members_of = materialize(shared.join(lists.select("token", "size"), "token"), "members")
     # The member that meets most others stands in the middle of its block: of an original and its
     # edited copies, the original.
-    met = blocks.groupBy("class").agg(F.sum("size").alias("met"))
+    met = members_of.groupBy("class").agg(F.sum("size").alias("met"))
     middle = F.max(F.struct("met", "class"))["class"].alias("first")
-    firsts = blocks.join(met, "class").groupBy("token").agg(middle)
-    blocks = materialize(blocks.join(firsts, "token"), "blocks")
+    firsts = members_of.join(met, "class").groupBy("token").agg(middle)
+    blocks = materialize(members_of.join(firsts, "token"), "blocks")
+    discard(shared, members_of)
 
     stars = blocks.filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
     links = _linked(stars.distinct(), classes, texts)
     roots = materialize(components(links), "roots")
+    discard(links)
 
     placed = blocks.join(roots.withColumnRenamed("node", "class"), "class", "left")
     placed = placed.withColumn("root", F.coalesce("root", "class"))
@@ -412,9 +438,14 @@ def _united(texts: DataFrame, profile: DataFrame, classes: DataFrame) -> DataFra
     block = F.concat_ws(":", "token", F.least("own", "other"), F.greatest("own", "other"))
     cut = cut.select(block.alias("block"), side.cast("int").alias("side"), "class", "n", "root", "point")
     pairs = cut.repartition("block").sortWithinPartitions("block").mapInArrow(_join_blocks, "a long, b long")
-    more = _linked(materialize(pairs.distinct(), "pairs"), classes, texts)
+    pairs = materialize(pairs.distinct(), "pairs")
+    discard(blocks)
+    more = _linked(pairs, classes, texts)
+    discard(pairs)
     known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(known.unionByName(more)).withColumnRenamed("node", "class")
+    found = components(known.unionByName(more)).withColumnRenamed("node", "class")
+    discard(roots, more)
+    return found
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -423,16 +454,17 @@ def groups(docs: DataFrame) -> DataFrame:
     `root` names a component and is null for documents without a set.
     """
     texts, profile = _profiled(docs)
-    rows = profile.filter("n >= 0").select("doc_id", "text_key", "class", "n")
+    rows = materialize(profile.filter("n >= 0").select("doc_id", "text_key", "class", "n"), "rows")
     classes = profile.filter("class IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")
     )
     classes = materialize(classes, "classes")
     roots = _united(texts, profile, classes)
-    classes = classes.select("class", F.col("doc_id").alias("least")).join(roots, "class", "left")
-    classes = materialize(classes.withColumn("root", F.coalesce("root", "class")), "roots")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.select("class", "root").join(least, "root")
+    rooted = classes.select("class", F.col("doc_id").alias("least")).join(roots, "class", "left")
+    rooted = materialize(rooted.withColumn("root", F.coalesce("root", "class")), "roots")
+    discard(profile, classes)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.select("class", "root").join(least, "root")
     return rows.join(named, "class", "left").select(
         "doc_id",
         "text_key",

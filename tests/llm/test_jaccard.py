@@ -111,3 +111,14 @@ def test_components(spark):
             root[high] = low
     assert {r.node: r.root for r in components.components(frame).collect()} == {k: find(k) for k in list(root)}
     assert components.components(frame.limit(0)).count() == 0
+
+
+def test_working_tables_go_when_they_are_done(spark, tmp_path, monkeypatch):
+    """Only what the result is read from stays, so the steps do not add up on disk."""
+    monkeypatch.setattr("foliary.session.work_dir", lambda _: str(tmp_path))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:50], f"x{i}", *words[51:]])) for i in range(6)] + [(9, "no other"), (10, None)]
+    found = jaccard.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict.fromkeys(range(6), 0) | {9: 9, 10: 10}
+    left = sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "foliary").iterdir())
+    assert left == ["edges", "edges", "roots", "rows"]
