@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliary.session import hot_key_join, materialize, rows_within
+from foliary.session import discard, hot_key_join, materialize, rows_within
 
 EDITS = 2
 MIN_CHARS = 24
@@ -250,12 +250,14 @@ def _near(distinct: DataFrame) -> DataFrame:
     two = kept.join(_checked(met), "line_a")
     # The distance is work for many tasks, however few bytes the rows are.
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one, two = (
+    sides = [
         materialize(x.withColumn("finer", finer_sketch(F.col("text"))).select(
             "print", *[F.col(c).alias(f"{n}_{c}") for c in (*LINE, "sketch", "finer", "first", "text")]
-        ), f"{n}-side").repartition(tasks, "print")
+        ), f"{n}-side")
         for n, x in (("one", one), ("two", two))
-    )
+    ]
+    discard(hits, met)
+    one, two = (x.repartition(tasks, "print") for x in sides)
     apart = _apart(F.col("one_sketch"), F.col("two_sketch"), COUNTED, 4)
     apart += _apart(F.col("one_finer"), F.col("two_finer"), COUNTED_LATER, 5)
     same = (one["print"] == two["print"]) & (apart <= 2 * EDITS)
@@ -264,18 +266,22 @@ def _near(distinct: DataFrame) -> DataFrame:
     probing = two.join(one, same & (F.col("one_first") < F.col("two_first")) & close, "left_semi")
     probed = one.join(two, same & ~_same_length() & (F.col("two_first") < F.col("one_first")) & close, "left_semi")
     later = [x.select(*[F.col(f"{n}_{c}").alias(c) for c in LINE]) for n, x in (("two", probing), ("one", probed))]
-    return later[0].unionByName(later[1]).distinct()
+    near = materialize(later[0].unionByName(later[1]).distinct(), "near")
+    discard(*sides)
+    return near
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_numbers) of the documents that lose lines; numbers from 0."""
     lines = _lines(docs)
     distinct = materialize(_distinct(lines), "lines")
-    near = materialize(_near(distinct), "near").withColumn("near", F.lit(True))
+    near = _near(distinct)
 
-    known_near = distinct.select(*LINE, "first", "times").join(_checked(near), LINE, "left")
+    marked = _checked(near).withColumn("near", F.lit(True))
+    known_near = distinct.select(*LINE, "first", "times").join(marked, LINE, "left")
     decided = known_near.filter("times > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
     decided = materialize(decided, "decided")
+    discard(distinct, near)
     places = lines.select("doc_id", "text_key", "line_no", *LINE)
     if rows_within(decided, SMALL_ROWS):
         met = places.join(F.broadcast(decided), LINE)
@@ -284,7 +290,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_key", "line_no")
     gone = met.filter(F.col("near") | ~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("line_numbers"))
-    return materialize(gone, "gone")
+    gone = materialize(gone, "gone")
+    discard(decided)
+    return gone
 
 
 def dedup(docs: DataFrame, *more: str, drop_empty: bool = False) -> DataFrame:

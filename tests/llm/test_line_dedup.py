@@ -122,3 +122,14 @@ def test_columns_pass_through_and_empty_texts_stay(spark):
     kept = line_dedup.dedup(docs, drop_empty=True)
     assert kept.columns == docs.columns
     assert {r.doc_id: r.text for r in kept.collect()} == {1: None, 2: "", 3: "\n", 4: "a"}
+
+
+def test_working_tables_go_when_they_are_done(spark, tmp_path, monkeypatch):
+    """Only what the result is read from stays, so the steps do not add up on disk."""
+    monkeypatch.setattr("foliary.session.work_dir", lambda _: str(tmp_path))
+    line = "a line that is long enough to be compared with others"
+    rows = [(1, f"{line}\none"), (2, f"{line}s\ntwo"), (3, "three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
+    assert found == {1: f"{line}\none", 2: "two", 3: "three"}
+    assert [p.name.rsplit("-", 1)[0] for p in (tmp_path / "foliary").iterdir()] == ["gone"]
