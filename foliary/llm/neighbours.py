@@ -7,12 +7,13 @@ steps. A query visits its own bucket and then those next to it, in the order of
 that a neighbour lies there: the squared distances to the steps' edges, summed up. What the tables
 find is scored on the original vectors in double precision.
 
-The number of projections follows the logarithm of the number of vectors, so buckets keep their size
-as the table grows. A neighbour is then harder to reach, so the number of probes follows too: the true
-neighbours of a bounded sample of queries are sought in full, and probes, then tables, double
-until RECALL of them are reached. A query that meets fewer candidates than asked for is searched in
-full. A bucket with more than BUCKET_ROWS rows is cut, and each of its parts is
-searched in full: no candidate is left out.
+The number of projections follows the logarithm of the number of vectors, as far as neighbours are
+reached: the true neighbours of a bounded sample of queries are sought in full, and projections are
+left out, then probes, then tables double until RECALL of them are reached. More probes in finer
+buckets would meet no fewer candidates, and each visit of a bucket moves the query. A query that
+meets fewer candidates than asked for is searched in full. A bucket with more than BUCKET_ROWS rows
+is cut, and each of its parts is searched in full: no candidate is left out. Batches of visits are
+bounded, whatever the number of probes.
 
 Defined results: vectors that are null, of another length than most, zero, or with null or
 non-finite components take no part, nor do rows without an id; repeated rows of an id count as one
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliary.llm.common import pieces, prepare
+from foliary.llm.common import BATCH_ROWS, pieces, prepare
 from foliary.session import materialize
 
 #: Vectors for which the fewest projections are enough, and how many these are.
@@ -48,6 +49,8 @@ STEP, FACTOR = 1.2, 2.0
 SEED = 7
 #: Candidates of a bucket that are searched at once, queries scored at once, queries held by a task.
 BUCKET_ROWS, QUERY_ROWS, HELD = 20_000, 256, 50_000
+#: Rows with a vector that a task hands on at once, and visits that it works out at once.
+PLACED_ROWS, VISITS = 4096, 50_000
 #: Scores closer than this are compared again by their exact sums.
 SLACK = 1e-9
 
@@ -65,8 +68,10 @@ class Hashing:
     longest: float
 
     @classmethod
-    def make(cls, dimension: int, rows: int, longest: float, tables: int) -> Hashing:
-        functions = max(LEAST, round(math.log(max(rows, 1) / BASE_ROWS) / math.log(FACTOR)))
+    def make(cls, dimension: int, rows: int, longest: float, tables: int, functions: int | None = None) -> Hashing:
+        """As many projections as the number of rows asks for, unless `functions` are given."""
+        if functions is None:
+            functions = max(LEAST, round(math.log(max(rows, 1) / BASE_ROWS) / math.log(FACTOR)))
         functions = functions if tables else 0
         random = np.random.default_rng(SEED)
         planes = random.standard_normal((max(tables, 1), functions, dimension + 1))
@@ -146,9 +151,9 @@ def _index(batches: Iterator[pa.RecordBatch], hashing: Hashing, dimension: int)
 
 def _place(batches: Iterator[pa.RecordBatch], hashing: Hashing, dimension: int, query: bool, count: int) -> Iterator[pa.RecordBatch]:
     """A row for every bucket that a vector lies in, or that a query visits."""
-    for batch in pieces(batches):
-        matrix = _matrix(batch, dimension)
-        positions = hashing.project(matrix, query)
+    visits = max(1, hashing.planes.shape[0]) * (count if query else 1)
+    for batch in pieces(batches, min(250, max(1, VISITS // visits))):
+        positions = hashing.project(_matrix(batch, dimension), query)
         if not query:
             names = hashing.names(np.floor(positions))
             at, buckets = np.repeat(np.arange(len(names)), names.shape[1]), names.ravel()
@@ -166,11 +171,12 @@ def _place(batches: Iterator[pa.RecordBatch], hashing: Hashing, dimension: int,
             at, buckets = np.repeat([i for i, _ in rows], names.shape[1]), names.ravel()
             pairs = np.unique(np.stack([at, buckets], axis=1), axis=0)
             at, buckets = pairs[:, 0], pairs[:, 1]
-        take = pa.array(at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(buckets), batch.column("vec_id").take(take), batch.column("vector").take(take)],
-            names=["bucket", "vec_id", "vector"],
-        )
+        for start in range(0, len(at), PLACED_ROWS):
+            take = pa.array(at[start : start + PLACED_ROWS])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(buckets[start : start + PLACED_ROWS]), batch.column("vec_id").take(take), batch.column("vector").take(take)],
+                names=["bucket", "vec_id", "vector"],
+            )
 
 
 class Best:
@@ -247,9 +253,9 @@ def _search(batches: Iterator[pa.RecordBatch], dimension: int, count: int) -> It
                     exact = (vectors[0][near] * matrix[i]).sum(axis=1)
                     best.add(int(query), ids[0][near], exact)
             if len(best.held) > HELD:
-                yield best.rows()
+                yield from pieces([best.rows()], BATCH_ROWS)
     if best.held:
-        yield best.rows()
+        yield from pieces([best.rows()], BATCH_ROWS)
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], sample: dict, dimension: int, count: int) -> Iterator[pa.RecordBatch]:
@@ -266,7 +272,7 @@ def _nearest(batches: Iterator[pa.RecordBatch], sample: dict, dimension: int, co
 
 
 def _hashing(rows: DataFrame, queries: DataFrame, usual, count: int) -> tuple[Hashing, int]:
-    """Projections, and the number of probes that reaches enough neighbours of a sample."""
+    """Projections, and the number of probes, that reach enough neighbours of a sample."""
     tables, visited = TABLES, PROBES
     hashing = Hashing.make(usual["dimension"], usual["rows"], usual["longest"], tables)
     functions = hashing.planes.shape[1]
@@ -277,17 +283,20 @@ def _hashing(rows: DataFrame, queries: DataFrame, usual, count: int) -> tuple[Ha
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     # SAMPLE * count rows at most.
     best = best.withColumn("rank", rank).filter(F.col("rank") <= count).select("query_id", "vec_id")
-    pairs = rows.dropDuplicates(["vec_id"]).join(F.broadcast(best), "vec_id").select("query_id", "vector").collect()
+    # Found before rows of an id are told apart: only these vectors move.
+    pairs = rows.join(F.broadcast(best), "vec_id").dropDuplicates(["query_id", "vec_id"]).select("query_id", "vector").collect()
     if not pairs:
         return hashing, visited
     own = np.stack([sample[r["query_id"]] for r in pairs])
     found = np.array([r["vector"] for r in pairs], np.float64)
     while reached(hashing, own, found, visited) < RECALL:
-        if visited < 3**functions:
+        if functions > LEAST:
+            functions -= 1
+        elif visited < 3**functions:
             visited = min(2 * visited, 3**functions)
         else:
             tables *= 2
-            hashing = Hashing.make(usual["dimension"], usual["rows"], usual["longest"], tables)
+        hashing = Hashing.make(usual["dimension"], usual["rows"], usual["longest"], tables, functions)
     return hashing, visited
 
 

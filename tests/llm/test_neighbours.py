@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,30 @@ def test_an_id_with_many_vectors_takes_one_place(spark, monkeypatch, bucket):
 
 def test_the_smallest_tables_are_hashed():
     assert neighbours.Hashing.make(8, 10, 1.0, 10).planes.shape == (10, neighbours.LEAST, 9)
+
+
+@pytest.mark.parametrize("query", [False, True])
+def test_visits_are_handed_on_in_bounded_batches(query):
+    """A batch of queries visits thousands of buckets each; their vectors never lie in memory at once."""
+    random = np.random.default_rng(8)
+    vectors = pa.array(random.standard_normal((40, 8)).tolist(), pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), vectors], names=["vec_id", "vector"])
+    hashing = neighbours.Hashing.make(8, 1, 9.0, 10, functions=6)
+    placed = list(neighbours._place(iter([batch]), hashing, 8, query, 500))
+    assert max(b.num_rows for b in placed) <= 4096
+    rows = [(r["bucket"], r["vec_id"]) for b in placed for r in b.to_pylist()]
+    assert {i for _, i in rows} == set(range(40))
+    assert len(rows) > 4 * 4096 if query else len(rows) == 400
+    known = {i: v for i, v in enumerate(vectors.to_pylist())}
+    assert all(r["vector"] == known[r["vec_id"]] for b in placed for r in b.to_pylist())
+
+
+def test_far_neighbours_take_fewer_projections_not_more_probes(spark):
+    random = np.random.default_rng(9)
+    vectors = random.standard_normal((1500, 24))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    rows = neighbours.usable(df, "embedding")
+    usual = {"dimension": 24, "rows": 4000 << 8, "longest": 1.0}
+    hashing, visited = neighbours._hashing(rows, rows.filter("vec_id % 30 = 0"), usual, 10)
+    assert hashing.planes.shape[1] < 8 and visited == neighbours.PROBES
