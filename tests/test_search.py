@@ -3,11 +3,13 @@ import random
 from contextlib import redirect_stdout
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foliary.catalog import fixtures
 from foliary.catalog.queries import QUERIES
+from foliary.operators import grouping
 from foliary.operators import search as ops
 from foliary.operators import topk
 from foliary.operators.analyze import analyze, by_field, by_term, postings, row_stats, term_rows, term_stats
@@ -390,3 +392,51 @@ def test_terms_move_as_one_text_and_fields_as_one_row(spark):
     plain = term_stats(by_field(rows), lengths).select(found.columns)
     assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
     assert {r.term for r in found.collect()} >= {'a "map"\\\n', "été", "ete"}
+
+
+def test_hashes_of_arrow_equal_those_of_sql(spark):
+    rng = random.Random(3)
+    texts = ["", "a", "é", "word", *("".join(rng.choices("abcžý日𝐀_9", k=n)) for n in range(90)), "x" * 255]
+    values = pa.array(["unused", *texts, "unused"]).slice(1, len(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", F.xxhash64("t").alias("h"))
+    assert grouping.xxhash64(values).tolist() == [r.h for r in df.orderBy("n").collect()]
+
+
+def test_words_take_no_row_each(spark):
+    """Neither the words of texts nor their positions are rows, with a large dictionary too."""
+    texts = documents(spark, {"a.txt": "reading words reading", "b.txt": "Reading maps"})
+    lemmas = spark.createDataFrame([("Reading", "read"), ("maps", "map"), ("maps", "maps")], "surface string, lemma string")
+    large = replace(SETTINGS, broadcast_rows=1)
+    for rows in (postings(texts, lemmas, large), analyze(texts, lemmas, large, listed=True)):
+        moved = exchanged(rows)
+        assert moved and all("_salt" not in line and "sha256" not in line for line in moved)
+        with redirect_stdout(io.StringIO()) as shown:
+            rows.explain()
+        assert "Window" not in shown.getvalue() and "posexplode_outer(regexp" not in shown.getvalue()
+    listed = analyze(texts, lemmas, large, listed=True).select("sha256", "field", F.inline("terms"))
+    plain = analyze(texts, lemmas, SETTINGS)
+    assert sorted(listed.collect()) == sorted(plain.collect()) and plain.count() == 18
+
+
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_repeated_rows_odd_lemmas_and_long_words(spark, limit):
+    """Rows of a hash add up, a text's length does not; words are cut at 255 characters; lemmas are any text."""
+    long = "é" * 300
+    texts = documents(spark, {"a.txt": f"of maps été ete {long}", "b.txt": "-", "c.txt": "maps"})
+    texts = texts.unionByName(texts.filter("filename = 'a.txt'")).unionByName(texts.limit(1).withColumns({c: F.lit(None).cast("string") for c in ("content", "filename")}))
+    lemmas = [("maps", ""), ("maps", 'a\nb"'), ("été", "ete"), ("of", "never"), ("nothing", "x"), ("ete", None)]
+    lemmas = spark.createDataFrame(lemmas, "surface string, lemma string")
+    settings = replace(SETTINGS, stopwords=("of",), broadcast_rows=limit)
+    flat = term_rows(texts, lemmas, settings)
+    rows = {(r.term, r.dl, r.kept_dl): r for r in flat.filter("tf_3 IS NULL").collect()}
+    assert {t for t, dl, _ in rows if dl == 6} == {"of", "maps", "été", "ete", "é" * 255, "é" * 45, "e" * 255, "e" * 45, "", 'a\nb"'}
+    counts = lambda term, dl=6, kept=5: tuple(rows[term, dl, kept][f"tf_{i}"] for i in range(3))
+    assert [counts(t) for t in ("of", "maps", "été", "ete")] == [(2, None, 2), (2, None, 2), (2, None, None), (2, 2, 4)]
+    assert counts("") == counts('a\nb"') == (None, 2, None) and counts("", 1, 1) == (None, 1, None)
+    assert (rows["of", 6, 5].opens, rows["", 6, 5].opens, rows['a\nb"', 6, 5].opens) == (5, 2, 0)
+    assert rows["ete", 6, 5].positions.asDict() == {"p0": [3, 3], "p1": [2, 2], "p2": [2, 2, 3, 3], "p3": []}
+    packed = term_rows(texts, lemmas, settings, positions=False, buckets=3)
+    columns = packed.drop("bucket").columns
+    assert sorted(map(repr, by_term(packed).select(columns).collect())) == sorted(map(repr, flat.select(columns).collect()))
+    named = analyze(texts, lemmas, settings).filter("field <> 'filename'").groupBy("field").agg(F.count("*").alias("n"))
+    assert {r.field: r.n for r in named.collect()} == {"content.raw": 13, "content.folded": 13, "content": 12}
