@@ -12,7 +12,7 @@ from foliary.catalog.queries import QUERIES
 from foliary.operators import grouping
 from foliary.operators import search as ops
 from foliary.operators import topk
-from foliary.operators.analyze import analyze, by_field, by_term, postings, row_stats, term_rows, term_stats
+from foliary.operators.analyze import _known, analyze, by_field, by_term, postings, row_stats, term_rows, term_stats
 from foliary.plans.search import (
     current_index,
     extend_index,
@@ -440,3 +440,36 @@ def test_repeated_rows_odd_lemmas_and_long_words(spark, limit):
     assert sorted(map(repr, by_term(packed).select(columns).collect())) == sorted(map(repr, flat.select(columns).collect()))
     named = analyze(texts, lemmas, settings).filter("field <> 'filename'").groupBy("field").agg(F.count("*").alias("n"))
     assert {r.field: r.n for r in named.collect()} == {"content.raw": 13, "content.folded": 13, "content": 12}
+
+
+def test_words_that_a_dictionary_lacks_are_not_asked_for(spark):
+    words = [f"word{n}" for n in range(3000)]
+    lemmas = spark.createDataFrame([("WORD7", "seven"), (None, "x"), ("word0", "nought"), ("other", "y")], "surface string, lemma string")
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, 4]), pa.array(["\n".join(words), "word7\nword8", "word7"])], names=["part", "words"])
+    rows = [tuple(r.values()) for b in grouping.asked_words(iter([batch]), _known(lemmas)) for r in b.to_pylist()]
+    assert len(set(rows)) == len(rows) < 50 and set(rows) >= {(4, "word7"), (4, "word0"), (5, "word7")}
+
+
+def test_counted_blocking_keys_are_broadcast(spark, index):
+    """Many query words have fewer blocking keys than they might: these are counted before words of the vocabulary move."""
+    wanted = spark.createDataFrame([("content.raw", w, 1) for w in ("alpah", "bate", "gama")], "field string, query_term string, edits int")
+    found = ops.fuzzy_terms(wanted, index.vocabulary, True, replace(SETTINGS, broadcast_rows=200))
+    assert all("key" not in line for line in exchanged(found) if "hashpartitioning" in line)
+    plain = ops.fuzzy_terms(wanted, index.vocabulary, False, SALTED)
+    key = lambda rows: sorted((r.query_term, r.term, r.distance) for r in rows.collect())
+    assert key(found) == key(plain) and {r[:2] for r in key(found)} >= {("alpah", "alpha"), ("gama", "gamma")}
+
+
+def test_queries_take_their_words_out_of_a_large_dictionary(spark):
+    lemmas = spark.createDataFrame([("Reading", "read"), *[(f"w{n}", f"v{n}") for n in range(50)]], "surface string, lemma string")
+    terms = ops.query_terms(ask(spark, "reading w7"), lemmas, replace(SETTINGS, broadcast_rows=20))
+    assert all("_salt" not in line for line in exchanged(terms))
+    assert {r.term for r in terms.filter("field = 'content'").collect()} == {"read", "v7"}
+
+
+def test_postings_of_other_terms_are_dropped_before_their_fields(spark, index):
+    weighted = weighted_terms(ask(spark, "alpha"), index, EXACT)
+    with redirect_stdout(io.StringIO()) as shown:
+        ops._contributions(weighted, index.postings, EXACT).explain()
+    plan = shown.getvalue()
+    assert plan.index("Generate inline") < plan.rindex("LeftSemi")
